@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import site_lines
+from . import lookalikes, packing, site_lines, tokens
 
-QUERIES = {"p7_found": site_lines.p7_found, "p7_clean": site_lines.p7_clean}
+QUERIES = {
+    "p7_found": site_lines.p7_found,
+    "p7_clean": site_lines.p7_clean,
+    "p8_ids": tokens.p8_ids,
+    "p9_assignments": packing.p9_assignments,
+    "p9_fill": packing.p9_fill,
+    "p10_found": lookalikes.p10_found,
+    "p10_forms": lookalikes.p10_forms,
+}
 SQL = {"p7_found": site_lines.P7_SQL}
