@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import lookalikes, packing, site_lines, tokens
+from . import lookalikes, markup, packing, residue, site_lines, tokens
 
 QUERIES = {
+    "p5_found": markup.p5_found,
+    "p5_clean": markup.p5_clean,
+    "p6_found": residue.p6_found,
+    "p6_kept": residue.p6_kept,
     "p7_found": site_lines.p7_found,
     "p7_clean": site_lines.p7_clean,
     "p8_ids": tokens.p8_ids,
