@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import lookalikes, markup, packing, residue, site_lines, tokens
+from . import lookalikes, main_content, markup, packing, residue, site_lines, tokens
 
 QUERIES = {
+    "p3_found": main_content.p3_found,
+    "p3_main": main_content.p3_main,
     "p5_found": markup.p5_found,
     "p5_clean": markup.p5_clean,
     "p6_found": residue.p6_found,
