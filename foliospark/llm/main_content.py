@@ -105,6 +105,11 @@ class Exemplars:
                 self.memory[bag] = found
         return found
 
+    def ends(self, words: list[str]) -> bool:
+        """Whether a line near an exemplar has all the words of one, so that nothing is missing at its end."""
+        bag = frozenset(words)
+        return any(self.known[k][0] <= bag for k in {k for w in bag for k in self.index.get(w, ())})
+
     def chained(self, seen: str, site: str) -> bool:
         """Whether a line is made of exemplars: one of its sentences is near one, and hardly a word is of none."""
         parts = [tokens(p, site) for p in _SENTENCES.split(seen) if p]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import lookalikes, main_content, markup, packing, residue, site_lines, tokens
+from . import lookalikes, main_content, markup, packing, residue, site_lines, tokens, truncation
 
 QUERIES = {
+    "p1_found": truncation.p1_found,
+    "p1_shares": truncation.p1_shares,
     "p3_found": main_content.p3_found,
     "p3_main": main_content.p3_main,
     "p5_found": markup.p5_found,
