@@ -38,7 +38,7 @@ PRIOR = -2.0
 #: Evidence of an ending that shows by itself that the value is whole, or cut.
 SURE = 6.0
 
-_MARK = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|…|(?<!\.)\.\.\.|\[(?:truncated|cut|continued|more)\]|\((?:truncated|cut|continued|more)\)|\ufffd+)\s*$", re.IGNORECASE)
+_MARK = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|…|(?<!\.)\.\.\.|\[(?:truncated|cut|continued|more)\]|\((?:truncated|cut|continued|more)\)|(?<=\S) +(?:Read more|Continue reading|Show more|Weiterlesen|Mehr lesen|Lire la suite|Leer más|Seguir leyendo|Читать далее)|\ufffd+)\s*$", re.IGNORECASE)
 _OPENERS = re.compile(r"<(ul|ol|blockquote|pre|code|a|b|em|i|strong|span|h[1-6]|div|aside|nav|footer|sup|math|script|table|tr|td)\b[^<>]*>", re.IGNORECASE)
 _CLOSERS = re.compile(r"</(ul|ol|blockquote|pre|code|a|b|em|i|strong|span|h[1-6]|div|aside|nav|footer|sup|math|script|table|tr|td)\s*>", re.IGNORECASE)
 _BEGIN, _FINISH = re.compile(r"\\begin\{(\w+)\*?\}"), re.compile(r"\\end\{(\w+)\*?\}")
