@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import lookalikes, main_content, markup, packing, residue, site_lines, tokens, truncation
+from . import lookalikes, main_content, markup, packing, residue, scans, site_lines, tokens, truncation
 
 QUERIES = {
     "p1_found": truncation.p1_found,
     "p1_shares": truncation.p1_shares,
+    "p2_found": scans.p2_found,
+    "p2_paragraphs": scans.p2_paragraphs,
     "p3_found": main_content.p3_found,
     "p3_main": main_content.p3_main,
     "p5_found": markup.p5_found,
