@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CJK, collapse, plain_words, strip_marks
+from .text import CJK, collapse, let, plain_words, strip_marks
 
 #: Lines of a social post that are not its body.
 _POST_TITLE = r"^(?i)post by\s+(.+)$"
@@ -13,21 +13,27 @@ _HANDLE = r"^@[\w.]+$"
 _STAMP = r"^(?:\d{4}-\d{2}-\d{2}[tT ][0-9:.\-+Z]+|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b.+|\d{1,2}:\d{2}\s*(?:AM|PM|am|pm).*)$"
 
 
-def _verdict(text: Column, faults: list[tuple[Column, str | None, float]]) -> Column:
-    """Each fault that holds lowers the score and gives its reason once; a fault without a reason only lowers."""
+def _verdict(text: Column, faults: list[tuple[Column, str, float]]) -> Column:
+    """Each fault that holds lowers the score and gives its reason once."""
     empty = text.isNull() | (collapse(text) == "")
-    reasons = F.array_distinct(F.filter(F.array(*[F.when(c, reason) for c, reason, _ in faults if reason]), lambda r: r.isNotNull()))
-    score = F.lit(1.0)
-    for condition, _, weight in faults:
-        score = score - F.when(condition, weight).otherwise(0.0)
-    made = F.struct((F.size(reasons) == 0).alias("accepted"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 6))).alias("score"), reasons.alias("reasons"))
+
+    def judged(held: Column) -> Column:
+        reasons = F.array_distinct(F.filter(F.array(*[F.when(F.get(held, k), reason) for k, (_, reason, _) in enumerate(faults)]), lambda r: r.isNotNull()))
+        score = F.lit(1.0)
+        for k, (_, _, weight) in enumerate(faults):
+            score = score - F.when(F.get(held, k), weight).otherwise(0.0)
+        return F.struct((~F.exists(held, lambda h: h)).alias("accepted"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 6))).alias("score"), reasons.alias("reasons"))
+
+    made = let(F.array(*[F.coalesce(c, F.lit(False)) for c, _, _ in faults]), judged)
     return F.when(empty, F.struct(F.lit(False).alias("accepted"), F.lit(0.0).alias("score"), F.array(F.lit("empty_content")).alias("reasons"))).otherwise(made)
 
 
 def assess_article(text: Column) -> Column:
-    plain = strip_marks(text)
-    dense = plain.rlike(f"[{CJK}]") & (F.char_length(F.regexp_replace(plain, r"\s+", "")) >= 10)
-    return _verdict(text, [(F.char_length(plain) < 10, "too_short", 0.6), ((plain_words(plain) < 3) & ~dense, "too_short", 0.4)])
+    def judged(plain: Column) -> Column:
+        dense = plain.rlike(f"[{CJK}]") & (F.char_length(F.replace(plain, F.lit(" "), F.lit(""))) >= 10)
+        return _verdict(text, [(F.char_length(plain) < 10, "too_short", 0.6), ((F.size(F.filter(F.split(plain, " "), lambda w: w != "")) < 3) & ~dense, "too_short", 0.4)])
+
+    return let(strip_marks(text), judged)
 
 
 def post_body(text: Column) -> Column:

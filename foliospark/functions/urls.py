@@ -156,11 +156,9 @@ def _block(first: str, bits: int) -> tuple[int, int]:
 def is_private_host(netloc: Column) -> Column:
     """Userinfo, local names, names without a dot, and addresses that are not global."""
     host = F.regexp_replace(F.trim(host_of(netloc)), r"\.+$", "")
-    number = ipv4_number(host)
-    closed = F.lit(False)
-    for first, bits in CLOSED_BLOCKS:
-        low, high = _block(first, bits)
-        closed = closed | number.between(low, high)
+    blocks = F.array(*[F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for low, high in (_block(*b) for b in CLOSED_BLOCKS)])
+    # only hosts of figures are read as addresses
+    closed = F.when(host.rlike("^[0-9a-fx.]+$"), F.exists(F.array(ipv4_number(host)), lambda number: F.exists(blocks, lambda b: number.between(b["low"], b["high"]))))
     local = (host == "localhost") | host.endswith(".localhost") | F.exists(F.array(*[F.lit(s) for s in LOCAL_SUFFIXES]), lambda s: F.endswith(host, s))
     v6 = F.contains(host, F.lit(":")) & (host.rlike("^(?i)(::1?$|fe[89ab]|f[cd]|ff|::ffff:(0:)?(10|127)\\.)"))
     return F.contains(netloc, F.lit("@")) | F.when(host == "", False).otherwise(local | (~F.contains(host, F.lit(".")) & ~F.contains(host, F.lit(":"))) | F.coalesce(closed, F.lit(False)) | v6)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import boundary_key, collapse, is_garbled
+from ..functions.text import boundary_key, collapse, is_garbled, let
 
 #: Fixed values of running lines: lines at either end of a page, pages from which a document counts, pages and share of
 #: the pages on which a line must stand.
@@ -26,11 +26,15 @@ def paragraphs(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def unique_paragraphs(texts: DataFrame, id_column: str, text_column: str, least: int = PARAGRAPH) -> DataFrame:
     """(id, text) with the second and later copies of a long paragraph left out of each document. A copy has the same
     words after blanks are collapsed; short paragraphs stay. It is one map over the row's own array: no shuffle."""
-    parts = F.filter(F.split(text_column, "\n\n+"), lambda p: collapse(p) != "")
-    keyed = F.transform(parts, lambda p, i: F.struct(p.alias("p"), collapse(p).alias("k"), i.alias("i")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    kept = F.filter(keyed, lambda x: (F.char_length(x["k"]) < least) | (F.array_position(keys, x["k"]) == x["i"] + 1))
-    return texts.where(F.col(text_column).isNotNull()).select(id_column, F.array_join(F.transform(kept, lambda x: x["p"]), "\n\n").alias("text"))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return let(collapse(p), lambda key: F.when((key == "") | ((F.char_length(key) >= least) & F.array_contains(acc["seen"], key)), acc).otherwise(
+            F.struct(F.when(F.char_length(key) >= least, F.concat(acc["seen"], F.array(key))).otherwise(acc["seen"]).alias("seen"), F.concat(acc["kept"], F.array(p)).alias("kept"))
+        ))
+
+    kept = F.aggregate(F.split(text_column, "\n\n+"), start, step, lambda acc: acc["kept"])
+    return texts.where(F.col(text_column).isNotNull()).select(id_column, F.array_join(kept, "\n\n").alias("text"))
 
 
 def marked_pages(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
