@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import collapse, let
 from .html_nodes import attribute
 
 SEPARATORS = (" | ", " - ", " – ", " — ", " · ", " :: ")
@@ -15,12 +15,17 @@ LONGEST_TITLE = 300
 def clean_title(title: Column, site: Column) -> Column:
     """Blanks collapsed, the site's name taken off either end (twice at most), cut at the last blank before
     LONGEST_TITLE."""
-    text = collapse(title)
     name = collapse(site)
-    for _ in range(2):
-        for sep in SEPARATORS:
-            tail, head = F.concat(F.lit(sep), name), F.concat(name, F.lit(sep))
-            text = F.when(name.isNotNull() & F.endswith(text, tail), F.substring(text, F.lit(1), F.char_length(text) - F.char_length(tail))).when(name.isNotNull() & F.startswith(text, head), F.substring(text, F.char_length(head) + 1, F.char_length(text))).otherwise(text)
+
+    def strip(text: Column, sep: Column) -> Column:
+        tail, head = F.concat(sep, name), F.concat(name, sep)
+        return F.when(name.isNotNull() & F.endswith(text, tail), F.substring(text, F.lit(1), F.char_length(text) - F.char_length(tail))).when(name.isNotNull() & F.startswith(text, head), F.substring(text, F.char_length(head) + 1, F.char_length(text))).otherwise(text)
+
+    text = F.aggregate(F.array(*[F.lit(sep) for sep in SEPARATORS * 2]), collapse(title), strip)
+    return let(text, _shortened)
+
+
+def _shortened(text: Column) -> Column:
     cut = F.substring(text, 1, LONGEST_TITLE)
     return F.when(F.char_length(text) > LONGEST_TITLE, F.concat(F.regexp_replace(cut, r"\s\S*$", ""), F.lit("…"))).otherwise(text)
 
