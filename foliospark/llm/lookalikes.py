@@ -49,7 +49,7 @@ _TRAIL = regex.compile(r"[ \t]+(?=\n)|[ \t\n]+\Z")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _OTHER = regex.compile(r"[^\x00-\x7f]")
 #: Texts of Latin letters, usual marks and emoji alone are their own form, as soon as they are composed.
-_PLAIN = regex.compile(r"[\n -~\t¡-¬®-ɏ‒-…‰-⁞、-鿿가-힣\U0001f000-\U0001f3fa\U0001f400-\U0001faff]*")
+_PLAIN = regex.compile(r"[\n -~\t\u00a1-\u00ac\u00ae-\u024f\u2012-\u2026\u2030-\u205e\u3001-\u3098\u309b-\u9fff\uac00-\ud7a3\U0001f000-\U0001f3fa\U0001f400-\U0001faff]*")
 
 
 @lru_cache(maxsize=65536)
