@@ -211,14 +211,16 @@ def visible(text: str) -> str:
     """What a reader sees of a piece of marked text: links, emphasis, references and tags resolved."""
     if not _ACTIVE.search(text):
         return text.strip()
-    text = _REFERENCE.sub("", text)
+    if "<ref" in text or "[^" in text or "\\" in text:
+        text = _REFERENCE.sub("", text)
     if "[" in text:
         text = _WIKI_LINK.sub(lambda m: m.group(1) or m.group(2) or "", _LINK.sub(r"\1", text))
     if "\\" in text:
         text = _TEX_WRAP.sub(lambda m: m.group(1) or m.group(2) or m.group(3) or "", text)
     if "<" in text:
         text = _TAG.sub("", text)
-    text = _EMPHASIS.sub("", text)
+    if "*" in text or "`" in text or "_" in text or "''" in text:
+        text = _EMPHASIS.sub("", text)
     if "&" in text:
         text = unescape(text)
     return text.strip()

@@ -140,6 +140,8 @@ class Exemplars:
 def tokens(text: str, site: str) -> list[str]:
     """Words and signs in lower case; figures are 0, words of the site's name are ``site`` in lines of some length."""
     found = _WORD.findall(text.lower())
+    if not any(map(str.isdigit, found)) and (not site or len(found) < 3 or not any([w in site for w in found if len(w) > 3])):
+        return found
     if not site or len(found) < 3:
         return ["0" if w[0].isdigit() else w for w in found]
     return ["0" if w[0].isdigit() else "site" if w in site and len(w) > 3 and _names(w, site) else w for w in found]
@@ -194,7 +196,7 @@ def leaves(text: str, site: str, titles: tuple[str, ...], exemplars: Exemplars)
             tag = "h" if tag[0] == "h" and tag[1:].isdigit() else tag
         seen = visible(line) if _MARKED.search(line) else line.strip()
         words = tokens(seen, site)
-        count = sum([w.isalpha() for w in words])
+        count = sum(map(str.isalpha, words))
         stop = bool(_END.search(seen))
         long = count >= 6 and len(seen) >= 45 and (stop or count >= 14)
         few = len(exemplars.cues.intersection(words))
@@ -204,6 +206,7 @@ def leaves(text: str, site: str, titles: tuple[str, ...], exemplars: Exemplars)
         cue = ""
         if few and count and not near and not mark:
             cue = "most" if few * 2 >= count else "some" if few * 5 >= count and few > 1 else ""
+        linked = ("<a href" in line or "](/" in line) and _RELATIVE_LINK.match(line) is not None
         if mark == "quote" or tag == "blockquote" or _QUOTED.match(seen) or "\\begin{quote}" in line:
             kind = "quote"
         elif near == "around":
@@ -218,7 +221,7 @@ def leaves(text: str, site: str, titles: tuple[str, ...], exemplars: Exemplars)
             kind = "list"
         elif titles and not long and count and _is_title(seen, titles):
             kind = "title"
-        elif _RELATIVE_LINK.match(line):
+        elif linked:
             kind = "link"
         elif _BOLD.match(line):
             kind = "bold"
@@ -226,7 +229,7 @@ def leaves(text: str, site: str, titles: tuple[str, ...], exemplars: Exemplars)
             kind = "text"
         if kind == "teaser" or near == "around":
             long = False
-        shapes.append((at, kind, mark, after_blank, (tag, _size(count), stop, near, cue, kind == "text" and bool(_RELATIVE_LINK.match(line))), long, near))
+        shapes.append((at, kind, mark, after_blank, (tag, _size(count), stop, near, cue, kind == "text" and linked), long, near))
         after_blank = False
     last = len(shapes) - 1
     first_long = next((k for k, s in enumerate(shapes) if s[5]), len(shapes))
