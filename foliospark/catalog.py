@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import quality, text, urls
 from .functions.web import source_key
-from .operators import batch_state, cache_tables, documents, fetching, html_nodes, images, render, threads
+from .operators import batch_state, cache_tables, documents, fetching, html_nodes, images, render, sections, text_map, threads
 from .operators.instants import p4_found
 from .plans.rank import ranked_within
 from .sources.sinks import frontmatter
@@ -545,3 +545,77 @@ select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_exten
 def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+# Markdown texts whose repair depends on order, and sections
+
+@query("markdown_normalized")
+def markdown_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with links, slide footers, images and spacing mended."""
+    return text_map.normalized_markdown(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("markdown_round_trips", r"""select doc_id, true as kept from documents where text is not null""")
+def markdown_round_trips(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a document is the same, but for its blank lines, after its marks are taken out and put back."""
+    made = text_map.protected_round_trip(table(spark, folder, "documents").where("text is not null"), "doc_id", "text").withColumnRenamed("text", "made")
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    return table(spark, folder, "documents").select("doc_id", "text").join(made, "doc_id").select("doc_id", (bare("text") == bare("made")).alias("kept"))
+
+
+@query("repeated_blocks_dropped")
+def repeated_blocks_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents of pages without long lines that stand in one before."""
+    from .functions.markdown_text import drop_repeated_blocks
+
+    return text_map.map_text(table(spark, folder, "fetch_cache"), "fetch_id", "content", drop_repeated_blocks)
+
+
+@query("degenerate_tails")
+def degenerate_tails(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with one of the units that their end repeats."""
+    from .functions.markdown_text import cut_repeated_tail
+
+    return text_map.map_text(table(spark, folder, "documents"), "doc_id", "text", cut_repeated_tail)
+
+
+@query("rendering_scores")
+def rendering_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the browser's text of a page renders its content."""
+    pages = table(spark, folder, "fetch_cache").where("browser_content is not null and char_length(content) between 200 and 1500")
+    return text_map.scores(pages, "fetch_id", "content", "browser_content")
+
+
+@query("document_sections", r"""
+with d as (select doc_id, regexp_extract_all(text, '<!-- (?:Page|Slide) (?:number: ?)?\d+ -->') as marks, regexp_split_to_array(text, '<!-- (?:Page|Slide) (?:number: ?)?\d+ -->') as parts from documents where regexp_matches(text, '<!-- (Page|Slide) (number: ?)?\d+ -->')),
+e as (select doc_id, unnest(marks) as mark, generate_subscripts(marks, 1) - 1 as pos, unnest(parts[2:]) as part from d)
+select doc_id, cast(pos as int) as pos, lower(regexp_extract(mark, '(Page|Slide)', 1)) || ':' || regexp_extract(mark, '(\d+)', 1) as section_id, length(trim(part)) as size from e""")
+def document_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return sections.sections(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "pos", "section_id", F.char_length("body").alias("size"))
+
+
+@query("document_fingerprints", r"""select doc_id, sha256(left(text, 50000) || '|' || source) as digest from documents where text is not null""")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", sections.fingerprint(F.col("text"), F.array("source")).alias("digest"))
+
+
+@query("document_batches", r"""
+select doc_id, source, cast((row_number() over (partition by source order by lpad(cast(doc_id as varchar), 12, '0')) - 1) // 10 as int) as batch_no from documents where source is not null""")
+def document_batches(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "documents").where("source is not null").select("doc_id", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("at"))
+    return sections.batches(items, "source", "at", 10).select("doc_id", "source", "batch_no")
+
+
+@query("smart_cuts", r"""
+with h as (select doc_id, text, left(text, 1100) as head from documents where text is not null),
+p as (select *, regexp_extract(head, '(?s)^(.*)\n\n', 1) as para, regexp_extract(head, '(?s)^(.*[.!?。！？])(?:\s|\z)', 1) as sent from h)
+select doc_id, length(case when length(text) <= 1000 then text when length(para) >= 300 then para when length(sent) >= 300 then sent else left(text, 1000) end) as size from p""")
+def smart_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.char_length(text.smart_cut(F.col("text"), 1000)).alias("size"))
+
+
+@query("job_timeouts")
+def job_timeouts(spark: SparkSession, folder: str) -> DataFrame:
+    """A time limit for each scanned page by its length."""
+    chars = F.char_length(F.coalesce("text", F.lit("")))
+    return table(spark, folder, "ocr_results").select("ocr_id", text.timeout_seconds(F.lit(30), chars, 50.0, F.floor(chars / 4), F.lit(1), 1.5, 10.0, 600.0).alias("seconds"))
