@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import quality, text, urls
 from .functions.web import source_key
-from .operators import batch_state, cache_tables, documents, fetching, html_nodes, images, render, sections, text_map, threads
+from .operators import batch_state, cache_tables, documents, fetching, html_nodes, images, noise, render, sections, text_map, threads
+from .operators import site_pages as site_pages_ops
 from .operators.instants import p4_found
 from .plans.rank import ranked_within
 from .sources.sinks import frontmatter
@@ -619,3 +620,25 @@ def job_timeouts(spark: SparkSession, folder: str) -> DataFrame:
     """A time limit for each scanned page by its length."""
     chars = F.char_length(F.coalesce("text", F.lit("")))
     return table(spark, folder, "ocr_results").select("ocr_id", text.timeout_seconds(F.lit(30), chars, 50.0, F.floor(chars / 4), F.lit(1), 1.5, 10.0, 600.0).alias("seconds"))
+
+
+@query("page_readers", r"""select fetch_id, cast(null as varchar) as reader from fetch_cache where not regexp_matches(url, '//(www\.|old\.|mobile\.)?(github|reddit|x|twitter|youtube)\.com/|//news\.ycombinator\.com/|//youtu\.be/|bilibili\.com/|steampowered')""")
+def page_readers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetch_cache").select("fetch_id", site_pages_ops.reader_of(F.col("url")).alias("reader"))
+
+
+@query("noise_report")
+def noise_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Subtrees that each rule takes out of the HTML pages."""
+    from .plans.shared import materialise
+
+    pages = table(spark, folder, "fetch_cache").where(_HTML)
+    return noise.report(materialise(html_nodes.parse_nodes(pages, "fetch_id", "static_content"), "nodes"))
+
+
+@query("html_outline", r"""
+with h as (select fetch_id, static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]') and not regexp_matches(static_content, '<pre|```|~~~'))
+select level, count(*) as headings from (select unnest(regexp_extract_all(s, '(?i)<h([1-6])[ >]', 1)) as level from h) group by level""")
+def html_outline(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = html_nodes.parse_nodes(table(spark, folder, "fetch_cache").where(_HTML), "fetch_id", "static_content")
+    return html_nodes.heading_outline(nodes).groupBy(F.col("level").cast("string").alias("level")).agg(F.count("*").alias("headings"))

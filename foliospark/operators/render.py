@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote, urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,12 +15,85 @@ _SKIP = RAW | {"head", "svg", "iframe", "object", "button", "form", "input", "se
 _LANGUAGE = re.compile(r"(?:^|\s)(?:language|lang|highlight-source)-([\w+#-]+)")
 
 
-def to_markdown(html: str | None) -> str | None:
-    """Headings, paragraphs, lists, quotes, code, tables, links, images, emphasis and formulas of a page as Markdown; null
-    stays null."""
+#: Classes of boxed remarks, and the kinds they become.
+CALLOUTS = {"note": "note", "info": "info", "tip": "tip", "success": "tip", "warning": "warning", "caution": "caution", "danger": "caution", "important": "important", "primary": "note", "secondary": "note"}
+_BOX = re.compile(r"(?:^|[\s_-])(?:alert|admonition|callout|markdown-alert)(?:$|[\s_-])")
+_NOTE_TARGET = re.compile(r"#(?:fn|footnote|note|cite_note)[:_-]?([\w.-]+)$")
+_UNSAFE = re.compile(r"^[\s\x00-\x1f]*(?:javascript|vbscript|data(?!:image/))[\s\x00-\x1f]*:", re.IGNORECASE)
+
+
+def standardize(nodes: list[list], base: str | None = None, title: str | None = None) -> list[list]:
+    """The elements of a page in one form: several first headings one level lower, later headings that repeat the title
+    out, addresses absolute, unsafe ones out, permanent-link anchors of headings out, lazy pictures with their best
+    source, layout tables unwrapped, players as links."""
+    text = lambda k: " ".join("".join(t for j in range(k, nodes[k][4] + 1) if nodes[j][1] != "template" for _, t in nodes[j][3]).split())
+    several = sum(n[1] == "h1" for n in nodes) > 1
+    seen_title = False
+    for k, node in enumerate(nodes):
+        tag, attrs = node[1], node[2]
+        if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
+            for j in range(k + 1, node[4] + 1):
+                if nodes[j][1] == "a" and (text(j) in ("#", "¶", "§", "🔗", "") or re.search(r"(?:^|[\s_-])(?:anchor|permalink|headerlink)", nodes[j][2].get("class", ""))) and text(j) != text(k):
+                    nodes[j][1] = "template"
+            if title and " ".join(title.split()).lower() == text(k).lower():
+                if seen_title:
+                    node[1] = "template"
+                    continue
+                seen_title = True
+            if tag == "h1" and several:
+                node[1] = "h2"
+        elif tag in ("a", "area"):
+            href = unquote(attrs.get("href", ""))
+            if _UNSAFE.match(href):
+                attrs.pop("href", None)
+            elif base and attrs.get("href") and not attrs["href"].startswith("#"):
+                attrs["href"] = urljoin(base, attrs["href"])
+        elif tag == "img":
+            source = best_source_of(attrs.get("srcset") or attrs.get("data-srcset") or "") or attrs.get("data-src") or attrs.get("data-original") or attrs.get("src", "")
+            if _UNSAFE.match(source):
+                source = ""
+            attrs["src"] = urljoin(base, source) if base and source else source
+        elif tag == "iframe":
+            page = player_page(attrs.get("src", ""))
+            if page:
+                node[1], attrs["href"] = "a", page
+                node[3][:] = [(k + 1, page)]
+        elif tag == "table":
+            cells = [j for j in range(k + 1, node[4] + 1) if nodes[j][1] in ("td", "th")]
+            if len(cells) <= 1 and not any(nodes[j][1] == "th" for j in cells) or any(nodes[j][1] == "table" for j in range(k + 1, node[4] + 1)):
+                for j in range(k, node[4] + 1):
+                    if nodes[j][1] in ("table", "tbody", "tr", "td") and (j == k or nodes[j][1] != "table"):
+                        nodes[j][1] = "div"
+    return nodes
+
+
+def best_source_of(srcset: str) -> str:
+    """The picture of the greatest width, or density, of a source set; the first of equals."""
+    best, found = -1.0, ""
+    for part in re.split(r",\s+|,(?=https?:)", srcset):
+        words = part.split()
+        if words:
+            size = re.match(r"([\d.]+)([wx])$", words[1]) if len(words) > 1 else None
+            value = float(size.group(1)) * (1 if size.group(2) == "w" else 0.001) if size else 0.001
+            if value > best:
+                best, found = value, words[0]
+    return found
+
+
+def player_page(src: str) -> str:
+    """The page of an embedded player; empty for other frames."""
+    for pattern, page in ((r"(?:youtube(?:-nocookie)?\.com/embed/|youtu\.be/)([\w-]{6,})", "https://www.youtube.com/watch?v="), (r"player\.vimeo\.com/video/(\d+)", "https://vimeo.com/"), (r"player\.bilibili\.com/player\.html\?.*?bvid=(\w+)", "https://www.bilibili.com/video/"), (r"platform\.twitter\.com/embed/.*?[?&]id=(\d+)", "https://x.com/i/status/")):
+        if found := re.search(pattern, src):
+            return page + found.group(1)
+    return ""
+
+
+def to_markdown(html: str | None, base: str | None = None, title: str | None = None) -> str | None:
+    """Headings, paragraphs, lists, quotes, code, tables, links, images, emphasis, formulas, remarks and footnotes of a page
+    as Markdown; null stays null. ``base`` makes addresses absolute; later headings that repeat ``title`` are left out."""
     if html is None:
         return None
-    nodes = build(html)
+    nodes = standardize(build("<body>" + html), base, title)
     children: list[list[tuple[int, object]]] = [[(at, t) for at, t in n[3]] for n in nodes]
     roots = []
     for k, node in enumerate(nodes):
@@ -43,7 +117,14 @@ def _inline(k: int, nodes, children) -> str:
     if tag == "img":
         source = attrs.get("src") or attrs.get("data-src") or ""
         return f"![{attrs.get('alt', '').replace(']', '')}]({source})" if source and not source.startswith("data:") else ""
+    if tag == "span" and re.search(r"(?:^|\s)(?:katex|math|mwe-math)", attrs.get("class", "")):
+        formula = next(("".join(t for _, t in nodes[j][3]) for j in range(k, nodes[k][4] + 1) if nodes[j][1] == "annotation"), attrs.get("data-latex", ""))
+        if formula.strip():
+            return "$" + " ".join(formula.split()) + "$"
     if tag == "math":
+        formula = attrs.get("data-latex") or next(("".join(t for _, t in nodes[j][3]) for j in range(k, nodes[k][4] + 1) if nodes[j][1] == "annotation"), "")
+        if formula.strip():
+            return "$" + " ".join(formula.split()) + "$"
         return "$" + " ".join("".join(_flat(k, nodes, children)).split()) + "$"
     inner = "".join(re.sub(r"\s+", " ", x) if isinstance(x, str) else _inline(x, nodes, children) for _, x in children[k])
     body = inner.strip()
@@ -63,9 +144,11 @@ def _inline(k: int, nodes, children) -> str:
         return f"{lead}{fence}{body}{fence}{tail}"
     if tag == "a":
         href = attrs.get("href", "")
-        note = re.search(r"#fn:?(\w+)$", href)
-        if note and attrs.get("class", "").find("footnote") >= 0:
+        note = _NOTE_TARGET.search(href)
+        if note and re.fullmatch(r"\[?[\w*†‡]{1,4}\]?", body):
             return f"[^{note.group(1)}]"
+        if re.search(r"#(?:fnref|cite_ref|footnote-ref|ref)", href):
+            return ""
         return f"{lead}[{body}]({href}){tail}" if href and not href.lower().startswith("javascript:") else inner
     return inner
 
@@ -87,6 +170,15 @@ def _blocks(k: int, nodes, children, depth: int) -> list[str]:
         found = _LANGUAGE.search(attrs.get("class", "") + " " + inner.get("class", ""))
         fence = "`" * max(3, *(len(m) + 1 for m in re.findall(r"`{3,}", code)), 3)
         return [f"{fence}{found.group(1) if found else attrs.get('data-lang', '')}\n{code}\n{fence}"]
+    if tag in ("div", "aside", "section") and _BOX.search(attrs.get("class", "")):
+        kind = next((v for w in re.split(r"[\s_-]+", attrs.get("class", "")) if (v := CALLOUTS.get(w))), "note")
+        inner = "\n\n".join(_children(k, nodes, children, depth))
+        return [f"> [!{kind}]\n" + "\n".join(("> " + x).rstrip() for x in inner.split("\n"))] if inner.strip() else []
+    if tag == "figure":
+        parts = [p for _, x in children[k] if not isinstance(x, str) for p in (["*" + " ".join(_inline(x, nodes, children).split()) + "*"] if nodes[x][1] == "figcaption" else _blocks(x, nodes, children, depth) if nodes[x][1] in _BLOCKY else [_inline(x, nodes, children)])]
+        return [p for p in parts if p.strip("* ")]
+    if tag in ("ul", "ol") and any(not isinstance(x, str) and _NOTE_TARGET.search("#" + nodes[x][2].get("id", "")) for _, x in children[k]):
+        return [f"[^{_NOTE_TARGET.search('#' + nodes[x][2].get('id', '')).group(1)}]: " + " ".join(" ".join(_children(x, nodes, children, depth)).replace("↩", "").split()) for _, x in children[k] if not isinstance(x, str) and _NOTE_TARGET.search("#" + nodes[x][2].get("id", ""))]
     if tag in ("ul", "ol"):
         out, number = [], int(attrs["start"]) if attrs.get("start", "").isdigit() else 1
         for _, x in children[k]:

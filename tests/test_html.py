@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from foliospark.operators import html_nodes
+from foliospark.operators import html_nodes, noise, site_pages, threads
 from foliospark.operators.page_metadata import page_metadata
 from foliospark.operators.render import to_markdown
 
@@ -50,3 +50,36 @@ def test_source_sets(spark):
 def test_raw_pages(spark):
     frame = spark.createDataFrame([("<body><script>1</script><noscript><p>hi</p></noscript></body>",), ("a<wbr>b<template shadowrootmode='open'>c</template>",)], "h string")
     assert [r["h"] for r in frame.select(html_nodes.preprocess_html(F.col("h")).alias("h")).collect()] == ["<body><script>1</script><p>hi</p></body>", "abc"]
+
+
+def test_pages_are_standardised():
+    page = """<h1>Boats <a class="anchor" href="#b">#</a></h1><h1>More</h1><p>See <a href="/x">x</a> and <a href="java&#115;cript:alert(1)">bad</a><sup><a href="#fn1">1</a></sup>.</p>
+<div class="alert alert-warning"><p>Mind this.</p></div><img src="a.png" srcset="b.png 100w, c.png 900w"><iframe src="https://www.youtube.com/embed/abcdefghijk"></iframe>
+<table><tr><td><p>only cell</p></td></tr></table><span class="katex"><math><annotation>x^2</annotation></math></span><figure><img src="f.png"><figcaption>Cap</figcaption></figure><ol class="footnotes"><li id="fn1">Note <a href="#fnref1">↩</a></li></ol><h2>boats</h2>"""
+    made = to_markdown(page, "https://h.example/d/", "Boats")
+    assert made.startswith("## Boats\n\n## More\n\nSee [x](https://h.example/x) and bad[^1].\n\n> [!warning]\n> Mind this.") and "![](https://h.example/d/c.png)" in made and "(https://www.youtube.com/watch?v=abcdefghijk)" in made
+    assert "only cell" in made and "|" not in made and "$x^2$" in made and "*Cap*" in made and "[^1]: Note" in made and not made.rstrip().endswith("boats")
+
+
+def test_rules_take_out_what_surrounds(spark):
+    body = "<body><nav>Home</nav><p class='eyebrow'>News</p><h1>Title of it</h1><p>By Ann Miller</p><p>3 min read</p><p>" + "The first paragraph of the page has many words, and it goes on and on. " * 12 + "</p><div>Share this story</div><h3>Related stories</h3><ul><li><a href='/1'>one two</a></ul><p>© 2024 All rights reserved</p></body>"
+    found = nodes(spark, body)
+    rules = {r["rule"] for r in noise.removals(found).collect()}
+    assert noise.report(found).count() >= 5 and {"noise", "byline", "read_time", "share", "related", "boilerplate"} <= rules
+    left = html_nodes.text_of(html_nodes.without_subtrees(found, noise.removals(found))).first()["text"]
+    assert left.startswith("Title of it The first paragraph") and "Share" not in left and "rights" not in left
+
+
+def test_readers_and_threads(spark):
+    urls = ["https://github.com/a/b/issues/5", "https://github.com/a/b", "https://news.ycombinator.com/item?id=1", "https://x.com/a/status/9", "https://example.org/"]
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r["x"] for r in frame.select(site_pages.reader_of(F.col("u")).alias("x")).collect()] == ["issue", "repository", "news_thread", "post", None]
+    rows = "".join(f"<tr class='athing comtr' id='c{k}'><td class='ind' indent='{d}'></td><td><a class='hnuser'>u{k}</a><span class='commtext'>text {k}</span></td></tr>" for k, d in enumerate((0, 1, 2, 1)))
+    thread = site_pages.indented_comments(nodes(spark, f"<table>{rows}</table>"))
+    found = {r["id"]: r["parent_id"] for r in threads.parents_by_depth(thread.select("thread_id", "pos", "depth", "id")).collect()}
+    assert found == {"c0": None, "c1": "c0", "c2": "c1", "c3": "c0"}
+    nested = nodes(spark, "<div class='comment'><i class='a'>x</i><p class='b'>one</p><div class='comment'><i class='a'>y</i><p class='b'>two</p></div></div>")
+    made = {r["author"]: (r["body"], r["parent_id"]) for r in site_pages.nested_comments(nested, "comment", "a", "b").collect()}
+    assert made == {"x": ("one", None), "y": ("two", 0)}
+    codes = spark.createDataFrame([("[b]x[/b] [url=https://a.b]y[/url] [list][*]one[*]two[/list]",)], "t string")
+    assert codes.select(site_pages.bbcode_html(F.col("t")).alias("h")).first()["h"] == '<strong>x</strong> <a href="https://a.b">y</a> <ul><li>one</li><li>two</li></ul>'
