@@ -73,8 +73,9 @@ class Exemplars:
         seen: dict[str, int] = {}
         for label, texts in (("around", AROUND), ("message", MESSAGES)):
             for text in dict.fromkeys([*texts, *(part for t in texts if "." in t for part in _SENTENCES.split(t) if len(part.split()) > 3)]):
-                free = 99 if "TITLE" in text else 3 if "NAME" in text or "x" in text.split() else 0
-                bag = frozenset(tokens(text.replace("TITLE", " ").replace("NAME", " "), "")) - {"x"}
+                # the words of a site's or a person's name are free
+                free = 99 if "TITLE" in text else 3 * (("NAME" in text) + ("SITE" in text) + ("x" in text.split()))
+                bag = frozenset(tokens(text.replace("TITLE", " ").replace("NAME", " ").replace("SITE", " "), "")) - {"x"}
                 if len(bag - {"|", "·", "/", "»", ":", "0", "…"}) == 0 or (free and len(bag) < 2):
                     continue
                 self.known.append((bag, free, label))

@@ -50,6 +50,11 @@ _LAST_WORD = re.compile(r"([^\W\d_]+)$")
 _ITEM_FORMS = frozenset(("bullet", "numbered", "htmlitem", "wikistars", "wikihash", "texitem"))
 _HEADING_FORMS = frozenset(("hash1", "hash2", "htmlheading", "wikiheading", "texheading"))
 
+#: Signs that may follow a whole line.
+_ORNAMENT = re.compile(r"\s+[→←↑—–]+\s*$|^[—–]\s+(?=\S+ \S+ \S)")
+#: Words of one letter, in the languages that have them.
+_LETTER_WORDS = "a", "i", "y", "o", "e", "à", "ù", "и", "в", "с", "к", "о", "у", "я", "а"
+
 WHOLE, CUT, DOUBT = -1, 1, 0
 
 
@@ -82,7 +87,7 @@ def ending(text: str, site: str, exemplars: Exemplars) -> tuple[int, str, bool,
     if form == "display":
         closed = bool(re.search(r"\\\]\s*(?:</\w+>)?\s*$|\\end\{\w+\*?\}\s*$|</\w+>\s*$", line)) or (inner.lstrip().startswith("$$") and inner.count("$$") == 2)
         return (CUT if mark or not closed else WHOLE), "formula", mark, "", ""
-    seen = visible(line) if _MARKED.search(line) else line.strip()
+    seen = _ORNAMENT.sub("", visible(line) if _MARKED.search(line) else line.strip())
     words = tokens(seen, site)
     near = exemplars.nearest(words) if len(words) < 40 else ""
     around = near == "around" or (bool(words) and exemplars.row(seen, site))
@@ -140,6 +145,8 @@ def _open(blocks: list[Block], body: str, line: str, form: str, stop: bool) -> b
                 opened[name.lower()] = opened.get(name.lower(), 0) + 1
             for name in _CLOSERS.findall(part):
                 opened[name.lower()] = opened.get(name.lower(), 0) - 1
+        if line.startswith("<p>") and "</p>" not in line and all("</p>" in x for x in body.split("\n")[:-1] if x.startswith("<p>")):
+            return not stop
         if any(n > 0 for n in opened.values()) or line.count("<ref") > line.count("</ref") + line.count("/>"):
             return True
     if "\\begin{" in body and form in ("texitem", "container", "paragraph"):
@@ -148,7 +155,7 @@ def _open(blocks: list[Block], body: str, line: str, form: str, stop: bool) -> b
             return True
     if stop:
         return False
-    line = INLINE_CODE.sub("", line)
+    line = INLINE_CODE.sub("", line.replace("``", ""))
     if _OPEN_LINK.search(line) or ("\\" in line and _OPEN_COMMAND.search(line)):
         return True
     if line.count("**") % 2 or "`" in line or line.count("'''") % 2 or len(re.findall(r"\$(?!\d)", line)) % 2 or line.count("{{") > line.count("}}"):
@@ -293,21 +300,22 @@ def cut_values(pages: DataFrame, metadata: DataFrame) -> DataFrame:
     lines = materialise(corpus_lines(contents).join(asked, ["part", "text"], "left_semi"), "line-ends")
     words = corpus_words(contents).join(doubtful.select("word").where("word <> ''").distinct(), "word", "left_semi")
     of = lambda part, name: lines.where(F.col("part") == part).select(F.col("text").alias(name), F.col("n_stop").alias(f"{name}_stop"), F.col("n_bare").alias(f"{name}_bare"))
-    weighed = doubtful.join(of(2, "two"), "two", "left").join(of(1, "one"), "one", "left").join(of(0, "word"), "word", "left").join(words, "word", "left").select("field_name", "row_id", _doubt().alias("doubt"))
+    weighed = doubtful.join(of(2, "two"), "two", "left").join(of(1, "one"), "one", "left").join(of(0, "word"), "word", "left").join(words, "word", "left").select("field_name", "row_id", _doubt(judged.where("field_name = 'content'").count()).alias("doubt"))
     joined = judged.join(domain_limits, ["field_name", "source", "chars"], "left").join(strategy_limits, ["field_name", "strategy", "chars"], "left").join(weighed.withColumnRenamed("row_id", "r").withColumnRenamed("field_name", "f"), (F.col("row_id") == F.col("r")) & (F.col("field_name") == F.col("f")), "left")
     by_ending = F.when(F.col("verdict") == CUT, SURE).when(F.col("verdict") == WHOLE, F.when(F.col("kind").isin("stop"), -SURE + 1.0).otherwise(-SURE)).otherwise(F.col("doubt"))
     by_length = F.greatest(F.coalesce("domain_llr", F.lit(0.0)), F.coalesce("strategy_llr", F.lit(0.0)), F.lit(0.0))
     return joined.select("field_name", "row_id", "source", "strategy", (F.lit(PRIOR) + by_ending + by_length).alias("log_odds"))
 
 
-def _doubt() -> F.Column:
+def _doubt(contents: int) -> F.Column:
     """Evidence of values in doubt: the last word is no word of the corpus, or hardly ever ends a line; lines that
     begin alike end in a stop. The value's own line does not count."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n = zero("n")
-    broken = F.when(F.col("word") == "", 0.0).when(n <= 1, 4.5).when(n <= 3, 1.0).otherwise(-1.5)
+    letter = (F.char_length("word") == 1) & ~F.col("word").isin(*_LETTER_WORDS)
+    broken = F.when(F.col("word") == "", 0.0).when(letter | (n <= max(1.0, 1e-4 * contents)), 4.5).when(n <= max(3.0, 4e-4 * contents), 1.0).otherwise(-1.5)
     rate = (F.greatest(zero("word_bare") - 1, F.lit(0)) + 0.3) / (n + 3)
-    final = F.when((F.col("word") == "") | (n <= 3), 0.0).otherwise(F.least(F.greatest(F.log(0.03 / rate), F.lit(-1.5)), F.lit(4.5)))
+    final = F.when((F.col("word") == "") | (n <= max(3.0, 1e-4 * contents)), 0.0).otherwise(F.least(F.greatest(F.log(0.03 / rate), F.lit(-1.5)), F.lit(4.5)))
     seen = zero("two_stop") + zero("two_bare") >= 6
     stop, bare = F.when(seen, zero("two_stop")).otherwise(zero("one_stop")), F.when(seen, zero("two_bare")).otherwise(zero("one_bare"))
     alike = F.log((stop + 0.5) / (F.greatest(bare - 1, F.lit(0)) + 0.5))
