@@ -202,7 +202,7 @@ def leaves(text: str, site: str, titles: tuple[str, ...], exemplars: Exemplars)
         long = count >= 6 and len(seen) >= 45 and (stop or count >= 14)
         few = len(exemplars.cues.intersection(words))
         near = exemplars.nearest(words) if count < 9 or (few and count < 40) else ""
-        if near in ("", "like") and not mark and count and (_ROW.search(seen) and exemplars.row(seen, site) or few > 1 and _SENTENCES.search(seen) and exemplars.chained(seen, site) or stop is False and _BYLINE.match(seen)):
+        if near in ("", "like") and not mark and count and (_ROW.search(seen) and exemplars.row(seen, site) or few > 1 and _SENTENCES.search(seen) and exemplars.chained(seen, site) or stop is False and _BYLINE.match(seen) or len(seen) > 8 and (seen[0] == "←" or seen[-1] == "→")):
             near = "around"
         cue = ""
         if few and count and not near and not mark:
