@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.web import source_key
 from ..plans.shared import materialise
 from ..sources.tables import table
@@ -29,8 +30,7 @@ MIN_SHARE = 0.2
 
 def letters_key(line: Column) -> Column:
     """A 128-bit key of the line's letters, null when it has fewer than MIN_LETTERS."""
-    letters = F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
-    return F.when(F.char_length(letters) >= MIN_LETTERS, F.unhex(F.md5(letters)))
+    return let(F.regexp_replace(F.lower(line), r"[^\p{L}]+", ""), lambda letters: F.when(F.char_length(letters) >= MIN_LETTERS, F.unhex(F.md5(letters))))
 
 
 def page_sources(pages: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -41,12 +41,10 @@ def page_sources(pages: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def page_lines(pages: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(fetch_id, line_no, source, url_key, line_key) of every counting line. Keys are made before the shuffle, so no
-    text is moved."""
-    keyed = pages.where("content is not null and url is not null").select(
-        "fetch_id", "cache_key", F.xxhash64("url").alias("url_key"), F.posexplode(F.split("content", "\n", -1)).alias("at", "line")
-    ).select("fetch_id", "cache_key", "url_key", (F.col("at") + 1).alias("line_no"), letters_key(F.col("line")).alias("line_key")).where("line_key is not null")
-    packed = keyed.groupBy("fetch_id", "cache_key", "url_key").agg(F.collect_list(F.struct("line_no", "line_key")).alias("lines"))
+    """(fetch_id, line_no, source, url_key, line_key) of every counting line. A page's keys are one array, made before the
+    join with its sources, so no text is moved and lines are not shuffled by themselves."""
+    numbered = F.transform(F.split("content", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), letters_key(x).alias("line_key")))
+    packed = pages.where("content is not null and url is not null").select("fetch_id", "cache_key", F.xxhash64("url").alias("url_key"), F.filter(numbered, lambda x: x["line_key"].isNotNull()).alias("lines"))
     return page_sources(packed, metadata).select("fetch_id", "source", "url_key", F.inline("lines"))
 
 
