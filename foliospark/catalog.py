@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import quality, text, urls
+from .functions import paths, quality, text, urls
 from .functions.web import source_key
-from .operators import batch_state, cache_tables, documents, fetching, html_nodes, images, noise, render, sections, text_map, threads
+from .operators import batch_state, cache_tables, documents, extraction, fetching, html_nodes, images, noise, render, reports, sections, text_map, threads
 from .operators import site_pages as site_pages_ops
 from .operators.instants import p4_found
 from .plans.rank import ranked_within
@@ -258,7 +258,7 @@ def state_by_host(spark: SparkSession, folder: str) -> DataFrame:
 @query("state_durations", r"""
 with d as (select item_key, round((epoch_us(max(logged_at)) - epoch_us(min(logged_at))) / 1e6, 3) as seconds from state_log group by item_key)
 select item_key, seconds, case when seconds < 60 then printf('%.1f', floor(seconds * 10 + 0.499999999) / 10) || 's' when seconds < 3600 then lpad(cast(cast(floor(seconds) as bigint) // 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor(seconds) as bigint) % 60 as varchar), 2, '0')
-  else lpad(cast(cast(floor(seconds) as bigint) // 3600 as varchar), 2, '0') || ':' || lpad(cast(cast(floor(seconds) as bigint) // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor(seconds) as bigint) % 60 as varchar), 2, '0') end as shown from d""")
+  else case when seconds < 36000 then '0' else '' end || cast(cast(floor(seconds) as bigint) // 3600 as varchar) || ':' || lpad(cast(cast(floor(seconds) as bigint) // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor(seconds) as bigint) % 60 as varchar), 2, '0') end as shown from d""")
 def state_durations(spark: SparkSession, folder: str) -> DataFrame:
     return batch_state.item_durations(table(spark, folder, "state_log"))
 
@@ -642,3 +642,60 @@ select level, count(*) as headings from (select unnest(regexp_extract_all(s, '(?
 def html_outline(spark: SparkSession, folder: str) -> DataFrame:
     nodes = html_nodes.parse_nodes(table(spark, folder, "fetch_cache").where(_HTML), "fetch_id", "static_content")
     return html_nodes.heading_outline(nodes).groupBy(F.col("level").cast("string").alias("level")).agg(F.count("*").alias("headings"))
+
+
+# paths, extraction and reports
+
+@query("media_types", r"""
+select fmt, count(*) as n, max(case fmt when 'html' then 'text/html' when 'md' then 'text/markdown' when 'txt' then 'text/plain' when 'pdf' then 'application/pdf' when 'eml' then 'message/rfc822' when 'ipynb' then 'application/x-ipynb+json'
+  when 'pptx' then 'application/vnd.openxmlformats-officedocument.presentationml.presentation' when 'xlsx' then 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' end) as media_type from documents group by fmt""")
+def media_types(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").groupBy("fmt").agg(F.count("*").alias("n"), F.max(paths.media_type(F.concat(F.lit("x."), "fmt"))).alias("media_type"))
+
+
+@query("versioned_outputs", r"""
+with r as (select fetch_id, regexp_extract(url, '^([^?#]*)', 1) as item_key, row_number() over (partition by regexp_extract(url, '^([^?#]*)', 1) order by lpad(cast(fetch_id as varchar), 12, '0')) as v from fetch_cache)
+select fetch_id, case when v < 2 then 'page.llm.md' else 'page.v' || v || '.llm.md' end as output_name from r""")
+def versioned_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """The name of every delivery of a page when none may replace another."""
+    items = table(spark, folder, "fetch_cache").select("fetch_id", F.regexp_extract("url", "^([^?#]*)", 1).alias("item_key"), F.lpad(F.col("fetch_id").cast("string"), 12, "0").alias("at"))
+    return ranked_within(items, ["item_key"], ["at"]).select("fetch_id", paths.versioned(F.lit("page.llm.md"), F.col("rank") + 1).alias("output_name"))
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    from .plans.shared import materialise
+
+    pages = table(spark, folder, "fetch_cache").where(_HTML).select("fetch_id", F.concat(F.lit("<body>"), "static_content", F.lit("</body>")).alias("html"))
+    return materialise(html_nodes.parse_nodes(pages, "fetch_id", "html"), "nodes")
+
+
+@query("extraction_levels")
+def extraction_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The level at which the content of each HTML page is extracted."""
+    return extraction.extraction_levels(_nodes(spark, folder))
+
+
+@query("content_starts")
+def content_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """The first prose block of each HTML page."""
+    return extraction.content_start(_nodes(spark, folder))
+
+
+@query("item_reports")
+def item_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON report for each item of the log."""
+    return reports.item_reports(state_replayed(spark, folder), table(spark, folder, "item_usage"))
+
+
+@query("run_report", f"""with {_STATE}, t as (select epoch_us(max(logged_at)) - epoch_us(min(logged_at)) as us from state_log), s as (select cast(floor(us / 1e6) as bigint) as s from t)
+select '{{"summary":{{"total":' || count(*) || ',"completed":' || count(*) filter (status = 'completed') || ',"failed":' || count(*) filter (status = 'failed') || '}},"duration":"' ||
+  (select case when s < 3600 then lpad(cast(s // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') else case when s < 36000 then '0' else '' end || cast(s // 3600 as varchar) || ':' || lpad(cast(s // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') end from s) || '"}}' as report from state""")
+def run_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.run_report(state_replayed(spark, folder), table(spark, folder, "state_log"))
+
+
+@query("source_reports", f"""with {_STATE}, k as (select *, lower(regexp_extract(item_key, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)) as host from state)
+select host, '{{"total":' || count(*) || ',"completed":' || count(*) filter (status = 'completed') || ',"failed":' || count(*) filter (status = 'failed') || '}}' as report from k group by host""")
+def source_reports(spark: SparkSession, folder: str) -> DataFrame:
+    items = state_replayed(spark, folder).withColumn("host", urls.host_of(urls.url_part(F.col("item_key"), 2)))
+    return reports.by_source(items, "host")

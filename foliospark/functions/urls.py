@@ -96,7 +96,7 @@ def is_route_token(segment: Column) -> Column:
 
 def secret_segments(path: Column) -> Column:
     """The positions, from 0, of the path segments that look secret; the segment before gives the context."""
-    parts = F.transform(F.split(path, "/", -1), lambda s: F.url_decode(s))
+    parts = F.transform(F.split(path, "/", -1), lambda s: F.coalesce(F.try_url_decode(s), s))
     pairs = F.transform(parts, lambda s, i: F.struct(i.alias("at"), s.alias("segment"), F.when(i > 0, F.get(parts, i - 1)).otherwise("").alias("before")))
 
     def secret(x: Column) -> Column:
@@ -131,11 +131,11 @@ def ipv4_number(host: Column) -> Column:
     octal or hexadecimal); null for other hosts."""
     parts = F.split(host, r"\.")
     good = host.rlike(r"^(?i)(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+)){0,3}$")
-    value = lambda p: F.when(F.lower(p).startswith("0x"), F.conv(F.substring(F.lower(p), 3, 20), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).when(p.rlike(r"^(0|[1-9]\d*)$"), p).cast("decimal(20,0)")
+    value = lambda p: F.when(F.lower(p).startswith("0x"), F.conv(F.substring(F.lower(p), 3, 20), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).when(p.rlike(r"^(0|[1-9]\d*)$"), p).try_cast("decimal(20,0)")
     numbers = F.transform(parts, value)
     n = F.size(parts)
     last = F.element_at(numbers, -1)
-    width = F.element_at(F.array(F.lit(32), F.lit(24), F.lit(16), F.lit(8)), n)
+    width = F.get(F.array(F.lit(32), F.lit(24), F.lit(16), F.lit(8)), n - 1)
     head = F.slice(numbers, 1, F.greatest(n - 1, F.lit(0)))
     fits = ~F.exists(head, lambda v: v.isNull() | (v > 255)) & last.isNotNull() & (last < F.pow(F.lit(2), width))
     packed = F.aggregate(head, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(24).alias("shift")), lambda a, v: F.struct((a["sum"] + v.cast("long") * F.pow(F.lit(2), a["shift"]).cast("long")).alias("sum"), (a["shift"] - 8).alias("shift")))["sum"]

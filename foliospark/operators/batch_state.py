@@ -64,7 +64,7 @@ def url_report(state: DataFrame) -> DataFrame:
 def duration_text(seconds: Column) -> Column:
     """12.3s below a minute, mm:ss below an hour, else hh:mm:ss; null is 0s."""
     whole = F.floor(seconds).cast("long")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
     return (
         F.when(seconds.isNull(), "0s").when(seconds < 60, F.concat(F.format_string("%.1f", F.floor(seconds.cast("double") * 10 + 0.499999999) / 10), F.lit("s")))
         .when(seconds < 3600, F.concat(two(F.floor(whole / 60)), F.lit(":"), two(whole % 60)))

@@ -42,7 +42,7 @@ def marked_pages(texts: DataFrame, id_column: str, text_column: str) -> DataFram
     out, texts without markers have no pages."""
     cut = F.slice(F.split(text_column, MARKER, -1), 2, 1_000_000)
     numbers = F.regexp_extract_all(text_column, F.lit(r"<!-- (?:Page|Slide) (?:number: ?)?(\d+) -->"), 1)
-    return texts.where(F.col(text_column).rlike(MARKER)).select(id_column, F.explode(F.arrays_zip(numbers.alias("n"), cut.alias("t"))).alias("x")).select(id_column, F.col("x.n").cast("int").alias("page_no"), F.col("x.t").alias("text"))
+    return texts.where(F.col(text_column).rlike(MARKER)).select(id_column, F.explode(F.arrays_zip(numbers.alias("n"), cut.alias("t"))).alias("x")).select(id_column, F.col("x.n").try_cast("int").alias("page_no"), F.col("x.t").alias("text"))
 
 
 def is_protected(line: Column) -> Column:

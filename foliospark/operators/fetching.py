@@ -40,7 +40,7 @@ def matches_pattern(netloc: Column, pattern: Column) -> Column:
     """Host patterns: ``*``, ``.suffix`` and ``*.suffix`` for subdomains, IPv4 blocks, or the host itself."""
     host = F.regexp_replace(F.trim(host_of(netloc)), r"\.+$", "")
     p = F.regexp_replace(F.lower(F.trim(pattern)), r"^\*\.", ".")
-    bits = F.regexp_extract(p, r"/(\d{1,2})$", 1).cast("int")
+    bits = F.regexp_extract(p, r"/(\d{1,2})$", 1).try_cast("int")
     size = F.pow(F.lit(2), 32 - bits).cast("long")
     inside = F.floor(ipv4_number(host) / size) == F.floor(ipv4_number(F.split_part(p, F.lit("/"), F.lit(1))) / size)
     return (host != "") & (p != "") & F.when(p == "*", True).when(p.startswith("."), F.endswith(host, p)).when(F.contains(p, F.lit("/")), F.coalesce(inside & host.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.lit(False))).otherwise(host == p)

@@ -237,7 +237,7 @@ def hidden_nodes(nodes: DataFrame) -> DataFrame:
 
 def small_images(nodes: DataFrame) -> DataFrame:
     """Images of which both sides are known to be under 33 pixels."""
-    side = lambda name: F.regexp_extract(attribute(name), r"^(\d+)", 1).cast("int")
+    side = lambda name: F.regexp_extract(attribute(name), r"^(\d+)", 1).try_cast("int")
     return nodes.where(F.col("tag").isin("img", "svg") & (side("width") < 33) & (side("height") < 33))
 
 
@@ -280,7 +280,7 @@ def tag_counts(nodes: DataFrame) -> DataFrame:
 
 def heading_outline(nodes: DataFrame) -> DataFrame:
     """(page_id, pre, level, heading) of headings that show text."""
-    return nodes.where(F.col("tag").rlike("^h[1-6]$") & (F.col("text") != "")).select("page_id", "pre", F.substring("tag", 2, 1).cast("int").alias("level"), F.col("text").alias("heading"))
+    return nodes.where(F.col("tag").rlike("^h[1-6]$") & (F.col("text") != "")).select("page_id", "pre", F.substring("tag", 2, 1).try_cast("int").alias("level"), F.col("text").alias("heading"))
 
 
 def link_relation(nodes: DataFrame) -> DataFrame:
@@ -291,5 +291,5 @@ def link_relation(nodes: DataFrame) -> DataFrame:
 def best_source(srcset: Column) -> Column:
     """The picture of the greatest width or density of a source set; the first of equals."""
     parts = F.transform(F.split(srcset, r",\s+|,(?=https?:)"), lambda p: F.trim(p))
-    sized = F.transform(F.filter(parts, lambda p: p != ""), lambda p, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(p, r"\s([\d.]+)[wx]$", 1), F.lit("")).cast("double"), F.lit(1.0)).alias("size"), (-i).alias("o"), F.regexp_extract(p, r"^(\S+)", 1).alias("url")))
+    sized = F.transform(F.filter(parts, lambda p: p != ""), lambda p, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(p, r"\s([\d.]+)[wx]$", 1), F.lit("")).try_cast("double"), F.lit(1.0)).alias("size"), (-i).alias("o"), F.regexp_extract(p, r"^(\S+)", 1).alias("url")))
     return F.array_max(sized)["url"]

@@ -50,7 +50,7 @@ def indented_comments(nodes: DataFrame, row_class: str = "comtr", indent_class:
     rows = nodes.where((F.col("tag") == "tr") & has_class(row_class)).select("page_id", F.col("pre").alias("c"), F.col("last").alias("z"), attribute("id").alias("row_id"))
     held = nodes.where(has_class(indent_class) | has_class(author_class) | has_class(body_class)).select("page_id", "pre", "text", attribute("indent").alias("indent"), has_class(author_class).alias("a"), has_class(body_class).alias("b"))
     joined = rows.join(held, "page_id").where("pre between c and z")
-    return joined.groupBy("page_id", "c", "row_id").agg(F.coalesce(F.max(F.when(F.col("indent").rlike(r"^\d+$"), F.col("indent").cast("int"))), F.lit(0)).alias("depth"), F.max(F.when(F.col("a"), F.col("text"))).alias("author"), F.max(F.when(F.col("b"), F.col("text"))).alias("body")).select(
+    return joined.groupBy("page_id", "c", "row_id").agg(F.coalesce(F.max(F.when(F.col("indent").rlike(r"^\d+$"), F.col("indent").try_cast("int"))), F.lit(0)).alias("depth"), F.max(F.when(F.col("a"), F.col("text"))).alias("author"), F.max(F.when(F.col("b"), F.col("text"))).alias("body")).select(
         F.col("page_id").alias("thread_id"), F.when(F.col("row_id") == "", F.concat(F.lit("comment-"), F.col("c").cast("string"))).otherwise(F.col("row_id")).alias("id"), F.col("c").alias("pos"), "depth", "author", "body"
     )
 

@@ -65,3 +65,10 @@ def test_decisions(spark):
     found = spark.createDataFrame(rows, schema).select(fetching.decide(c("domain"), c("spa"), F.lit(False), c("explicit"), c("local"), c("domain_order"), c("prefers"), c("global_order"), c("enabled")).alias("d")).collect()
     assert [r["d"]["reason"] for r in found] == ["explicit_jina", "local_only_pattern", "private_or_local", "domain_priority", "domain_prefer_jina", "global_priority", "disabled", "spa_or_pattern", "default"]
     assert found[1]["d"]["order"] == ["playwright", "static"] and found[4]["d"]["order"] == ["jina", "static", "playwright", "defuddle", "cloudflare"]
+
+
+def test_malformed_addresses_do_not_fail(spark):
+    odd = ["https://h.org/%zz/%", "https://h.org:99999999999/x", "https://[::1", "http://1.2.3.4.5/", "https://h.org/?%=%&&=", "https://0x/", "https://999999999999999999999999/", "://", "https://h.org/a#=b", ""]
+    for use in (urls.redact_url, urls.url_filename, urls.assess_remote, urls.has_credentials):
+        evaluate(spark, use, odd)
+    evaluate(spark, lambda h: fetching.matches_pattern(h, F.lit("10.0.0.0/99")), odd)
