@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, quality, text, urls
 from .functions.web import source_key
-from .operators import batch_state, cache_tables, documents, extraction, fetching, html_nodes, images, noise, render, reports, sections, text_map, threads
+from .operators import batch_state, cache_tables, documents, extraction, fetching, html_nodes, images, noise, render, reports, retries, sections, text_map, threads
 from .operators import site_pages as site_pages_ops
 from .operators.instants import p4_found
 from .plans.rank import ranked_within
@@ -699,3 +699,45 @@ select host, '{{"total":' || count(*) || ',"completed":' || count(*) filter (sta
 def source_reports(spark: SparkSession, folder: str) -> DataFrame:
     items = state_replayed(spark, folder).withColumn("host", urls.host_of(urls.url_part(F.col("item_key"), 2)))
     return reports.by_source(items, "host")
+
+
+_WRITES = r"""
+d as (select *, row_number() over (partition by item_key, seq order by status desc, output_path desc nulls last) as rn from state_log where status in ('completed', 'failed') and item_key is not null and seq is not null),
+w as (select item_key, seq, status, output_path from d where rn = 1),
+l as (select *, row_number() over (partition by item_key order by seq desc) as rn from w where status = 'completed'),
+k as (select item_key, max(case when status = 'failed' then seq end) as failed_at, count(distinct case when status = 'completed' then output_path end) as outputs from w group by 1),
+kept as (select k.item_key, l.output_path, coalesce(failed_at > l.seq, false) as rolled_back, outputs - case when l.output_path is null then 0 else 1 end as superseded from k left join l on l.item_key = k.item_key and l.rn = 1)"""
+
+
+@query("retry_kept_results", f"with {_WRITES} select * from kept")
+def retry_kept_results(spark: SparkSession, folder: str) -> DataFrame:
+    return retries.kept_results(table(spark, folder, "state_log"))
+
+
+@query("retry_superseded_outputs", f"""with {_WRITES}
+select distinct w.item_key, w.output_path from w left join kept on kept.item_key = w.item_key and kept.output_path = w.output_path
+where w.status = 'completed' and w.output_path is not null and kept.item_key is null""")
+def retry_superseded_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    return retries.superseded_outputs(table(spark, folder, "state_log"))
+
+
+@query("job_durations", r"""
+with i as (select item_key, epoch_us(min(logged_at)) // 1000 as a, epoch_us(max(case when status <> 'in_progress' then logged_at end)) // 1000 as b,
+  coalesce(max(case when status = 'completed' then seq end) > min(case when status = 'failed' then seq end), false) as again from state_log where item_key is not null group by 1)
+select lower(regexp_extract(item_key, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) as job, cast(coalesce(max(case when again then b - a end), case when max(b) - min(a) is not null then greatest(0, max(b) - min(a)) end, max(b - a)) as bigint) as duration_ms from i group by 1""")
+def job_durations(spark: SparkSession, folder: str) -> DataFrame:
+    return retries.job_durations(retries.attempt_spans(table(spark, folder, "state_log")))
+
+
+@query("model_choices", r"""
+with u as (select usage_id, (usage_id * 37 % 1000) / 1000.0 as draw, input_tokens > 3000 as sees, usage_id % 100 as moment from item_usage)
+select usage_id, case
+  when coalesce(sees, false) then 'slate-vision'
+  when coalesce(moment, 0) < 20 then 'umber-small'
+  when moment < 50 then case when draw * 8 < 5 then 'umber-small' else 'slate-vision' end
+  when draw * 10 < 5 then 'umber-small' when draw * 10 < 8 then 'slate-vision' else 'umber-large' end as model_name from u""")
+def model_choices(spark: SparkSession, folder: str) -> DataFrame:
+    models = [("umber-small", 5.0, False), ("slate-vision", 3.0, True), ("umber-large", 2.0, False)]
+    draw = F.pmod(F.col("usage_id") * 37, F.lit(1000)) / 1000
+    choice = retries.choose_model(draw, F.col("input_tokens") > 3000, F.col("usage_id") % 100, models, {"slate-vision": 20.0, "umber-large": 50.0})
+    return table(spark, folder, "item_usage").select("usage_id", choice.alias("model_name"))

@@ -67,3 +67,12 @@ def align_results(results: DataFrame) -> DataFrame:
     each = checked.select("batch_id", "expected", valid.alias("valid"), safe.alias("cache_safe"), F.posexplode("rows").alias("at", "x"))
     place = F.when(F.col("valid"), F.col("x.image_index") - 1).otherwise(F.col("at"))
     return each.select("batch_id", place.cast("int").alias("position"), F.col("x.caption").alias("caption"), "cache_safe", "expected").where("position < expected").drop("expected")
+
+
+def leading_run(items: DataFrame) -> DataFrame:
+    """Rows (thread_id, pos, author, ...) of a thread's first author before anyone else writes: the first item and its
+    continuation. Where a thread has no other author all its rows stay; a null author is one author."""
+    first = items.groupBy("thread_id").agg(F.min_by("author", F.struct("pos", "author")).alias("_main"))
+    marked = items.join(first, "thread_id").withColumn("_other", ~F.col("author").eqNullSafe(F.col("_main")))
+    until = marked.groupBy("thread_id").agg(F.min(F.when(F.col("_other"), F.col("pos"))).alias("_until"))
+    return marked.join(until, "thread_id").where("_until is null or pos < _until").drop("_main", "_other", "_until")
