@@ -241,17 +241,17 @@ LIMITS = "field_name string, scope string, source string, chars int, llr double"
 def _fit_limits(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
     """The lengths of a source at which values are cut, with the log likelihood ratio of a value of that length."""
     empty = pd.DataFrame({"field_name": pd.Series([], dtype=object), "scope": pd.Series([], dtype=object), "source": pd.Series([], dtype=object), "chars": pd.Series([], dtype="int32"), "llr": pd.Series([], dtype=float)})
-    counts = counts[counts["chars"] > 40]
+    counts = counts[counts["chars"] > 40].sort_values("chars")
     lengths, n, ends = counts["chars"].to_numpy(), counts["n"].to_numpy(float), counts["n_open"].to_numpy(float)
     if n.sum() < 4:
         return empty
     rows = []
-    for k in np.argsort(-ends)[:8]:
+    width, sums = np.maximum(20, lengths // 10), np.concatenate([[0.0], np.cumsum(n)])
+    around = sums[np.searchsorted(lengths, lengths + width, "right")] - sums[np.searchsorted(lengths, lengths - width, "left")] - n
+    expected = np.maximum(around / (2 * width), 0.01)
+    evidence = ends * np.log(np.maximum(ends, 1) / expected) - (ends - expected)
+    for k in np.flatnonzero((ends >= LEAST_SPIKE) & (ends >= 0.5 * n) & (evidence >= SPIKE_EVIDENCE)):
         limit = lengths[k]
-        width = max(20, limit // 10)
-        expected = max(n[(lengths != limit) & (np.abs(lengths - limit) <= width)].sum() / (2 * width), 0.01)
-        if ends[k] < LEAST_SPIKE or ends[k] < 0.5 * n[k] or ends[k] * math.log(ends[k] / expected) - (ends[k] - expected) < SPIKE_EVIDENCE:
-            continue
         logs = np.log(lengths)
         mean, spread = _censored(logs, n, np.log(limit), k)
         z = (np.log(limit) - mean) / spread
