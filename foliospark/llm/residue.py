@@ -65,8 +65,6 @@ PAGE_COVER = 0.6
 TITLE_COVER = 0.9
 #: Letters that weigh as one word where a line is not compared.
 LETTERS_A_WORD = 6.0
-#: An exemplar is listed in the index under this many of its rarest words.
-INDEXED_WORDS = 3
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _PLACEHOLDERS = re.compile(
@@ -113,8 +111,13 @@ class ResidueIndex:
             for text in texts:
                 bag = dict(Counter(words(text)))
                 self.exemplars.append((kind, bag, sum(self.weights[w] * n for w, n in bag.items())))
-                for w in sorted(set(bag) - {"x"}, key=lambda w: (-self.weights[w], w))[:INDEXED_WORDS]:
+                left = self.exemplars[-1][2]
+                for w in sorted(set(bag) - {"x"}, key=lambda w: (-self.weights[w], w)):
+                    # A text without the words listed so far has at most this weight of the exemplar.
+                    if left < EXEMPLAR_COVER * self.exemplars[-1][2]:
+                        break
                     self.index.setdefault(w, []).append(len(self.exemplars) - 1)
+                    left -= self.weights[w] * bag[w]
 
     def candidates(self, present: set[str], kinds: tuple[str, ...]) -> list[int]:
         """The exemplars of these kinds that share an indexed word with a text and have at least EXEMPLAR_COVER of
