@@ -84,5 +84,5 @@ def schema_fallback(nodes: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def smallest_holder(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(page_id, pre): the smallest block whose text holds that of ``texts`` (page_id, body)."""
-    joined = nodes.where(F.col("tag").isin("article", "section", "main", "div", "p", "body")).join(texts, "page_id").where(F.contains("text", F.substring("body", 1, 200)))
+    joined = nodes.where(F.col("tag").isin("article", "section", "main", "div", "p", "body")).join(texts, "page_id").where(F.contains("text", F.col("body")))
     return joined.groupBy("page_id").agg(F.min(F.struct("chars", (-F.col("pre")).alias("p"))).alias("b")).select("page_id", (-F.col("b.p")).alias("pre"))
