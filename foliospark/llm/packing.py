@@ -155,7 +155,7 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "pack_targets").select("target_name", F.col("capacity_tokens").cast("long").alias("capacity"))
     sums = placed.groupBy("target_name").agg(
         F.sum("n_tokens").alias("n_tokens"), (F.max("container_id") + 1).alias("containers"), F.sum(F.when(F.col("piece_no") == 1, 1).otherwise(0)).alias("divided_texts")
-    ).join(F.broadcast(targets), "target_name")
+    ).join(targets, "target_name")
     return sums.select(
         "target_name", "capacity", "n_tokens", "containers", "divided_texts",
         F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("containers") * F.col("capacity")), 6).alias("filled"),
