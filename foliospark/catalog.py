@@ -583,7 +583,7 @@ def degenerate_tails(spark: SparkSession, folder: str) -> DataFrame:
 @query("rendering_scores")
 def rendering_scores(spark: SparkSession, folder: str) -> DataFrame:
     """How well the browser's text of a page renders its content."""
-    pages = table(spark, folder, "fetch_cache").where("browser_content is not null and char_length(content) between 200 and 1500")
+    pages = table(spark, folder, "fetch_cache").where("browser_content is not null")
     return text_map.scores(pages, "fetch_id", "content", "browser_content")
 
 
