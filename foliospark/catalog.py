@@ -480,17 +480,28 @@ def comment_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 # HTML
 
-_HTML = "static_content rlike '<(p|h[1-6]|ul|ol|article|div)[ >]' and static_content not rlike '<pre|```|~~~'"
+_HTML = "static_content rlike '<(p|h[1-6]|ul|ol|article|div)[ >]'"
+#: Tags within code are text, which the SQL of html_tags and html_outline can't tell; theirs are the pages without code.
+_HTML_WITHOUT_CODE = _HTML + " and static_content not rlike '<pre|```|~~~'"
 
 
 @query("html_tags", r"""
 with h as (select static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]') and not regexp_matches(static_content, '<pre|```|~~~'))
 select tag, sum(length(regexp_extract_all(s, '(?i)<' || tag || '[ >]'))) as n from h, (values ('h1'), ('h2'), ('h3'), ('li'), ('ul'), ('ol'), ('blockquote'), ('nav'), ('aside'), ('footer')) as t(tag) group by tag having sum(length(regexp_extract_all(s, '(?i)<' || tag || '[ >]'))) > 0""")
 def html_tags(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "fetch_cache").where(_HTML)
+    return _tags(table(spark, folder, "fetch_cache").where(_HTML_WITHOUT_CODE))
+
+
+def _tags(pages: DataFrame) -> DataFrame:
     return html_nodes.tag_counts(html_nodes.parse_nodes(pages, "fetch_id", "static_content")).where(F.col("tag").isin("h1", "h2", "h3", "li", "ul", "ol", "blockquote", "nav", "aside", "footer"))
 
 
+@query("all_html_tags")
+def all_html_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """The tags of html_tags over all HTML pages, those with code too."""
+    return _tags(table(spark, folder, "fetch_cache").where(_HTML))
+
+
 @query("html_main")
 def html_main(spark: SparkSession, folder: str) -> DataFrame:
     """The element taken for the content of each HTML page."""
@@ -640,10 +651,20 @@ def noise_report(spark: SparkSession, folder: str) -> DataFrame:
 with h as (select fetch_id, static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]') and not regexp_matches(static_content, '<pre|```|~~~'))
 select level, count(*) as headings from (select unnest(regexp_extract_all(s, '(?i)<h([1-6])[ >]', 1)) as level from h) group by level""")
 def html_outline(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = html_nodes.parse_nodes(table(spark, folder, "fetch_cache").where(_HTML), "fetch_id", "static_content")
+    return _outline(table(spark, folder, "fetch_cache").where(_HTML_WITHOUT_CODE))
+
+
+def _outline(pages: DataFrame) -> DataFrame:
+    nodes = html_nodes.parse_nodes(pages, "fetch_id", "static_content")
     return html_nodes.heading_outline(nodes).groupBy(F.col("level").cast("string").alias("level")).agg(F.count("*").alias("headings"))
 
 
+@query("all_html_outline")
+def all_html_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """The headings of html_outline over all HTML pages, those with code too."""
+    return _outline(table(spark, folder, "fetch_cache").where(_HTML))
+
+
 # paths, extraction and reports
 
 @query("media_types", r"""

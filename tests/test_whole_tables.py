@@ -1,5 +1,7 @@
 """Queries that take every row their operator is made for, on small tables."""
 
+import pytest
+
 from foliospark import catalog
 from tests.fixtures import write_tables
 
@@ -10,3 +12,26 @@ def test_pages_of_any_length_are_scored(spark, tmp_path):
     folder = write_tables(tmp_path, {"fetch_cache": [*pages, {"fetch_id": 9, "content": "text without a browser's"}]})
     found = {r["fetch_id"]: r["score"] for r in catalog.QUERIES["rendering_scores"](spark, folder).collect()}
     assert found == dict.fromkeys(range(4), 100.0)
+
+
+WORDS = "The keeper walked to the gate, counted the boats twice, and wrote it all down before noon. "
+
+
+@pytest.mark.parametrize("name", ["html_markdown", "html_texts", "html_links", "noise_report", "extraction_levels", "content_starts"])
+def test_pages_with_code_are_read(spark, tmp_path, name):
+    body = f"<nav>Home</nav><article><h1>T</h1><p>{WORDS * 6}<a href='/x'>out</a></p>%s</article>"
+    codes = ["", "<pre><code class='language-py'>a = 1\n</code></pre>", "<p>~~~ and ```</p>"]
+    folder = write_tables(tmp_path, {"fetch_cache": [{"fetch_id": k, "static_content": body % code} for k, code in enumerate(codes)]})
+    rows = catalog.QUERIES[name](spark, folder).collect()
+    if name == "noise_report":
+        rows = [r for r in rows if r["rule"] == "noise"]
+    assert {r["fetch_id" if "fetch_id" in r else "page_id"] for r in rows} == {0, 1, 2}
+    if name == "html_markdown":
+        assert "```py\na = 1\n```" in next(r for r in rows if r["fetch_id"] == 1)["markdown"]
+
+
+def test_tags_of_pages_with_code_are_counted(spark, tmp_path):
+    pages = ["<h2>A</h2><p>x</p>", "<h2>B</h2><ul><li>y</ul><pre>&lt;h2> z</pre>"]
+    folder = write_tables(tmp_path, {"fetch_cache": [{"fetch_id": k, "static_content": p} for k, p in enumerate(pages)]})
+    assert {r["tag"]: r["n"] for r in catalog.QUERIES["all_html_tags"](spark, folder).collect()} == {"h2": 2, "li": 1, "ul": 1}
+    assert {r["level"]: r["headings"] for r in catalog.QUERIES["all_html_outline"](spark, folder).collect()} == {"2": 2}
