@@ -326,6 +326,13 @@ def document_titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null and fmt in ('html', 'xlsx', 'pptx')").select("doc_id", text.first_heading(F.col("text"), 1).alias("h1"))
 
 
+@query("all_document_titles")
+def all_document_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """The first level-one heading outside code and front matter of every document with text; the SQL of document_titles
+    can't skip code and keeps to formats without any."""
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", text.first_heading(F.col("text"), 1).alias("h1"))
+
+
 @query("resolved_titles")
 def resolved_titles(spark: SparkSession, folder: str) -> DataFrame:
     """The title of every document: its own, else its text's, else its source's."""

@@ -35,3 +35,30 @@ def test_tags_of_pages_with_code_are_counted(spark, tmp_path):
     folder = write_tables(tmp_path, {"fetch_cache": [{"fetch_id": k, "static_content": p} for k, p in enumerate(pages)]})
     assert {r["tag"]: r["n"] for r in catalog.QUERIES["all_html_tags"](spark, folder).collect()} == {"h2": 2, "li": 1, "ul": 1}
     assert {r["level"]: r["headings"] for r in catalog.QUERIES["all_html_outline"](spark, folder).collect()} == {"2": 2}
+
+
+def first_title(text: str) -> str | None:
+    """The first level-one heading, line by line: after the front matter, outside fences."""
+    lines, fence = text.split("\n"), ""
+    if lines[0] == "---":
+        lines = lines[lines.index("---", 1) + 1 :]
+    for line in lines:
+        mark = line[:3]
+        if fence:
+            fence = "" if mark == fence else fence
+        elif mark in ("```", "~~~"):
+            fence = mark
+        elif line.startswith("# ") and line[2:].strip():
+            return line[2:].strip()
+    return None
+
+
+def test_documents_of_any_format_have_titles(spark, tmp_path):
+    heads = ["", "---\ntitle: x\n# no: y\n---\n"]
+    codes = ["", "```\n# no\n```\n", "~~~sh\n# no\n```\n# no\n~~~\n", "```\n# no, never closed\n"]
+    bodies = ["# One\n\n# Two", "## Only two", "text\n# Late\n", ""]
+    texts = [h + c + b for h in heads for c in codes for b in bodies]
+    documents = [{"doc_id": 100 * f + k, "text": t, "fmt": fmt} for f, fmt in enumerate(("md", "ipynb", "html", "txt", None)) for k, t in enumerate(texts)]
+    folder = write_tables(tmp_path, {"documents": [*documents, {"doc_id": 9999, "fmt": "md"}]})
+    found = {r["doc_id"]: r["h1"] for r in catalog.QUERIES["all_document_titles"](spark, folder).collect()}
+    assert found == {d["doc_id"]: first_title(d["text"]) for d in documents}
