@@ -39,6 +39,9 @@ MOST_EDITS = 3
 #: Share of all words from which a word, or a pair of words, is kept in the model that every executor reads: so it has
 #: at most one million words and one million pairs, whatever the corpus.
 LEAST_SHARE = 1e-6
+#: Share of all words up to which a word is rare, so that it may be a misreading that was made again and again; two
+#: occurrences are rare in any corpus.
+RARE_SHARE = 5e-6
 #: How much more frequent than a word its correction must be before the context is asked.
 LEAST_RATIO = 2.0
 #: A rare word is taken for misreading up to this many times what the confusions lead one to expect of it.
@@ -238,6 +241,7 @@ class ScanModel:
 
     def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], hyphened: dict[str, int], total: int):
         self.words, self.pairs, self.hyphened, self.total = words, pairs, hyphened, max(total, 1)
+        self.rare = max(2, self.total * RARE_SHARE)
         self.lower: dict[str, int] = {}
         for w, n in words.items():
             self.lower[w.lower()] = self.lower.get(w.lower(), 0) + n
@@ -284,7 +288,7 @@ class ScanModel:
             own = self.known(word)
             found = [(word, 0.0)]
             noise = 0.0
-            for made, edits in variants(word, MOST_EDITS if own <= 2 and not word.isdigit() else 1):
+            for made, edits in variants(word, MOST_EDITS if own <= self.rare and not word.isdigit() else 1):
                 if self.known(made) >= max(2, LEAST_RATIO * own if own > 2 else 2 * own + 1):
                     channel = sum(self.log_confusion[e] for e in edits)
                     found.append((made, channel))
@@ -366,7 +370,7 @@ _FIGURE_NOISE = re.compile(r"(?=.*\d)[\dOolISBZGgqbs@|!]+(?:[.,][\dOolISBZGgqbs@
 
 def shape_misread(word: str, model: ScanModel) -> bool:
     """Whether a word without a candidate shows by its signs that it was misread."""
-    if not word or word.replace(".", "").replace(",", "").isdigit() or model.known(word) > 2:
+    if not word or word.replace(".", "").replace(",", "").isdigit() or model.known(word) > model.rare:
         return False
     if _FIGURE_NOISE.match(word):
         return True
@@ -542,7 +546,7 @@ def _rates(pages: DataFrame, model: ScanModel) -> dict[int, float]:
                     if len(word) < 3:
                         continue
                     seen[band] += 1
-                    if model.known(word) <= 2 and len(model.candidates(word)) > 1:
+                    if model.known(word) <= model.rare and len(model.candidates(word)) > 1:
                         wrong[band] += 1
             yield pd.DataFrame([(b, n, wrong[b]) for b, n in seen.items()], columns=["band", "n", "wrong"])
 
