@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, quality, text, urls
 from .functions.web import source_key
-from .operators import batch_state, cache_tables, documents, extraction, fetching, html_nodes, images, noise, render, reports, retries, sections, text_map, threads
+from .operators import batch_state, cache_tables, documents, extraction, fetching, html_nodes, images, markdown_blocks, noise, render, reports, retries, sections, text_map, threads
 from .operators import site_pages as site_pages_ops
 from .operators.instants import p4_found
 from .plans.rank import ranked_within
@@ -187,9 +187,9 @@ with w as (select fetch_id, cache_key, etag, lag(etag) over (partition by cache_
 select fetch_id, cache_key, coalesce(etag = before, false) as unchanged from w""")
 def cache_not_modified(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each delivery has the tag of the one before it. Ranks within a key join each row to the one before."""
-    ranked = ranked_within(table(spark, folder, "fetch_cache").select("fetch_id", "cache_key", "etag", F.format_string("%020d-%020d", "created_at", "fetch_id").alias("at")), ["cache_key"], ["at"])
-    before = ranked.select("cache_key", (F.col("rank") + 1).alias("rank"), F.col("etag").alias("before"))
-    return ranked.join(before, ["cache_key", "rank"], "left").select("fetch_id", "cache_key", F.coalesce(F.col("etag") == F.col("before"), F.lit(False)).alias("unchanged"))
+    ranked = ranked_within(table(spark, folder, "fetch_cache").select("fetch_id", "cache_key", "etag", "created_at"), ["cache_key"], ["created_at", "fetch_id"])
+    before = ranked.select(F.col("cache_key").alias("k"), (F.col("rank") + 1).alias("r"), F.col("etag").alias("before"))
+    return ranked.join(before, F.col("cache_key").eqNullSafe(F.col("k")) & (F.col("rank") == F.col("r")), "left").select("fetch_id", "cache_key", F.coalesce(F.col("etag") == F.col("before"), F.lit(False)).alias("unchanged"))
 
 
 @query("spa_expired", r"""
@@ -585,9 +585,7 @@ def markdown_round_trips(spark: SparkSession, folder: str) -> DataFrame:
 @query("repeated_blocks_dropped")
 def repeated_blocks_dropped(spark: SparkSession, folder: str) -> DataFrame:
     """Contents of pages without long lines that stand in one before."""
-    from .functions.markdown_text import drop_repeated_blocks
-
-    return text_map.map_text(table(spark, folder, "fetch_cache"), "fetch_id", "content", drop_repeated_blocks)
+    return markdown_blocks.unrepeated_blocks(table(spark, folder, "fetch_cache"), "fetch_id", "content")
 
 
 @query("degenerate_tails")
@@ -602,7 +600,7 @@ def degenerate_tails(spark: SparkSession, folder: str) -> DataFrame:
 def rendering_scores(spark: SparkSession, folder: str) -> DataFrame:
     """How well the browser's text of a page renders its content."""
     pages = table(spark, folder, "fetch_cache").where("browser_content is not null")
-    return text_map.scores(pages, "fetch_id", "content", "browser_content")
+    return markdown_blocks.rendering_scores(pages, "fetch_id", "content", "browser_content")
 
 
 @query("document_sections", r"""
@@ -619,10 +617,10 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("document_batches", r"""
-select doc_id, source, cast((row_number() over (partition by source order by lpad(cast(doc_id as varchar), 12, '0')) - 1) // 10 as int) as batch_no from documents where source is not null""")
+select doc_id, source, cast((row_number() over (partition by source order by doc_id) - 1) // 10 as int) as batch_no from documents where source is not null""")
 def document_batches(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "documents").where("source is not null").select("doc_id", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("at"))
-    return sections.batches(items, "source", "at", 10).select("doc_id", "source", "batch_no")
+    items = table(spark, folder, "documents").where("source is not null").select("doc_id", "source")
+    return sections.batches(items, "source", "doc_id", 10).select("doc_id", "source", "batch_no")
 
 
 @query("smart_cuts", r"""
@@ -682,12 +680,12 @@ def media_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("versioned_outputs", r"""
-with r as (select fetch_id, regexp_extract(url, '^([^?#]*)', 1) as item_key, row_number() over (partition by regexp_extract(url, '^([^?#]*)', 1) order by lpad(cast(fetch_id as varchar), 12, '0')) as v from fetch_cache)
+with r as (select fetch_id, regexp_extract(url, '^([^?#]*)', 1) as item_key, row_number() over (partition by regexp_extract(url, '^([^?#]*)', 1) order by fetch_id) as v from fetch_cache)
 select fetch_id, case when v < 2 then 'page.llm.md' else 'page.v' || v || '.llm.md' end as output_name from r""")
 def versioned_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """The name of every delivery of a page when none may replace another."""
-    items = table(spark, folder, "fetch_cache").select("fetch_id", F.regexp_extract("url", "^([^?#]*)", 1).alias("item_key"), F.lpad(F.col("fetch_id").cast("string"), 12, "0").alias("at"))
-    return ranked_within(items, ["item_key"], ["at"]).select("fetch_id", paths.versioned(F.lit("page.llm.md"), F.col("rank") + 1).alias("output_name"))
+    items = table(spark, folder, "fetch_cache").select("fetch_id", F.regexp_extract("url", "^([^?#]*)", 1).alias("item_key"))
+    return ranked_within(items, ["item_key"], ["fetch_id"]).select("fetch_id", paths.versioned(F.lit("page.llm.md"), F.col("rank") + 1).alias("output_name"))
 
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,15 +6,9 @@ All take and give a text; they leave a text without anything to mend as it is.
 from __future__ import annotations
 
 import json
-import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
-from difflib import SequenceMatcher
-
-PAGE_MARK = re.compile(r"<!-- (?:Page|Slide) (?:number: ?)?\d+ -->")
-_FENCE = re.compile(r"(`{3,}|~{3,})")
-_SPACED = re.compile(r"#{1,6}(?:\s|$)|<!--\s*Slide\s+(?:number:\s*)?\d+\s*-->")
 
 
 def mend_images(text: str) -> str:
@@ -57,77 +51,25 @@ def mend_links(text: str) -> str:
         text = made
 
 
-def normalize_spacing(text: str) -> str:
-    """One blank line around headings and slide marks outside code, no blanks at line ends, at most one blank line in a
-    row, one line end at the close."""
-    out: list[str] = []
-    fence = ""
-    lines = [x.rstrip() for x in mend_images(text).split("\n")]
-    for at, line in enumerate(lines):
-        found = _FENCE.match(line)
-        inside = bool(fence)
-        if found:
-            mark = found.group(1)
-            if not fence:
-                fence = mark
-            elif mark[0] == fence[0] and len(mark) >= len(fence):
-                fence = ""
-            inside = True
-        if not inside and _SPACED.match(line):
-            if out and out[-1]:
-                out.append("")
-            out.append(line)
-            if at + 1 < len(lines) and lines[at + 1]:
-                out.append("")
-        else:
-            out.append(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n") + "\n"
-
-
-def drop_slide_footers(text: str) -> str:
-    """Short last lines that stand on at least half of three or more pages, and page numbers beside them."""
-    parts = PAGE_MARK.split(text)[1:]
-    endings = []
-    for part in parts:
-        lines = [x.strip() for x in part.split("\n") if x.strip()]
-        short = [x for x in lines[-4:] if len(x) < 30 and x[0] not in "#![-*"] if len(lines) > 1 else []
-        if short:
-            endings.append(short)
-    if len(endings) < 3:
-        return text
-    counts = Counter(x for ending in endings for x in ending)
-    common = {x for x, n in counts.items() if n * 2 >= len(endings) and not x.isdigit()}
-    if not common:
-        return text
-    lines = text.split("\n")
-    bare = [x.strip() for x in lines]
-    drop = {k for k, x in enumerate(bare) if x in common}
-    drop |= {k for k, x in enumerate(bare) if x.isdigit() and any(j in drop for j in (k - 1, k - 2, k + 1) if 0 <= j < len(bare) and (abs(j - k) == 1 or bare[k - 1] == "" or k - 1 in drop)) and (k - 1 in drop or k - 2 in drop)}
-    return "\n".join(x for k, x in enumerate(lines) if k not in drop)
-
-
-def drop_repeated_blocks(text: str, least: int = 50) -> str:
-    """Long lines of prose that stand in, or hold, one that was kept; names, times and counters at their beginning do not
-    matter."""
-    kept: list[str] = []
-    out = []
-    for line in text.split("\n"):
-        bare = line.strip()
-        if len(bare) < least or bare.startswith(("#", "!", "[", "|", "-", "*", ">", "```", "<!--")):
-            out.append(line)
+def first_tellings(said: list[str | None], least: int) -> list[bool]:
+    """For each entry whether it says something new: it neither stands in one that was kept nor holds one. Nulls always
+    do. Kept ones are searched as one text, and are known by their first ``least`` characters, which are looked up at each
+    place of an entry."""
+    told, known = "", {}
+    new = []
+    for one in said:
+        if one is None:
+            new.append(True)
             continue
-        plain = re.sub(r"^(?:[A-Za-z\s]+)?@\w+\s*", "", bare)
-        plain = re.sub(r"\d+:\d+\s*(?:AM|PM)?\s*·?\s*|\d+\s*(?:replies|reposts|likes|views|bookmarks)[,\s]*", "", plain, flags=re.IGNORECASE)
-        plain = " ".join(plain.split())
-        if len(plain) >= least:
-            if any(plain in x or x in plain for x in kept):
-                continue
-            kept.append(plain)
-        out.append(line)
-    return "\n".join(out)
+        holds = any(one.startswith(k, at) for at in range(len(one) - least + 1) for k in known.get(one[at : at + least], ()))
+        new.append(not holds and one not in told)
+        if new[-1]:
+            told += one + "\n"
+            known.setdefault(one[:least], []).append(one)
+    return new
 
 
-def repeated_tail_at(text: str, least_unit: int = 20, least_repeats: int = 4, least_lines: int = 6, window: int = 200_000) -> int | None:
+def repeated_tail_at(text: str, least_unit: int = 20, least_repeats: int = 4, least_lines: int = 6) -> int | None:
     """Where the superfluous part of a text begins that ends in the same line six times or more, or in the same stretch
     of 20 characters or more four times or more; None when it does not."""
     lines = text.split("\n")
@@ -137,8 +79,7 @@ def repeated_tail_at(text: str, least_unit: int = 20, least_repeats: int = 4, le
         run += 1
     if run >= least_lines:
         return sum(len(x) + 1 for x in lines[: full[-run] + 1]) - 1
-    tail = text[-window:]
-    back = tail[::-1]
+    back = text[::-1]
     border = [0] * len(back)
     for at in range(1, len(back)):
         k = border[at - 1]
@@ -240,58 +181,81 @@ def unprotect(text: str, kept: list[tuple[str, str]]) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
-def blocks_of(text: str) -> list[str]:
-    return [b for b in (x.strip() for x in re.split(r"\n\s*\n", text)) if b]
-
-
-def _plain(text: str) -> str:
-    return " ".join(re.sub(r"[#*_`>|]", "", re.sub(r"```[^\n]*", "", text)).split()).lower()
-
-
-def kendall_tau(order: list[int]) -> float:
-    """How far a sequence ascends: 100 for an ascending one, 0 for a descending one, ties in between. Pairs are counted
-    by insertion into a sorted list."""
-    n = len(order)
+def order_kept(places: list[int]) -> float:
+    """The share of the pairs that stand in order, 0 to 100; equal places are in order. Pairs out of order are counted by
+    insertion into a sorted list."""
+    n = len(places)
     if n <= 1:
         return 100.0
-    up = down = 0
-    seen: list[int] = []
-    for value in order:
-        low = bisect_left(seen, value)
-        high = bisect_left(seen, value + 1)
-        up += low
-        down += len(seen) - high
-        seen.insert(high, value)
-    return ((up - down) / (n * (n - 1) / 2) + 1) / 2 * 100
-
-
-def similarity(block: str, text: str) -> tuple[float, int]:
-    """How much of a block stands in one stretch of a text, 0 to 100, and where."""
+    out, seen = 0, []
+    for place in places:
+        at = bisect_right(seen, place)
+        out += len(seen) - at
+        seen.insert(at, place)
+    return 100 * (1 - out / (n * (n - 1) / 2))
+
+
+def shared_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, with the rows of the table as bits of one number."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    rows = full
+    for c in b:
+        hit = rows & where.get(c, 0)
+        rows = (rows + hit | rows - hit) & full
+    return len(a) - rows.bit_count()
+
+
+def pieces(text: str, size: int) -> dict[str, list[int]]:
+    """Where each stretch of ``size`` characters stands in a text."""
+    found: dict[str, list[int]] = {}
+    for k in range(len(text) - size + 1):
+        found.setdefault(text[k : k + size], []).append(k)
+    return found
+
+
+def alignment(block: str, text: str, grams: dict[str, list[int]], size: int) -> tuple[float, int]:
+    """The best likeness of the shorter of two texts to a stretch of the longer, 0 to 100, and where it begins in
+    ``text``. Stretches are tried where the two share most pieces of ``size`` characters."""
     at = text.find(block)
     if at >= 0:
         return 100.0, at
-    matcher = SequenceMatcher(None, text, block, autojunk=False)
-    anchor = matcher.find_longest_match(0, len(text), 0, len(block))
-    if not anchor.size:
-        return 0.0, -1
-    start = max(0, anchor.a - anchor.b)
-    return SequenceMatcher(None, text[start : start + len(block)], block, autojunk=False).ratio() * 100, start
-
-
-def score_markdown(expected: str, produced: str, threshold: float = 70.0) -> float:
-    """How well a text renders an expected one, 0 to 100: four fifths by the blocks found, weighed by length, one fifth by
-    their order."""
-    blocks = [b for b in map(_plain, blocks_of(expected)) if b]
+    if len(block) > len(text):
+        return alignment(text, block, pieces(block, size), size)[0], 0
+    votes: Counter[int] = Counter()
+    for k in range(0, len(block) - size + 1):
+        places = grams.get(block[k : k + size], ())
+        for place in places:
+            votes[max(0, place - k)] += 1.0 / len(places)
+    best, begin = 0.0, 0
+    for start, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0]))[:TRIED]:
+        start = min(start, len(text) - len(block))
+        likeness = 200 * shared_length(block, text[start : start + len(block)]) / (2 * len(block))
+        if likeness > best:
+            best, begin = likeness, start
+    return best, begin
+
+
+#: Stretches tried for a block, those with most shared pieces first.
+TRIED = 6
+#: Characters of the pieces that texts share.
+PIECE = 5
+
+
+def score_blocks(blocks: list[str], text: str, least: float) -> float:
+    """How well a text renders the blocks, 0 to 100; one aligned less than ``least`` counts as missing, at the beginning."""
     if not blocks:
         return 100.0
-    text = _plain(produced)
     if not text:
         return 0.0
-    found = [similarity(b, text) for b in blocks]
-    total = sum(map(len, blocks))
-    match = sum(score * len(b) for (score, _), b in zip(found, blocks)) / total
-    order = kendall_tau([at for score, at in found if score >= threshold])
-    return round(0.8 * match + 0.2 * order, 6) if math.isfinite(match) else 0.0
+    sizes = [min(PIECE, max(1, len(b) // 3)) for b in blocks]
+    grams = {size: pieces(text, size) for size in set(sizes)}
+    found = [alignment(b, text, grams[size], size) for b, size in zip(blocks, sizes)]
+    found = [(s, at) if s >= least else (0.0, 0) for s, at in found]
+    match = sum(s * len(b) for (s, _), b in zip(found, blocks)) / sum(map(len, blocks))
+    return round(0.8 * match + 0.2 * order_kept([at for _, at in found]), 2)
 
 
 def drop_prompt_echo(text: str, phrases: tuple[str, ...]) -> str:

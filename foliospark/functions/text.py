@@ -168,9 +168,14 @@ def tidy_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\n|\z)", ""), "\n{4,}", "\n\n\n")
 
 
+#: What stands for a protected mark until it is put back: a kind and a number.
+HELD = r"__KEEP_[A-Z]+_\d+__"
+
+
 def drop_placeholders(text: Column) -> Column:
-    """Without placeholders that a later stage should have replaced."""
-    return F.regexp_replace(text, r"(?m)^[ \t]*__MARKER_[A-Z]+_?\d*__[ \t]*\n?|!\[[^\]]*\]\(__MARKER_[A-Z]+_?\d*__\)|__MARKER_[A-Z]+_?\d*__", "")
+    """Without placeholders that a later stage should have put back: alone on a line the line goes, as the target of an
+    image the image."""
+    return F.regexp_replace(text, rf"(?m)^[ \t]*{HELD}[ \t]*\n?|!\[[^\]]*\]\({HELD}\)|{HELD}", "")
 
 
 def asset_names(text: Column) -> Column:

@@ -25,22 +25,18 @@ def paragraphs(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def unique_paragraphs(texts: DataFrame, id_column: str, text_column: str, least: int = PARAGRAPH) -> DataFrame:
     """(id, text) with the second and later copies of a long paragraph left out of each document. A copy has the same
-    words after blanks are collapsed; short paragraphs stay. It is one map over the row's own array: no shuffle."""
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, p: Column) -> Column:
-        return let(collapse(p), lambda key: F.when((key == "") | ((F.char_length(key) >= least) & F.array_contains(acc["seen"], key)), acc).otherwise(
-            F.struct(F.when(F.char_length(key) >= least, F.concat(acc["seen"], F.array(key))).otherwise(acc["seen"]).alias("seen"), F.concat(acc["kept"], F.array(p)).alias("kept"))
-        ))
-
-    kept = F.aggregate(F.split(text_column, "\n\n+"), start, step, lambda acc: acc["kept"])
+    words after blanks are collapsed; short paragraphs stay. The row's own array is sorted by words, neighbours are
+    compared and the first ones put back into order: no shuffle, and n log n in a document's paragraphs."""
+    keyed = F.array_sort(F.transform(F.split(text_column, "\n\n+"), lambda p, i: F.struct(collapse(p).alias("key"), i.alias("i"), p.alias("p"))))
+    first = lambda s: F.zip_with(s, F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda x: x["key"])), lambda x, k: F.when(x.isNotNull() & (x["key"] != "") & ((F.char_length(x["key"]) < least) | k.isNull() | (x["key"] != k)), F.struct(x["i"].alias("i"), x["p"].alias("p"))))
+    kept = let(keyed, lambda s: F.transform(F.array_sort(F.filter(first(s), lambda x: x.isNotNull())), lambda x: x["p"]))
     return texts.where(F.col(text_column).isNotNull()).select(id_column, F.array_join(kept, "\n\n").alias("text"))
 
 
 def marked_pages(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, page_no, text): the parts of a text after its page or slide markers. What stands before the first is left
     out, texts without markers have no pages."""
-    cut = F.slice(F.split(text_column, MARKER, -1), 2, 1_000_000)
+    cut = let(F.split(text_column, MARKER, -1), lambda p: F.slice(p, F.lit(2), F.size(p)))
     numbers = F.regexp_extract_all(text_column, F.lit(r"<!-- (?:Page|Slide) (?:number: ?)?(\d+) -->"), 1)
     return texts.where(F.col(text_column).rlike(MARKER)).select(id_column, F.explode(F.arrays_zip(numbers.alias("n"), cut.alias("t"))).alias("x")).select(id_column, F.col("x.n").try_cast("int").alias("page_no"), F.col("x.t").alias("text"))
 
@@ -100,16 +96,28 @@ def hidden_spans(spans: DataFrame) -> DataFrame:
     return spans.where((F.col("alpha") == 0) | (F.col("size") < 2) | (light > 0.95) | outside)
 
 
+def code_flags(lines: Column) -> Column:
+    """array of whether each line belongs to a fenced code block. Only the lines that may open or close one are folded, to
+    the places where blocks begin and end; the stretches between these are then written out."""
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, r"^(`{3,}|~{3,})", 1).alias("mark"))), lambda m: m["mark"] != "")
+    start = F.struct(F.lit("").alias("open"), F.array(F.lit(0)).alias("cuts"))
+
+    def step(acc: Column, m: Column) -> Column:
+        opens = acc["open"] == ""
+        closes = ~opens & (F.substring(m["mark"], 1, 1) == F.substring(acc["open"], 1, 1)) & (F.length(m["mark"]) >= F.length(acc["open"]))
+        cuts = F.when(opens, F.concat(acc["cuts"], F.array(m["at"]))).when(closes, F.concat(acc["cuts"], F.array(m["at"] + 1))).otherwise(acc["cuts"])
+        return F.struct(F.when(opens, m["mark"]).when(closes, "").otherwise(acc["open"]).alias("open"), cuts.alias("cuts"))
+
+    cuts = F.aggregate(marks, start, step, lambda acc: F.concat(acc["cuts"], F.array(F.size(lines))))
+    # stretches alternate: text, code, text, ...
+    return let(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: F.array_repeat(k % 2 == 1, F.get(c, k + 1) - F.get(c, k)))))
+
+
 def line_relation(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, line_no, line, in_code): every line, with whether it stands in a fenced code block. The state of the fence
-    is folded over the row's own array."""
-    lines = F.split(text_column, "\n", -1)
-    state = lambda acc, x: F.struct(
-        F.when(acc["open"] == "", F.regexp_extract(x, r"^(`{3,}|~{3,})", 1)).when((F.substring(F.regexp_extract(x, r"^(`{3,}|~{3,})\s*$", 1), 1, 1) == F.substring(acc["open"], 1, 1)) & (F.length(F.regexp_extract(x, r"^(`{3,}|~{3,})\s*$", 1)) >= F.length(acc["open"])), "").otherwise(acc["open"]).alias("open"),
-        F.concat(acc["flags"], F.array((acc["open"] != "") | (F.regexp_extract(x, r"^(`{3,}|~{3,})", 1) != ""))).alias("flags"),
-    )
-    flags = F.aggregate(lines, F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("flags")), state, lambda acc: acc["flags"])
-    return texts.where(F.col(text_column).isNotNull()).select(id_column, F.posexplode(F.arrays_zip(lines.alias("line"), flags.alias("in_code"))).alias("at", "x")).select(id_column, (F.col("at") + 1).alias("line_no"), F.col("x.line").alias("line"), F.col("x.in_code").alias("in_code"))
+    """(id, line_no, line, in_code): every line, with whether it stands in a fenced code block. A block ends at a mark of
+    the same sign and at least its length, or with the text."""
+    pairs = let(F.split(text_column, "\n", -1), lambda lines: F.arrays_zip(lines.alias("line"), code_flags(lines).alias("in_code")))
+    return texts.where(F.col(text_column).isNotNull()).select(id_column, F.posexplode(pairs).alias("at", "x")).select(id_column, (F.col("at") + 1).alias("line_no"), F.col("x")[F.lit("line")].alias("line"), F.col("x")[F.lit("in_code")].alias("in_code"))
 
 
 def headings(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -17,54 +17,50 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import parse_instant
 from ..functions.web import source_key
-from ..plans.shared import materialise
+from ..plans.shared import materialise, shared_dir
 from ..plans.skew import lookup
+from ..plans.stored import MOST_DELTAS, StoredTable
 from ..sources.tables import table
 
-ENTRY = "key string, raw string, zone string, date_order string, utc_us long, n long"
+ENTRY = "key string, raw string, zone string, date_order string, utc_us long"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         batch["utc_us"] = pd.array([parse_instant(r, z, o) for r, z, o in zip(batch["raw"], batch["zone"], batch["date_order"])], dtype="Int64")
-        yield batch[["key", "raw", "zone", "date_order", "utc_us", "n"]]
+        yield batch[["key", "raw", "zone", "date_order", "utc_us"]]
 
 
 def _key() -> F.Column:
     return F.concat_ws("\u0001", "raw", F.coalesce("zone", F.lit("")), F.coalesce("date_order", F.lit("")))
 
 
-def instant_dictionary(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Each distinct (raw, zone, date_order) of ``values`` with its instant (null for none) and its rows ``n``.
-    ``known`` is a dictionary of earlier runs: its entries are not parsed again."""
-    fresh = values.where(F.trim("raw") != "").withColumn("key", _key()).groupBy("key", "raw", "zone", "date_order").agg(F.count("*").alias("n"))
-    if known is None:
-        return fresh.mapInPandas(_parse, ENTRY)
-    parsed = fresh.join(known.select("key"), "key", "left_anti").mapInPandas(_parse, ENTRY)
-    return parsed.unionByName(fresh.join(known.select("key", "utc_us"), "key").select("key", "raw", "zone", "date_order", "utc_us", "n"))
+def distinct_values(values: DataFrame) -> DataFrame:
+    """(key, raw, zone, date_order, n): each distinct value with its rows."""
+    return values.where(F.trim("raw") != "").withColumn("key", _key()).groupBy("key", "raw", "zone", "date_order").agg(F.count("*").alias("n"))
 
 
-def extend_dictionary(spark: SparkSession, path: str, values: DataFrame) -> DataFrame:
-    """Adds the values not yet in the parquet dictionary at ``path`` and returns the whole of it."""
-    try:
-        known = spark.read.schema(ENTRY).parquet(path)
-        known.limit(0).collect()
-    except Exception:  # noqa: BLE001  not written yet
-        known = None
-    fresh = instant_dictionary(values, None if known is None else known)
-    if known is not None:
-        fresh = fresh.join(known.select("key"), "key", "left_anti")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(ENTRY).parquet(path)
+def extend_dictionary(stored: StoredTable, fresh: DataFrame) -> DataFrame:
+    """Parses the distinct values that the stored dictionary does not hold, adds them as a delta and returns the whole
+    dictionary, one row a key. What a value denotes depends on the value alone, so entries never go stale. Two writers
+    at a time may add a key twice: readers and the next compaction keep one of the two equal rows."""
+    known = stored.read(ENTRY)
+    lacking = fresh if known is None else fresh.join(known.select("key").distinct(), "key", "left_anti")
+    stored.append(lacking.select("key", "raw", "zone", "date_order").mapInPandas(_parse, ENTRY))
+    whole = stored.read(ENTRY).dropDuplicates(["key"]) if known is not None else stored.read(ENTRY)
+    return stored.replace(whole) if stored.deltas() >= MOST_DELTAS else whole
 
 
-def normalise_instants(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def normalise_instants(values: DataFrame, stored: StoredTable) -> DataFrame:
     """(field_name, row_id, raw, zone, date_order) to (field_name, row_id, utc_us), one row for each value that
-    denotes exactly one instant."""
-    entries = materialise(instant_dictionary(values, known), "instants")
+    denotes exactly one instant, through the stored dictionary, which grows by the values it lacks. How often a value
+    stands in the rows is counted anew, so hot values are those of these rows."""
+    fresh = materialise(distinct_values(values), "distinct-instants")
+    known = extend_dictionary(stored, fresh.drop("n"))
+    entries = materialise(fresh.select("key", "n").join(known.select("key", "utc_us"), "key"), "instants")
     total = entries.agg(F.sum("n")).first()[0] or 0
     rows = values.where(F.trim("raw") != "").select("field_name", "row_id", _key().alias("key"))
-    return lookup(rows, entries.select("key", "utc_us", "n"), "key", total, F.col("utc_us").isNotNull()).select("field_name", "row_id", "utc_us")
+    return lookup(rows, entries, "key", total, F.col("utc_us").isNotNull()).select("field_name", "row_id", "utc_us")
 
 
 def timestamp_values(pages: DataFrame, metadata: DataFrame, sites: DataFrame) -> DataFrame:
@@ -81,4 +77,6 @@ def timestamp_values(pages: DataFrame, metadata: DataFrame, sites: DataFrame) ->
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise_instants(timestamp_values(table(spark, folder, "fetch_cache"), table(spark, folder, "web_metadata"), table(spark, folder, "sites")))
+    """Through the dictionary in the shared folder: what an earlier run parsed is not parsed again."""
+    values = timestamp_values(table(spark, folder, "fetch_cache"), table(spark, folder, "web_metadata"), table(spark, folder, "sites"))
+    return normalise_instants(values, StoredTable(spark, f"{shared_dir(spark)}/instant-dictionary"))

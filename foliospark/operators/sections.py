@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import collapse, let
 
 MARK = r"<!-- (Page|Slide) (?:number: ?)?(\d+) -->"
 
@@ -13,7 +13,7 @@ MARK = r"<!-- (Page|Slide) (?:number: ?)?(\d+) -->"
 def sections(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, pos, section_id, body) of the parts behind the marks of a text."""
     ids = F.transform(F.regexp_extract_all(text_column, F.lit(MARK), 0), lambda m: F.concat(F.lower(F.regexp_extract(m, MARK, 1)), F.lit(":"), F.regexp_extract(m, MARK, 2)))
-    bodies = F.transform(F.slice(F.split(text_column, MARK, -1), 2, 1_000_000), lambda b: F.trim(b))
+    bodies = let(F.split(text_column, MARK, -1), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda b: F.trim(b)))
     return texts.where(F.col(text_column).rlike(MARK)).select(id_column, F.posexplode(F.arrays_zip(ids.alias("section_id"), bodies.alias("body"))).alias("pos", "x")).select(id_column, "pos", "x.section_id", "x.body")
 
 

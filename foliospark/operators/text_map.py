@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import markdown_text as md
+from .markdown_blocks import spaced, without_footers
 
 
 def map_text(df: DataFrame, id_column: str, text_column: str, use: Callable[[str], str | None], name: str = "text") -> DataFrame:
@@ -21,13 +23,14 @@ def map_text(df: DataFrame, id_column: str, text_column: str, use: Callable[[str
     return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, {name} string")
 
 
-def _normalized(text: str) -> str:
-    return md.normalize_spacing(md.drop_slide_footers(md.mend_links(text)))
+def _mended(text: str) -> str:
+    return md.mend_images(md.mend_links(text))
 
 
 def normalized_markdown(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Links, slide footers, images and spacing mended, in this order."""
-    return map_text(df, id_column, text_column, _normalized)
+    """Links, images, slide footers and spacing mended, in this order; the last two in the JVM."""
+    mended = map_text(df, id_column, text_column, _mended)
+    return mended.select(id_column, spaced(without_footers(F.col("text"))).alias("text"))
 
 
 def _kept(text: str) -> str:
@@ -38,15 +41,3 @@ def _kept(text: str) -> str:
 def protected_round_trip(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Structural marks taken out and put back: what a later stage would get when it changes nothing."""
     return map_text(df, id_column, text_column, _kept)
-
-
-def scores(df: DataFrame, id_column: str, expected: str, produced: str) -> DataFrame:
-    """(id, score) of how well ``produced`` renders ``expected``; a null counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [md.score_markdown(a or "", b or "") for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=[id_column, "score"])
-
-    kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, expected, produced).mapInArrow(run, f"`{id_column}` {kind}, score double")

@@ -39,7 +39,7 @@ def top_level(items: DataFrame, root: str = "root_id") -> DataFrame:
 def reply_paths(items: DataFrame) -> DataFrame:
     """(thread_id, id, depth, path): each item's depth in the tree and the order in which a reader meets it, found by
     joining one level after the other until none is left."""
-    base = items.select("thread_id", "id", "parent_id", F.lpad(F.col("pos").cast("string"), 10, "0").alias("step"))
+    base = items.select("thread_id", "id", "parent_id", F.lpad(F.col("pos").cast("string"), 20, "0").alias("step"))
     known = base.select("thread_id", F.col("id").alias("parent_id")).distinct().withColumn("_known", F.lit(True))
     level = materialise(base.join(known, ["thread_id", "parent_id"], "left").where("_known is null").select("thread_id", "id", F.lit(0).alias("depth"), F.col("step").alias("path")), "replies")
     found = level

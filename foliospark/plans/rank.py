@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts into which a group is split by ranges of its order.
+from .shared import materialise
+
+#: Least parts into which the rows are split by ranges of group and order.
 PARTS = 64
 
 
 def ranked_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... within ``group`` by ``order`` (which must tell the rows of a group apart). Rows are
-    parted by ranges of the first order column, each part is ranked by itself, and the parts' counts give their
-    first ranks."""
-    points = _bounds(df, order[0])
-    part = F.lit(0)
-    for point in points:
-        part = part + F.when(F.col(order[0]).cast("string") > F.lit(point), 1).otherwise(0)
-    parted = df.withColumn("_part", part)
-    sizes = parted.groupBy(*group, "_part").agg(F.count("*").alias("_size")).withColumn("_first", F.coalesce(F.sum("_size").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*[F.col(order[0]).cast("string"), *order[1:]])))
-    return local.join(sizes.hint("merge"), [*group, "_part"]).withColumn("rank", F.col("_first") + F.col("_local") - 1).drop("_part", "_first", "_local")
-
-
-def _bounds(df: DataFrame, column: str) -> list[str]:
-    """PARTS - 1 values that part the column into about equal ranges: a bounded sample decides only where the parts
-    meet, never a result."""
-    sample = df.select(F.col(column).cast("string").alias("v")).where("v is not null").sample(fraction=0.05, seed=7).limit(4096)
-    values = sorted(r["v"] for r in sample.collect())
-    return sorted({values[len(values) * k // PARTS] for k in range(1, PARTS)}) if len(values) >= PARTS else []
+    """Adds ``rank``: 0, 1, ... within ``group`` by ``order`` (which must tell the rows of a group apart; nulls come
+    first). Rows are split by ranges of (group, order), whose borders come from a sample of every input part, so a hot
+    group lies in many parts; each part is ranked by itself, and the parts' counts give their first ranks. The parts are
+    written once, so that both uses see the same borders."""
+    parts = max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parted = materialise(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parted.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return local.join(firsts.hint("merge"), same).withColumn("rank", F.col("_first") + F.col("_local") - 1).select(*df.columns, "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache_tables import latest_rows
+from ..plans.stored import StoredTable
 
 
 def yaml_scalar(value: Column) -> Column:
@@ -29,13 +30,10 @@ def write_markdown(documents: DataFrame, path: str, name: str, text: str) -> Non
 
 
 def upsert_table(spark: SparkSession, path: str, fresh: DataFrame, key: str, order: str) -> DataFrame:
-    """Writes the union of a table and fresh rows, the newest of each key, beside the table and returns it: readers of the
-    old version are not disturbed."""
-    try:
-        known = spark.read.parquet(path)
-        both = known.unionByName(fresh)
-    except Exception:  # noqa: BLE001  not written yet
-        both = fresh
-    target = f"{path}.next"
-    latest_rows(both, key, order).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    """Upserts fresh rows into the table kept under ``path`` and returns it: the newest of each key stays. The union is
+    written as a new base beside the old one, so readers are not disturbed and a failed write changes nothing. Fresh rows
+    must have the table's columns; a table that cannot be read raises and is never taken for a missing one."""
+    stored = StoredTable(spark, path)
+    known = stored.read()
+    both = fresh if known is None else known.unionByName(fresh)
+    return stored.replace(latest_rows(both, key, order))

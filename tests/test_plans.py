@@ -1,8 +1,10 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from foliospark.operators import batch_state, cache_tables, threads
+from foliospark.plans import shared
 from foliospark.plans.cut import keep_newest
 from foliospark.plans.rank import ranked_within
 
@@ -29,6 +31,20 @@ def test_ranks_of_a_hot_group(spark):
     assert {r["o"]: r["rank"] for r in found if r["g"] == "cold"} == {"a": 0, "x": 1}
 
 
+def test_ranks_of_numbers_beyond_twelve_digits_and_nulls(spark):
+    rows = [(g, 10**12 * k) for g in ("a", None) for k in (11, 2, 1, 100, 0)]
+    found = ranked_within(spark.createDataFrame(rows, "g string, o long"), ["g"], ["o"]).collect()
+    assert len(found) == 10 and all(r["rank"] == [0, 1, 2, 11, 100].index(r["o"] // 10**12) for r in found)
+
+
+def test_scratch_removes_its_tables(spark, tmp_path):
+    with shared.scratch(spark):
+        kept = shared.materialise(spark.range(5), "five")
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.isdir("/" + path.lstrip("/"))
+    assert not os.path.isdir("/" + path.lstrip("/"))
+
+
 def test_upsert_keeps_the_new_and_evicts_the_old(spark):
     schema = "k long, v string, at long, size long"
     cache = spark.createDataFrame([(1, "old", 9, 10), (2, "b", 1, 10), (3, "c", 5, 10)], schema)

@@ -1,7 +1,10 @@
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from foliospark.functions import markdown_text as md
 from foliospark.functions import text
 from foliospark.operators import documents, images
 from foliospark.sources import files, sinks
@@ -37,9 +40,13 @@ def test_readers(spark, tmp_path):
 
 def test_upserts_and_front_matter(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int").write.parquet(path)
-    found = sinks.upsert_table(spark, path, spark.createDataFrame([(1, "new", 2)], "k int, v string, at int"), "k", "at").collect()
-    assert {(r["k"], r["v"]) for r in found} == {(1, "new"), (2, "b")}
+    put = lambda rows, schema="k int, v string, at int": {(r["k"], r["v"]) for r in sinks.upsert_table(spark, path, spark.createDataFrame(rows, schema), "k", "at").collect()}
+    assert put([(1, "a", 1), (2, "b", 1)]) == {(1, "a"), (2, "b")}
+    assert put([(1, "new", 2)]) == {(1, "new"), (2, "b")} and put([(3, "c", 1), (1, "old", 0)]) == {(1, "new"), (2, "b"), (3, "c")}
+    with pytest.raises(AnalysisException):
+        put([(4, 5)], "k int, other int")
+    assert put([(4, "d", 9)]) == {(1, "new"), (2, "b"), (3, "c"), (4, "d")}
+    assert len(list((tmp_path / "t").glob("base-*"))) == 2
     block = spark.createDataFrame([('a "q"', None)], "t string, l string").select(sinks.frontmatter({"title": F.col("t"), "lang": F.col("l")}).alias("b")).first()["b"]
     assert block == '---\ntitle: "a \\"q\\""\n---\n'
 
@@ -90,3 +97,16 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("c", t) for t in (0, 1, 2, 3, 70)], "client string, ts long").coalesce(1).write.parquet(asked)
     _drain(jobs.admissions(spark.readStream.schema("client string, ts long").parquet(asked), 2).writeStream.outputMode("append").format("memory").queryName("admitted").option("checkpointLocation", f"{tmp_path}/c2").start())
     assert [(r["asked"], r["admitted"]) for r in spark.table("admitted").orderBy("asked").collect()] == [(0, 0), (1, 1), (2, 60), (3, 61), (70, 120)]
+
+
+def test_held_places_that_stay_are_dropped(spark):
+    held, _ = md.protect("a ![i](x.png) b\n<!-- Page number: 3 -->\nc")
+    made = spark.createDataFrame([(held,), ("![x](__KEEP_IMAGE_4__) y",), ("no place",), (None,)], "t string").select(text.drop_placeholders(F.col("t")).alias("t")).collect()
+    assert "__" in held and [r["t"] for r in made] == ["a  b\nc", " y", "no place", None]
+
+
+def test_many_paragraphs_and_fences(spark):
+    rows = [(1, "\n\n".join(f"{'word ' * 30}{k % 700}" for k in range(3000))), (2, "```\nx\n````\ny\n~~~\nz\n~~~\n```"), (3, ""), (4, None)]
+    texts = spark.createDataFrame(rows, "id int, t string")
+    assert documents.unique_paragraphs(texts.where("id = 1"), "id", "t").first()["text"] == "\n\n".join(f"{'word ' * 30}{k}" for k in range(700))
+    assert [r["in_code"] for r in documents.line_relation(texts.where("id > 1"), "id", "t").orderBy("id", "line_no").collect()] == [True, True, True, False, True, True, True, True, False]

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from foliospark.functions.timestamps import parse_instant
-from foliospark.operators.instants import extend_dictionary, instant_dictionary, normalise_instants
+from foliospark.operators.instants import distinct_values, extend_dictionary, normalise_instants
+from foliospark.plans.stored import MOST_DELTAS, StoredTable
 
 
 def at(text):
@@ -30,18 +31,33 @@ def test_parse(raw, zone, order, wanted):
 SCHEMA = "field_name string, row_id long, raw string, zone string, date_order string"
 
 
-def test_hot_values_and_repeated_rows_keep_all_rows(spark):
+def test_hot_values_and_repeated_rows_keep_all_rows(spark, tmp_path):
     rows = [("f", k, "2024-01-01T00:00:00Z", None, None) for k in range(500)] + [("f", 500 + k, f"2024-01-01T00:00:{k:02d}Z", None, None) for k in range(60)] + [("f", 900, "n/a", None, None), ("f", 901, None, None, None)] * 2
-    found = normalise_instants(spark.createDataFrame(rows, SCHEMA)).collect()
+    found = normalise_instants(spark.createDataFrame(rows, SCHEMA), StoredTable(spark, f"file://{tmp_path}/d")).collect()
     assert len(found) == 560 and {r["row_id"] for r in found} == set(range(560))
 
 
 def test_dictionary_grows(spark, tmp_path):
-    first = spark.createDataFrame([("f", 1, "2024-01-01T00:00:00Z", None, None)], SCHEMA)
-    second = first.union(spark.createDataFrame([("f", 2, "2024-01-02T00:00:00Z", None, None)], SCHEMA))
-    path = f"file://{tmp_path}/dictionary"
-    assert extend_dictionary(spark, path, first).count() == 1
-    whole = extend_dictionary(spark, path, second)
-    assert whole.count() == 2
-    assert {(r["row_id"], r["utc_us"]) for r in normalise_instants(second, whole).collect()} == {(1, at("2024-01-01")), (2, at("2024-01-02"))}
-    assert instant_dictionary(second, whole).count() == 2
+    one = [("f", 1, "2024-01-01T00:00:00Z", None, None)]
+    first, second = spark.createDataFrame(one, SCHEMA), spark.createDataFrame(one * 3 + [("f", 2, "2024-01-02T00:00:00Z", None, None)], SCHEMA)
+    stored = StoredTable(spark, f"file://{tmp_path}/dictionary")
+    assert extend_dictionary(stored, distinct_values(first)).count() == 1
+    assert extend_dictionary(stored, distinct_values(second)).count() == 2 and stored.deltas() == 2
+    assert stored.append(stored.read().limit(1)).count() == 1  # as a second writer would
+    assert sorted((r["row_id"], r["utc_us"]) for r in normalise_instants(second, stored).collect()) == [(1, at("2024-01-01"))] * 3 + [(2, at("2024-01-02"))]
+    for k in range(MOST_DELTAS):
+        extend_dictionary(stored, distinct_values(spark.createDataFrame([("f", 1, f"2024-02-{k + 1:02d}", "UTC", None)], SCHEMA)))
+    assert stored.deltas() < MOST_DELTAS and stored.read().count() == 2 + MOST_DELTAS
+
+
+def test_an_unreadable_dictionary_is_no_missing_one(spark, tmp_path):
+    stored = StoredTable(spark, f"file://{tmp_path}/dictionary")
+    values = distinct_values(spark.createDataFrame([("f", 1, "2024-01-01T00:00:00Z", None, None)], SCHEMA))
+    extend_dictionary(stored, values)
+    part = next((tmp_path / "dictionary").glob("delta-*/part-*"))
+    part.write_bytes(b"broken")
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):
+        extend_dictionary(stored, values)
+    assert stored.deltas() == 1
