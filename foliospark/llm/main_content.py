@@ -1,10 +1,15 @@
 """A page's own text, told from what its site puts around and between it.
 
-Each value is a tree: the page, its regions (the text before the first surely own paragraph, between two of them, after
-the last) and their lines. Every line has evidence from its words, its marks, its neighbours and the record's title,
-by a maximum-entropy model; parent-child potentials join lines to regions and regions to the page. Messages pass upward
-from the lines and back down (sum-product, exact on a tree) and give each line's marginal. Evidence and potentials are
-trained on labelled pages.
+Each value is a tree: the page, its regions (the text before, between and after its long paragraphs, and these), their
+blocks (elements of HTML, lines without a blank one between them) and the lines. Parent-child potentials join the levels;
+messages pass upward from the lines and back down (sum-product, exact on a tree) and give each line's marginal. A line's own
+evidence is a maximum-entropy model over its marks, the lines beside it, the record's title and what the corpus knows of
+it. Evidence and potentials are trained on labelled pages.
+
+What the corpus knows: no words of any site are built in. A first tree, without words, judges every line of the corpus by
+marks and places. Over all records it is then counted how often the same line, the same parts of a row, the same first and
+last words were own text by that judgement: a menu line is met in menus and behind the last paragraph, a heading before
+paragraphs. The second tree judges with these counts, a record's own words taken out of them first.
 
 Defined cases: null, empty and blank values have no lines; lines without visible text are no cases; a message in place
 of a page is own text; repeated rows get their lines each; very long lines are one node; an empty table gives an empty
@@ -13,8 +18,10 @@ result.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 from unicodedata import normalize
@@ -22,17 +29,25 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as _hash
 
+from ..plans.shared import materialise
 from ..sources.tables import table
 from .blocks import CODE_FORMS, scan, visible
-from .crf import ChainCRF
-from .labelled_pages import AROUND, HEADINGS, ITEMS, SENTENCES, pages as labelled_pages
-from .residue import MESSAGES
+from .labelled_pages import pages as labelled_pages
 
 FIELDS = ("content", "static_content", "browser_content")
-TOP, GAP, TAIL, ANCHOR = range(4)
-#: Evidence from which a paragraph bounds regions.
-ANCHOR_EVIDENCE = 2.5
+#: Characters from which one sentence is a paragraph; two are always one.
+PARAGRAPH = 110
+#: A key counts when it holds at least this share of all keys of the corpus, so there are at most 1 / LEAST_SHARE of them.
+LEAST_SHARE = 1e-6
+#: How many occurrences the prior weighs against the counts of a key.
+PRIOR_COUNT = 2.0
+#: The same for first words against their shorter ones.
+SMOOTH = 4.0
+#: Log odds of a key's counts below which a line is taken for one around the page when the lines beside it are judged.
+AROUND_BELOW = -1.5
 
 _WORD = re.compile(r"[^\W\d_]+|\d+|[©↑→←»|·/…:]")
 _LETTER = re.compile(r"[^\W_]")
@@ -41,11 +56,13 @@ _RELATIVE_LINK = re.compile(r"\s*(?:[-*+]\s+)?\*{0,2}\[[^\[\]]+\]\(/[^)]*\)\*{0,
 _BOLD = re.compile(r"\s*\*\*[^*]+\*\*\s*$|\s*'''[^']+'''\s*$|\s*\\textbf\{[^{}]*\}\s*$")
 _SIGNATURE = re.compile(r"[—–]\s*(?:[A-ZÀ-ÞА-Я][\w'’\-]+[ .]+){1,3}[A-ZÀ-ÞА-Я][\w'’\-]+\s*$")
 _QUOTED = re.compile(r"\s*[“„«\"].*[”“»\"]\s*$")
-_LIST_LINE = re.compile(r"[^;.]+(?:; [^;.]+)+\.?\s*$")
+_LIST_LINE = re.compile(r"\s*[^;.\s]+(?: [^;.\s]+){0,4}(?:; [^;.\s]+(?: [^;.\s]+){0,4})+\.?\s*$")
 _FORMULA_LINE = re.compile(r"\s*(?:\$\$|\\\[|\\begin\{|<math|<script|<span class=\"math)|\s*\w = \d+ · \w\s*$")
 _SHOWN_ONLY_TAGS = re.compile(r"(?:\s*</?[a-zA-Z][^<>]*>)*\s*$|\s*\\(?:begin|end)\{[a-zA-Z*]+\}(?:\[[^\]]*\])?\s*$|\s*[=\-_*~`|#>$+]*\s*$")
 _BYLINE = re.compile(r"(?:[^\W\d_]{2,6} )?(?:[A-ZÀ-ÞА-Я][\w'’\-]+ ){0,2}[A-ZÀ-ÞА-Я][\w'’\-]+ ?[,·|] ?(?:\d{1,2}\.? )?(?:de )?[^\W\d_]{3,12}\.? (?:de )?(?:19|20)\d\d\W*$")
 _ROW = re.compile(r" [|/·»>] |\S {3,}\S")
+_ROW_SIGNS = (" | ", " / ", " · ", " » ", " > ")
+_QUOTES = frozenset("“„«\"")
 _PARTS = re.compile(r"\s+[|/·»>]\s+|\s{3,}")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _END = re.compile(r"[.!?…:;][\"”»)\]*_`']*$")
@@ -53,6 +70,8 @@ _END = re.compile(r"[.!?…:;][\"”»)\]*_`']*$")
 
 def shows_text(line: str) -> bool:
     """Whether a reader sees anything of the line."""
+    if line[:1].isalnum():
+        return True
     return bool(_LETTER.search(line)) and not _SHOWN_ONLY_TAGS.match(line) or (bool(line.strip()) and not line.isascii() and not _SHOWN_ONLY_TAGS.match(line))
 
 
@@ -63,190 +82,23 @@ def site_name(url: str | None) -> str:
     return re.sub(r"^[a-z]+://", "", url).split("/")[0].lower().removeprefix("www.")
 
 
-class Exemplars:
-    """Labelled lines in an inverted index, to measure how near a line is to one of them. A NAME in an exemplar stands
-    for up to three words, a TITLE for any number of them."""
-
-    def __init__(self):
-        self.index: dict[str, list[int]] = {}
-        self.known: list[tuple[frozenset[str], int, str]] = []
-        seen: dict[str, int] = {}
-        for label, texts in (("around", AROUND), ("message", MESSAGES)):
-            for text in dict.fromkeys([*texts, *(part for t in texts if "." in t for part in _SENTENCES.split(t) if len(part.split()) > 3)]):
-                # the words of a site's or a person's name are free
-                free = 99 if "TITLE" in text else 3 * (("NAME" in text) + ("SITE" in text) + ("x" in text.split()))
-                bag = frozenset(tokens(text.replace("TITLE", " ").replace("NAME", " ").replace("SITE", " "), "")) - {"x"}
-                if len(bag - {"|", "·", "/", "»", ":", "0", "…"}) == 0 or (free and len(bag) < 2):
-                    continue
-                self.known.append((bag, free, label))
-                for w in bag:
-                    self.index.setdefault(w, []).append(len(self.known) - 1)
-                    seen[w] = seen.get(w, 0) + 1
-        self.weight = {w: 1.0 / n for w, n in seen.items()}
-        own = {w for text in (*SENTENCES, *HEADINGS, *ITEMS, *(t for t in AROUND if " " not in t)) for w in tokens(text, "")}
-        #: Words that only the lines around have.
-        self.cues = frozenset(w for text in AROUND for w in tokens(text.replace("TITLE", " ").replace("NAME", " "), "") if len(w) > 3) - own
-        self.memory: dict[frozenset[str], str] = {}
-
-    def row(self, seen: str, site: str) -> bool:
-        """A row of links or a path: parts between signs or wide gaps, the first or most of which are exemplars."""
-        parts = [p for p in _PARTS.split(seen.strip()) if p]
-        if len(parts) < 2 or any(len(p) > 70 for p in parts):
-            return False
-        known = [self.nearest(tokens(p, site)) == "around" for p in parts]
-        return known[0] and len(parts) > 2 or sum(known) * 2 >= len(parts)
-
-    def nearest(self, words: list[str]) -> str:
-        """around, message, or a weaker ``like`` of the first, or nothing."""
-        bag = frozenset(words)
-        found = self.memory.get(bag)
-        if found is None:
-            found = self._nearest(bag)
-            if len(self.memory) < 500_000:
-                self.memory[bag] = found
-        return found
-
-    def ends(self, words: list[str]) -> bool:
-        """Whether a line near an exemplar has all the words of one, so that nothing is missing at its end."""
-        bag = frozenset(words)
-        return any(self.known[k][0] <= bag for k in {k for w in bag for k in self.index.get(w, ())})
-
-    def chained(self, seen: str, site: str) -> bool:
-        """Whether a line is made of exemplars: one of its sentences is near one, and hardly a word is of none."""
-        parts = [tokens(p, site) for p in _SENTENCES.split(seen) if p]
-        if not any(len(p) > 3 and self.nearest(p) == "around" for p in parts):
-            return False
-        words = [w for p in parts for w in p]
-        return sum([w not in self.weight for w in words]) <= 0.2 * len(words)
-
-    def _nearest(self, bag: frozenset[str]) -> str:
-        best, label = 0.0, ""
-        shared: dict[int, float] = {}
-        for w in bag:
-            if (weight := self.weight.get(w)) is not None and weight >= 0.08:
-                for k in self.index[w]:
-                    shared[k] = shared.get(k, 0.0) + weight
-        for k, weight in shared.items():
-            known, free, kind = self.known[k]
-            common = len(known & bag)
-            missing, extra = len(known) - common, max(0, len(bag) - common - free)
-            score = common / (common + missing + extra)
-            if score > best or (score == best and kind == "around"):
-                best, label = score, kind
-        if best >= 0.7:
-            return label
-        return "like" if best >= 0.5 and label == "around" else ""
-
-
 def tokens(text: str, site: str) -> list[str]:
     """Words and signs in lower case; figures are 0, words of the site's name are ``site`` in lines of some length."""
-    found = _WORD.findall(text.lower())
-    if not any(map(str.isdigit, found)) and (not site or len(found) < 3 or not any([w in site for w in found if len(w) > 3])):
-        return found
-    if not site or len(found) < 3:
-        return ["0" if w[0].isdigit() else w for w in found]
-    return ["0" if w[0].isdigit() else "site" if w in site and len(w) > 3 and _names(w, site) else w for w in found]
-
-
-@lru_cache(maxsize=20_000)
-def _names(word: str, site: str) -> bool:
-    """Whether a host has a part that is the word, or begins or ends with it and another word."""
-    return any(p == word or (len(p) - len(word) > 2 and (p.startswith(word) or p.endswith(word))) for p in re.split(r"[.\-:]", site))
-
-
-class Leaf(NamedTuple):
-    """A visible line: its number, what its evidence is made from, and whether it is a long sentence."""
-
-    line_no: int
-    key: tuple
-    long: bool
-
+    text = text.lower()
+    found = _WORD.findall(_FIGURES.sub("0", text) if _FIGURES.search(text) else text)
+    if site and len(found) > 2 and not (names := _names(site)).isdisjoint(found):
+        return ["site" if w in names else w for w in found]
+    return found
 
-def _size(count: int) -> str:
-    return "1" if count == 1 else "2-3" if count < 4 else "4-8" if count < 9 else "9-16" if count < 17 else "17+"
 
+_FIGURES = re.compile(r"\d+")
 
-def leaves(text: str, site: str, titles: tuple[str, ...], exemplars: Exemplars) -> list[Leaf]:
-    """The visible lines of a value with their features."""
-    lines = text.split("\n")
-    marks: list[str] = [""] * len(lines)
-    for form, start, end, _ in scan(text):
-        if form in CODE_FORMS:
-            marks[start:end] = ["code"] * (end - start)
-        elif form == "display" or form == "quote":
-            marks[start:end] = [form] * (end - start)
-        else:
-            marks[start] = _MARKS.get(form, "")
-    shapes: list[tuple] = []
-    after_blank = True
-    for at, line in enumerate(lines):
-        if not line or line.isspace():
-            after_blank = True
-            continue
-        if not shows_text(line):
-            after_blank = False
-            continue
-        mark = marks[at]
-        if mark == "code" or mark == "display":
-            shapes.append((at, mark, mark, after_blank, (), False, ""))
-            after_blank = False
-            continue
-        tag = ""
-        if "<" in line and (m := _TAG_NAME.match(line)):
-            tag = m.group(1).lower()
-            tag = "h" if tag[0] == "h" and tag[1:].isdigit() else tag
-        seen = visible(line) if _MARKED.search(line) else line.strip()
-        words = tokens(seen, site)
-        count = sum(map(str.isalpha, words))
-        stop = bool(_END.search(seen))
-        long = count >= 6 and len(seen) >= 45 and (stop or count >= 14)
-        few = len(exemplars.cues.intersection(words))
-        near = exemplars.nearest(words) if count < 9 or (few and count < 40) else ""
-        if near in ("", "like") and not mark and count and (_ROW.search(seen) and exemplars.row(seen, site) or few > 1 and _SENTENCES.search(seen) and exemplars.chained(seen, site) or stop is False and _BYLINE.match(seen) or len(seen) > 8 and (seen[0] == "←" or seen[-1] == "→")):
-            near = "around"
-        cue = ""
-        if few and count and not near and not mark:
-            cue = "most" if few * 2 >= count else "some" if few * 5 >= count and few > 1 else ""
-        linked = ("<a href" in line or "](/" in line) and _RELATIVE_LINK.match(line) is not None
-        if mark == "quote" or tag == "blockquote" or _QUOTED.match(seen) or "\\begin{quote}" in line:
-            kind = "quote"
-        elif near == "around":
-            kind = "text"
-        elif _FORMULA_LINE.match(line):
-            kind = "formula"
-        elif seen[:1] in "—–" and _SIGNATURE.match(seen):
-            kind = "signature"
-        elif not mark and _teaser(seen, stop):
-            kind = "teaser"
-        elif not long and _LIST_LINE.match(seen):
-            kind = "list"
-        elif titles and not long and count and _is_title(seen, titles):
-            kind = "title"
-        elif linked:
-            kind = "link"
-        elif _BOLD.match(line):
-            kind = "bold"
-        else:
-            kind = "text"
-        if kind == "teaser" or near == "around":
-            long = False
-        shapes.append((at, kind, mark, after_blank, (tag, _size(count), stop, near, cue, kind == "text" and linked), long, near))
-        after_blank = False
-    last = len(shapes) - 1
-    first_long = next((k for k, s in enumerate(shapes) if s[5]), len(shapes))
-    final_long = next((k for k in range(last, -1, -1) if shapes[k][5]), -1)
-    found: list[Leaf] = []
-    follow = "end"
-    for k in range(last, -1, -1):
-        at, kind, mark, after_blank, more, long, near = shapes[k]
-        lead = "first" if k == 0 else "long" if shapes[k - 1][5] else "around" if shapes[k - 1][6] == "around" or shapes[k - 1][1] == "teaser" else "short"
-        place = "none" if final_long < 0 else "before" if k < first_long else "after" if k > final_long else "within"
-        found.append(Leaf(at + 1, (kind, mark, after_blank, more, long, follow, place, lead, k == last), long))
-        if near != "around" and kind != "teaser" and kind != "link":
-            follow = "long" if long else kind if kind in _OWN_KINDS else mark if mark else "short"
-    found.reverse()
-    return found
 
+@lru_cache(maxsize=4096)
+def _names(site: str) -> frozenset[str]:
+    """The words of a site's name: the parts of its host, and what of a part may be one of two words."""
+    parts = [p for p in re.split(r"[.\-:]", site) if len(p) > 3]
+    return frozenset(parts) | {w for p in parts for k in range(4, len(p) - 2) for w in (p[:k], p[-k:])}
 
 _MARKED = re.compile(r"[<\\\]*'`&_]")
 _OWN_KINDS = frozenset(("code", "display", "formula", "quote", "list", "signature"))
@@ -286,103 +138,460 @@ def page_titles(url: str | None, title: str | None) -> tuple[str, ...]:
 
 
 def _is_title(seen: str, titles: tuple[str, ...]) -> bool:
-    if len(seen) > 160:
+    first = seen[0].lower()
+    if first.isascii() and first.isalnum() and not any([t[0] == first for t in titles]):
         return False
     own = _same(seen)
     return any(own == t or (len(t) >= 12 and own.startswith(t)) for t in titles)
 
 
-def leaf_features(key: tuple) -> tuple[str, ...]:
-    kind, mark, after_blank, more, long, follow, place, lead, final = key
-    names = [f"kind={kind}", f"mark={mark}", f"kind={kind},follow={follow}", f"place={place},long={long}", f"place={place},follow={follow},kind={kind},mark={mark}", f"mark={mark},place={place}"]
-    if more:
-        tag, size, stop, near, cue, link = more
-        names += [f"tag={tag}", f"near={near}", f"near={near},kind={kind}", f"near={near},mark={mark}", f"near={near},place={place}", f"cue={cue}", f"cue={cue},place={place}", f"size={size},stop={stop}", f"tag={tag},kind={kind}", f"link={link},near={near}"]
-        if kind == "text" and not mark and not near:
-            names += [f"bare,size={size},stop={stop},follow={follow},place={place}", f"bare,long={long},place={place}", f"bare,blank={after_blank},place={place},long={long}", f"bare,lead={lead},final={final},stop={stop}", f"bare,lead={lead},follow={follow}"]
+
+
+class Leaf(NamedTuple):
+    """A visible line by itself: its number, its shape, whether it is long like a paragraph, whether a blank line stands
+    before it, and the keys of its words: of the whole line, of its parts, of its first and last words."""
+
+    line_no: int
+    shape: tuple
+    long: bool
+    after_blank: bool
+    keys: tuple[tuple[int, ...], ...]
+
+
+#: What a key is made of: the whole line, a part of it, its first three, two and one words, its last two.
+GROUPS = ("whole", "part", "first three", "first two", "first", "last two")
+_NO_KEYS: tuple[tuple[int, ...], ...] = ((),) * len(GROUPS)
+
+
+def _size(count: int) -> str:
+    return "1" if count == 1 else "2-3" if count < 4 else "4-8" if count < 9 else "9-16" if count < 17 else "17+"
+
+
+def _words_of(seen: str, site: str, row: bool) -> tuple[list[str], list[list[str]]]:
+    """A line's words, and those of its parts: of a row the parts between its signs, of other lines their sentences."""
+    if row:
+        return tokens(seen, site), [tokens(x, site) for x in _PARTS.split(seen.strip()) if x]
+    if not (". " in seen or "! " in seen or "? " in seen) or not _SENTENCES.search(seen):
+        return tokens(seen, site), []
+    parts = [tokens(x, site) for x in _SENTENCES.split(seen) if x]
+    return [w for part in parts for w in part], parts
+
+
+def word_keys(words: list[str], parts: list[list[str]], row: bool, long: bool) -> tuple[tuple[int, ...], ...]:
+    """The keys of a line's words by GROUPS, as unsigned numbers."""
+    some = len(words)
+    if not some:
+        return _NO_KEYS
+    return (
+        (_hash("w" + " ".join(words)),), tuple([_hash("w" + " ".join(c)) for c in parts if c]) if len(parts) > 1 else (),
+        (_hash("p" + " ".join(words[:3])),) if some > 3 else (), (_hash("p" + " ".join(words[:2])),) if some > 2 else (), (_hash("p" + words[0]),) if some > 1 else (),
+        (_hash("s" + " ".join(words[-2:])),) if some > 2 and not row and not long else (),
+    )
+
+
+class LineReader:
+    """Reads lines by themselves and remembers them: sites share their lines, and a page's renderings share theirs. The
+    memory is emptied and filled again when it is full."""
+
+    SIZE = 30_000
+
+    def __init__(self):
+        self.memory: dict[tuple, tuple | None] = {}
+
+    def read(self, line: str, mark: str, site: str) -> tuple | None:
+        """(shape, long, keys, what may be a title) of a line; None for one without visible text. What is remembered of a
+        line holds for every site of whose name it has no word."""
+        at = (line, mark)
+        found = self.memory.get(at, at)
+        if found is None:
+            return None
+        if found is not at and (not site or found[4].isdisjoint(_names(site))):
+            return found
+        if len(self.memory) >= self.SIZE:
+            self.memory.clear()
+        if not shows_text(line):
+            self.memory[at] = None
+            return None
+        made = self._read(line, mark, site)
+        if "site" not in made[4]:
+            self.memory[at] = made
+        return made
+
+    def _read(self, line: str, mark: str, site: str) -> tuple:
+        if mark == "code" or mark == "display":
+            return (mark, mark, "", "", False, "", False, ""), False, _NO_KEYS, "", frozenset()
+        tag = ""
+        if "<" in line and (m := _TAG_NAME.match(line)):
+            tag = m.group(1).lower()
+            tag = "h" if tag[0] == "h" and tag[1:].isdigit() else tag
+        seen = visible(line) if _MARKED.search(line) else line.strip()
+        row = len(seen) < 300 and ("   " in seen or any([sign in seen for sign in _ROW_SIGNS])) and _ROW.search(seen) is not None
+        words, parts = _words_of(seen, site, row)
+        count = sum(map(str.isalpha, words))
+        stop = bool(_END.search(seen[-16:]))
+        sentence = count >= 6 and len(seen) >= 40 and (stop or count >= 14)
+        long = sentence and (len(seen) >= PARAGRAPH or len(parts) > 1)
+        linked = ("<a href" in line or "](/" in line) and _RELATIVE_LINK.match(line) is not None
+        if mark == "quote" or tag == "blockquote" or (seen[:1] in _QUOTES and _QUOTED.match(seen)) or "\\begin{quote}" in line:
+            kind = "quote"
+        elif ("=" in line or "\\" in line or "$" in line or "<math" in line or "<script" in line) and _FORMULA_LINE.match(line):
+            kind = "formula"
+        elif seen[:1] in "—–" and _SIGNATURE.match(seen):
+            kind = "signature"
+        elif not mark and _teaser(seen, stop):
+            kind, long = "teaser", False
+        elif not stop and len(seen) < 100 and _FIGURES.search(seen[-8:]) and _BYLINE.match(seen):
+            kind = "byline"
+        elif not long and ";" in seen and _LIST_LINE.match(seen):
+            kind = "list"
+        elif ("**" in line or "'''" in line or "\\textbf" in line) and _BOLD.match(line):
+            kind = "bold"
+        else:
+            kind = "text"
+        sign = "row" if row else "colon" if not long and ":" in seen[:40] else ""
+        shape = (kind, mark, tag, "sentence" if sentence and not long else _size(count), stop, sign, linked, _hint(seen, words))
+        return shape, long, word_keys(words, parts, row, long), seen if kind in ("text", "bold") and count and not long and len(seen) <= 160 else "", frozenset(words)
+
+
+def leaves(text: str, site: str, titles: tuple[str, ...], reader: LineReader) -> list[Leaf]:
+    """The visible lines of a value."""
+    lines = text.split("\n")
+    marks: list[str] = [""] * len(lines)
+    for form, start, end, _ in scan(text):
+        if form in CODE_FORMS:
+            marks[start:end] = ["code"] * (end - start)
+        elif form == "display" or form == "quote":
+            marks[start:end] = [form] * (end - start)
+        else:
+            marks[start] = _MARKS.get(form, "")
+    found: list[Leaf] = []
+    after_blank = True
+    for at, line in enumerate(lines):
+        if not line or line.isspace():
+            after_blank = True
+            continue
+        if (read := reader.read(line, marks[at], site)) is not None:
+            shape, long, keys, title, _ = read
+            if title and titles and _is_title(title, titles):
+                shape = ("title", *shape[1:])
+            found.append(Leaf(at + 1, shape, long, after_blank, keys))
+        after_blank = False
+    return found
+
+def _hint(seen: str, words: list[str]) -> str:
+    """A sign that lines around a page's text often bear: a mark of rights, the site's own name, an arrow, an address."""
+    return "rights" if "©" in seen else "arrow" if seen[:1] in "←→↑" or seen[-1:] in "←→↑" else "site" if "site" in words else "address" if "@" in seen else "field" if "[" in seen else ""
+
+
+
+
+#: Borders between the classes of a key's log odds, and of the number of other pages that have it.
+BINS = np.array([-3.0, -1.5, -0.5, 0.5, 1.5])
+OFTEN = np.array([1, 3, 10])
+
+
+class Lexicon:
+    """What the corpus knows of keys: in how many records each stands, and in how many of these as own text."""
+
+    def __init__(self, keys: np.ndarray, own: np.ndarray, count: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.own, self.count = keys[order], own[order], count[order]
+        self.prior = float(np.clip(own.sum() / max(count.sum(), 1.0), 0.05, 0.95)) if len(keys) else 0.5
+
+    def without(self, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(records with the key as own text, records with it), without the record that asks, in which the key was own text
+        with chance ``own``."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys)), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        count = np.where(hit, self.count[at] - 1, 0.0)
+        return np.clip(np.where(hit, self.own[at] - own, 0.0), 0.0, count), count
+
+
+def known_words(lexicon: Lexicon, group: np.ndarray, leaf: np.ndarray, key: np.ndarray, own: np.ndarray, size: int) -> tuple[list[tuple], np.ndarray]:
+    """For each of ``size`` lines the classes of what is known of its whole, its parts, its first and its last words and of
+    how many others have the whole, and whether this makes it a line around. First words are smoothed from the longest
+    down to the first alone."""
+    kept, count = lexicon.without(key, own)
+    prior = lexicon.prior
+    base = np.log(prior / (1 - prior))
+    at = [group == g for g in range(len(GROUPS))]
+    spread = lambda g, values: np.bincount(leaf[at[g]], values[at[g]], size)
+    logit = lambda share: np.log(share / (1 - share)) - base
+    share = np.full(size, prior)
+    for g in (4, 3, 2):
+        n = spread(g, count)
+        share = np.where(n > 0, (spread(g, kept) + SMOOTH * share) / (n + SMOOTH), share)
+    alone = (kept + PRIOR_COUNT * prior) / (count + PRIOR_COUNT)
+    parts = np.where(count > 0, logit(alone), 0.0)
+    known_parts = np.bincount(leaf[at[1]], (count > 0)[at[1]], size)
+    values = (np.bincount(leaf[at[0]], parts[at[0]], size), np.bincount(leaf[at[1]], parts[at[1]], size) / np.maximum(known_parts, 1), logit(share), np.bincount(leaf[at[5]], parts[at[5]], size))
+    seen = (spread(0, count), np.bincount(leaf[at[1]], count[at[1]], size), spread(4, count), spread(5, count))
+    classes = [np.where(n > 0, np.digitize(v, BINS), -1) for v, n in zip(values, seen)] + [np.digitize(seen[0], OFTEN)]
+    low = np.zeros(size, bool)
+    for v, n, below in zip(values, seen, (AROUND_BELOW, AROUND_BELOW, AROUND_BELOW - 0.5, AROUND_BELOW - 0.5)):
+        low |= (v < below) & (n > 1)
+    # a line that is known as a whole is judged by that
+    return list(map(tuple, np.stack(classes, 1).tolist())), low & ~(classes[0] >= 3)
+
+
+_UNKNOWN = (-1, -1, -1, -1, -1)
+
+
+def line_features(key: tuple) -> tuple[str, ...]:
+    shape, known, low, alone = key
+    kind, mark, tag, size, stop, row, link, hint = shape
+    names = [f"kind={kind}", f"mark={mark}", f"tag={tag}", f"kind={kind},mark={mark}", f"tag={tag},kind={kind}", f"size={size},stop={stop}", f"row={row},kind={kind},mark={mark}", f"link={link},kind={kind},mark={mark}", f"hint={hint},size={size},mark={mark}", f"hint={hint},kind={kind}", f"alone={alone},kind={kind}"]
+    if known != _UNKNOWN:
+        names += [f"{g}{c}" for g, c in zip("wrps", known) if c >= 0]
+        names += [f"w={known[0]},mark={mark}", f"w={known[0]},kind={kind}", f"w={known[0]},r={known[1]},p={known[2]}", f"p={known[2]},mark={mark},kind={kind}", f"p={known[2]},s={known[3]}", f"r={known[1]},row={row}", f"low={low},mark={mark},kind={kind}", f"n={known[4]},size={size},stop={stop}", f"n={known[4]},w={known[0]},size={size}", f"n={known[4]},mark={mark}", f"low={low},alone={alone}"]
+    if kind == "text" and not mark:
+        names += [f"bare,size={size},stop={stop}", f"bare,w={known[0]},p={known[2]}", f"bare,alone={alone},size={size}"]
     return tuple(names)
 
 
-class ContentModel:
-    """Evidence weights and parent-child potentials, trained on labelled pages."""
-
-    def __init__(self, count: int = 900, seed: int = 3):
-        self.exemplars = Exemplars()
-        trees = []
-        for site, title, lines in labelled_pages(count, seed):
-            trees.append((leaves("\n".join(line for line, _ in lines), site.lower().replace(" ", ""), page_titles(None, title), self.exemplars), [label for _, label in lines]))
-        samples = [[(leaf_features(leaf.key), "own" if labels[leaf.line_no - 1] == 1 else "around")] for tree, labels in trees for leaf in tree if labels[leaf.line_no - 1] >= 0]
-        model = ChainCRF(("around", "own")).fit(samples, steps=160, rate=0.3, penalty=3e-5)
-        share = sum(s[0][1] == "own" for s in samples) / len(samples)
-        self.prior = float(np.log(share / (1 - share)))
-        self.weights = {name: float(model.emit[k, 1] - model.emit[k, 0]) for name, k in model.features.items()}
-        self.bias = float(model.start[1] - model.start[0])
-        self.known: dict[tuple, float] = {}
-        together, regions = np.ones((4, 2, 2)), np.ones((4, 2))
-        for tree, labels in trees:
-            kept = [leaf for leaf in tree if labels[leaf.line_no - 1] >= 0]
+class Placed(NamedTuple):
+    """The lines of a value in their tree: each line's features, block and region, and the kinds of these."""
+
+    keys: list[tuple]
+    block: list[int]
+    block_kinds: list[tuple]
+    region: list[int]
+    region_kinds: list[tuple]
+
+
+_CLOSING = frozenset(("code", "display", "formula", "quote", "list", "signature"))
+
+
+def place(tree: Sequence[tuple[tuple, bool, bool]], known: Sequence[tuple], low: Sequence[bool]) -> Placed:
+    """The tree over a value's lines (shape, long, after_blank). Long lines known as lines around bound no region."""
+    few = lambda n: 1 if n == 1 else 2 if n < 4 else 3
+    total = len(tree)
+    body = [long and not k for (_, long, _), k in zip(tree, low)]
+    first = next((k for k, b in enumerate(body) if b), total)
+    final = next((k for k in range(total - 1, -1, -1) if body[k]), -1)
+    follows, follow = [""] * total, "end"
+    for k in range(total - 1, -1, -1):
+        follows[k] = follow
+        shape, _, _ = tree[k]
+        kind, mark = shape[0], shape[1]
+        if not low[k] and kind not in ("teaser", "byline"):
+            follow = "long" if body[k] else kind if kind in _CLOSING else mark if mark else "sentence" if shape[3] == "sentence" else "short"
+    keys, block, region = [], [], []
+    block_kinds: list[list] = []
+    region_kinds: list[list] = []
+    blocks_in: list[int] = []
+    before = None
+    for k, (shape, _, after_blank) in enumerate(tree):
+        where = "body" if body[k] else "alone" if final < 0 else "top" if k < first else "tail" if k > final else "gap"
+        if before is None or where != before:
+            region_kinds.append([where, 0])
+            blocks_in.append(-1)
+        group = "nav" if shape[2] in ("nav", "aside", "footer", "div") else shape[2] or shape[1]
+        if before is None or where != before or after_blank or block_kinds[-1][0] != group:
+            lead = "first" if k == 0 else "body" if body[k - 1] else "around" if low[k - 1] or tree[k - 1][0][0] == "teaser" else "short"
+            block_kinds.append([group, 0, False, lead, "", "", ""])
+            region.append(len(region_kinds) - 1)
+        found = block_kinds[-1]
+        found[1] += 1
+        found[2] |= low[k] or shape[6]
+        found[4], found[5], found[6] = follows[k], shape[0] if not shape[1] else "", shape[3] if shape[4] else "open"
+        region_kinds[-1][1] += 1
+        block.append(len(block_kinds) - 1)
+        keys.append((shape, known[k], low[k], "" if final >= 0 and total > 3 else few(total)))
+        before = where
+    return Placed(keys, block, [(g, few(n), bool(m), *rest) for g, n, m, *rest in block_kinds], region, [(w, few(n)) for w, n in region_kinds])
+
+
+class Evidence:
+    """A maximum-entropy model over discrete features, trained by gradient ascent with Adam steps and an L2 penalty over
+    the distinct sets of features. ``score`` is the log likelihood ratio of own text."""
+
+    def __init__(self, samples: Counter, steps: int = 250, rate: float = 0.2, penalty: float = 3e-5):
+        sets = sorted({names for names, _ in samples})
+        index = {name: k for k, name in enumerate(sorted({n for names in sets for n in names}))}
+        rows = np.repeat(np.arange(len(sets)), [len(names) for names in sets])
+        columns = np.array([index[n] for names in sets for n in names])
+        own = np.array([samples[names, 1] for names in sets], float)
+        total = own + np.array([samples[names, 0] for names in sets])
+        weights, bias = np.zeros(len(index)), 0.0
+        first, second = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
+        for step in range(1, steps + 1):
+            chance = 1 / (1 + np.exp(-(np.bincount(rows, weights[columns], len(sets)) + bias)))
+            gap = (own - total * chance) / total.sum()
+            slope = np.append(np.bincount(columns, gap[rows], len(index)) - penalty * weights, gap.sum())
+            first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+            move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+            weights, bias = weights + move[:-1], bias + move[-1]
+        share = own.sum() / total.sum()
+        self.bias = bias - float(np.log(share / (1 - share)))
+        self.weights = dict(zip(index, weights.tolist()))
+        self.memory: dict[tuple, float] = {}
+
+    def score(self, key: tuple) -> float:
+        found = self.memory.get(key)
+        if found is None:
+            if len(self.memory) > MEMORY:
+                self.memory.clear()
+            weights = self.weights
+            found = self.memory[key] = max(-12.0, min(12.0, self.bias + sum([weights.get(n, 0.0) for n in line_features(key)])))
+        return found
+
+
+#: Scores kept by a worker; beyond them the memory is emptied and filled again.
+MEMORY = 200_000
+#: Weights of a line's own evidence among which training chooses.
+SCALES = (0.4, 0.55, 0.7, 0.85, 1.0)
+
+
+class TreeModel:
+    """A line's evidence, and the potentials of lines in blocks, blocks in regions and regions in pages."""
+
+    def __init__(self, placed: Sequence[Placed], truth: Sequence[Sequence[int]]):
+        samples: Counter = Counter()
+        for tree, labels in zip(placed, truth):
+            for key, label in zip(tree.keys, labels):
+                if label >= 0:
+                    samples[line_features(key), label] += 1
+        self.evidence = Evidence(samples)
+        lines, blocks, regions, pages = Counter(), Counter(), Counter(), Counter()
+        for tree, labels in zip(placed, truth):
+            kept = [k for k, label in enumerate(labels) if label >= 0]
             if not kept:
                 continue
-            score = np.array([self.evidence(leaf) for leaf in kept])
-            where, kinds = self.regions(kept, score)
-            truth = np.array([labels[leaf.line_no - 1] for leaf in kept])
-            for r, kind in enumerate(kinds):
-                inside = truth[where == r]
-                own = int(inside.mean() > 0.5)
-                regions[kind, own] += 1
-                for y in inside:
-                    together[kind, own, y] += 1
-        #: log P(line | region) and log P(region), by kind of region.
-        self.child = np.log(together / together.sum(2, keepdims=True))
-        self.parent = np.log(regions / regions.sum(1, keepdims=True))
-
-    def evidence(self, leaf: Leaf) -> float:
-        """The log likelihood ratio of own text, of the line by itself."""
-        score = self.known.get(leaf.key)
-        if score is None:
-            score = self.bias - self.prior + sum(self.weights.get(name, 0.0) for name in leaf_features(leaf.key))
-            score = self.known[leaf.key] = max(-12.0, min(12.0, score))
-        return score
-
-    @staticmethod
-    def regions(tree: list[Leaf], score: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """The region of each line, and the kind of each region. A surely own paragraph is a region by itself."""
-        anchors = [leaf.long and s > ANCHOR_EVIDENCE for leaf, s in zip(tree, score)]
-        last = max((k for k, a in enumerate(anchors) if a), default=-1)
-        where, kinds = np.zeros(len(tree), np.int64), []
-        started = False
-        for k, anchor in enumerate(anchors):
-            if anchor:
-                kinds.append(ANCHOR)
-                started = True
-            elif k == 0 or anchors[k - 1]:
-                kinds.append(TAIL if k > last >= 0 else GAP if started else TOP)
-            where[k] = len(kinds) - 1
-        return where, kinds
-
-    def marginals(self, score: np.ndarray, where: np.ndarray, kinds: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
-        """Log odds of own text of all lines of a batch of trees: ``where`` is each line's region over the batch,
-        ``kinds`` and ``page`` each region's kind and page."""
-        child, parent = self.child[kinds], self.parent[kinds]
-        line_child = child[where]
-        # upward: what a line says of its region being own, against not
-        up = np.logaddexp(line_child[:, 1, 0], line_child[:, 1, 1] + score) - np.logaddexp(line_child[:, 0, 0], line_child[:, 0, 1] + score)
-        said = np.bincount(where, up, len(kinds))
-        # a page leans to own text as its regions do; its two states shift the regions' priors by one unit
-        lean = 1.0
-        base = parent[:, 1] - parent[:, 0] + said
-        page_up = np.logaddexp(0, base + lean) - np.logaddexp(0, base - lean) - (np.logaddexp(0, parent[:, 1] - parent[:, 0] + lean) - np.logaddexp(0, parent[:, 1] - parent[:, 0] - lean))
-        total = np.bincount(page, page_up, pages)
-        # downward: page to region without the region's own word, region to line without the line's
-        rest = total[page] - page_up
-        prior = parent[:, 1] - parent[:, 0]
-        on, off = 1 / (1 + np.exp(-rest)), 1 / (1 + np.exp(rest))
-        chance = on / (1 + np.exp(-(prior + lean))) + off / (1 + np.exp(-(prior - lean)))
-        down = np.log(chance / (1 - chance))
-        region = (down + said)[where] - up
-        own = np.logaddexp(region + line_child[:, 1, 1], line_child[:, 0, 1])
-        other = np.logaddexp(region + line_child[:, 1, 0], line_child[:, 0, 0])
-        return score + own - other
+            most = lambda of: {b: int(2 * sum(labels[k] for k in kept if of[k] == b) >= sum(of[k] == b for k in kept)) for b in {of[k] for k in kept}}
+            region_of = [tree.region[b] for b in tree.block]
+            state, above = most(tree.block), most(region_of)
+            page = int(2 * sum(labels[k] for k in kept) >= len(kept))
+            pages[page] += 1
+            for b, s in state.items():
+                blocks[tree.block_kinds[b], above[tree.region[b]], s] += 1
+            for r, s in above.items():
+                regions[tree.region_kinds[r], page, s] += 1
+            for k in kept:
+                lines[tree.block_kinds[tree.block[k]], state[tree.block[k]], labels[k]] += 1
+        self.tables = tuple(map(_potentials, (lines, blocks, regions)))
+        self.page = np.log(np.array([pages[0] + 1.0, pages[1] + 1.0]) / (sum(pages.values()) + 2))
+        self.scale = 1.0
+        right = {}
+        for scale in SCALES:
+            self.scale = scale
+            found = self.odds(placed)
+            right[scale] = sum(int(o > 0) == label for odds, labels in zip(found, truth) for o, label in zip(odds, labels) if label >= 0)
+        self.scale = max(right, key=lambda s: (right[s], -s))
+
+    def potentials(self, level: int, kinds: Sequence[tuple]) -> np.ndarray:
+        own, other = self.tables[level]
+        return np.array([own.get(k, other) for k in kinds])
+
+    def odds(self, placed: Sequence[Placed]) -> list[np.ndarray]:
+        """Log odds of own text of every line, by messages upward and downward over all trees at once."""
+        sizes = [len(tree.keys) for tree in placed]
+        if not sum(sizes):
+            return [np.zeros(0) for _ in placed]
+        score = self.scale * np.array([self.evidence.score(key) for tree in placed for key in tree.keys])
+        block, region, page, n_blocks, n_regions = [], [], [], 0, 0
+        for k, tree in enumerate(placed):
+            block += [n_blocks + b for b in tree.block]
+            region += [n_regions + r for r in tree.region]
+            page += [k] * len(tree.region_kinds)
+            n_blocks += len(tree.block_kinds)
+            n_regions += len(tree.region_kinds)
+        levels = (
+            (np.array(block), self.potentials(0, [tree.block_kinds[b] for tree in placed for b in tree.block]), n_blocks),
+            (np.array(region), self.potentials(1, [kind for tree in placed for kind in tree.block_kinds]), n_regions),
+            (np.array(page), self.potentials(2, [kind for tree in placed for kind in tree.region_kinds]), len(placed)),
+        )
+        return np.split(marginals(score, levels, self.page), np.cumsum(sizes)[:-1])
+
+
+def _potentials(counts: Counter) -> tuple[dict, np.ndarray]:
+    """log P(child | parent) by kind, as [parent, child]; and that of kinds that were never seen."""
+    def logs(table: np.ndarray) -> np.ndarray:
+        return np.log(table / table.sum(1, keepdims=True))
+
+    every = np.ones((2, 2))
+    tables: dict[tuple, np.ndarray] = {}
+    for (kind, parent, child), n in counts.items():
+        every[parent, child] += n
+    share = every / every.sum(1, keepdims=True)
+    for (kind, parent, child), n in counts.items():
+        tables.setdefault(kind, 4 * share.copy())[parent, child] += n
+    return {kind: logs(t) for kind, t in tables.items()}, logs(every)
+
+
+def marginals(score: np.ndarray, levels: Sequence[tuple[np.ndarray, np.ndarray, int]], root: np.ndarray) -> np.ndarray:
+    """Sum-product on forests: ``levels`` from the leaves up are (parent of each node, log potentials [node, parent state,
+    state], parents). Gives the log odds of state 1 of each leaf, whose evidence for it is ``score``."""
+    belief = np.stack([np.zeros(len(score)), score], 1)
+    said, ups = [belief], []
+    for parent, potential, parents in levels:
+        up = np.logaddexp(potential[:, :, 0] + belief[:, :1], potential[:, :, 1] + belief[:, 1:])
+        belief = np.stack([np.bincount(parent, up[:, s], parents) for s in (0, 1)], 1)
+        ups.append(up)
+        said.append(belief)
+    down = np.broadcast_to(root, belief.shape)
+    for (parent, potential, _), up, below in zip(reversed(levels), reversed(ups), reversed(said[1:])):
+        rest = (down + below)[parent] - up
+        down = np.logaddexp(potential[:, 0, :] + rest[:, :1], potential[:, 1, :] + rest[:, 1:])
+    total = down + said[0]
+    return total[:, 1] - total[:, 0]
+
+
+class Counted(NamedTuple):
+    """The keys of many records' lines, flat: of which line, of which group, the chance of own text where the key stands in
+    its record, and whether it is the key's first place there."""
+
+    key: np.ndarray
+    leaf: np.ndarray
+    group: np.ndarray
+    own: np.ndarray
+    first: np.ndarray
+
+
+def counted(lines: Sequence[Leaf], record: np.ndarray, chance: np.ndarray) -> Counted:
+    """``record`` of each line, ascending, and its ``chance`` of own text."""
+    flat = [(key, k, g) for k, leaf in enumerate(lines) for g, keys in enumerate(leaf.keys) for key in keys]
+    if not flat:
+        return Counted(*(np.zeros(0, t) for t in (np.int64, np.int32, np.int8, np.float32, bool)))
+    key, leaf, group = (np.array(c, t) for c, t in zip(zip(*flat), (np.uint64, np.int32, np.int8)))
+    key = key.view(np.int64)
+    order = np.lexsort((key, record[leaf]))
+    new = np.ones(len(key), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(record[leaf[order]]) != 0)
+    run = np.cumsum(new) - 1
+    mean = np.bincount(run, chance[leaf[order]]) / np.bincount(run)
+    own, first = np.empty(len(key), np.float32), np.empty(len(key), bool)
+    own[order], first[order] = mean[run], new
+    return Counted(key, leaf, group, own, first)
+
+
+def unworded(trees: Sequence[Sequence[Leaf]]) -> list[Placed]:
+    return [place([(x.shape, x.long, x.after_blank) for x in tree], [_UNKNOWN] * len(tree), [False] * len(tree)) for tree in trees]
+
+
+class ContentModel:
+    """The tree without words, and the tree with them."""
+
+    def __init__(self, count: int = 3600, seed: int = 3):
+        pages, reader = labelled_pages(count, seed), LineReader()
+        trees = [leaves("\n".join(line for line, _ in lines), site.lower().replace(" ", ""), page_titles(None, title), reader) for site, title, lines in pages]
+        truth = [[lines[x.line_no - 1][1] for x in tree] for tree, (_, _, lines) in zip(trees, pages)]
+        self.plain = TreeModel(unworded(trees), truth)
+        record, found = self.count(trees, range(len(trees)))
+        kinds, where = np.unique(found.key[found.first], return_inverse=True)
+        own, count = np.bincount(where, found.own[found.first], len(kinds)), np.bincount(where, minlength=len(kinds)).astype(float)
+        lexicon = Lexicon(kinds[count > 1], own[count > 1], count[count > 1])
+        known, low = known_words(lexicon, found.group, found.leaf, found.key, found.own, len(record))
+        cuts = np.cumsum([0, *map(len, trees)])
+        self.worded = TreeModel([place([(x.shape, x.long, x.after_blank) for x in tree], known[a:b], low[a:b]) for tree, a, b in zip(trees, cuts, cuts[1:])], truth)
+
+    def count(self, trees: Sequence[Sequence[Leaf]], records: Sequence[int]) -> tuple[np.ndarray, Counted]:
+        """The record of each line of trees of these records, and the keys of all with the first tree's judgement."""
+        record = np.repeat(np.array(records, np.int64), [len(tree) for tree in trees])
+        odds = self.plain.odds(unworded(trees))
+        return record, counted([leaf for tree in trees for leaf in tree], record, 1 / (1 + np.exp(-np.concatenate(odds))) if odds else np.zeros(0))
 
 
 @lru_cache(maxsize=1)
@@ -390,82 +599,143 @@ def trained() -> ContentModel:
     return ContentModel()
 
 
-def classify(model: ContentModel, values: list[tuple[str, str, tuple[str, ...]]]) -> list[list[tuple[int, bool]]]:
-    """For each (text, site name, titles): its visible lines by number, and whether they are own text."""
-    trees = [leaves(*value, model.exemplars) for value in values]
-    scores, wheres, kinds, page = [], [], [], []
-    offset = 0
-    for k, tree in enumerate(trees):
-        if not tree:
-            continue
-        score = np.fromiter((model.evidence(leaf) for leaf in tree), float, len(tree))
-        where, own_kinds = model.regions(tree, score)
-        scores.append(score)
-        wheres.append(where + offset)
-        kinds += own_kinds
-        page += [k] * len(own_kinds)
-        offset += len(own_kinds)
-    if not scores:
-        return [[] for _ in values]
-    odds = model.marginals(np.concatenate(scores), np.concatenate(wheres), np.array(kinds), np.array(page), len(trees)) > 0
-    out, at = [], 0
-    for tree in trees:
-        out.append([(leaf.line_no, bool(own)) for leaf, own in zip(tree, odds[at : at + len(tree)])])
-        at += len(tree)
-    return out
-
-
-#: Values judged together; bounds a worker's memory.
+@lru_cache(maxsize=50_000)
+def _encoded(shape: tuple) -> str:
+    return "\t".join([str(int(x)) if isinstance(x, bool) else x for x in shape])
+
+
+@lru_cache(maxsize=50_000)
+def _decoded(text: str) -> tuple:
+    kind, mark, tag, size, stop, row, link, hint = text.split("\t")
+    return kind, mark, tag, size, stop == "1", row, link == "1", hint
+
+
+#: Records judged together; bounds a worker's memory.
 SLICE = 200
+#: Objects made between a worker's collections of garbage: lines are remembered in many small ones, none in a cycle.
+COLLECT = (100_000, 20, 50)
+LEAVES = (
+    "field array<tinyint>, line_no array<int>, shape array<string>, long array<boolean>, after_blank array<boolean>, "
+    "key array<bigint>, key_leaf array<int>, key_group array<tinyint>, key_own array<float>, key_first array<boolean>"
+)
+
+
+def _lists(counts: np.ndarray, values: np.ndarray | list, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def line_table(pages: DataFrame, kept: tuple[str, ...], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """A row for each record, with the columns ``kept``, its visible lines and their keys, as judged by the tree without
+    words. Written once, since both the counts and the second tree read it."""
+    model = trained()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(*COLLECT)
+        reader = LineReader()
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                trees, at = [], []
+                columns = [batch.column(f).to_pylist() for f in fields]
+                for k, (url, title) in enumerate(zip(batch.column("url").to_pylist(), batch.column("title").to_pylist())):
+                    site, titles = site_name(url), page_titles(url, title)
+                    for f, texts in enumerate(columns):
+                        if texts[k]:
+                            trees.append(leaves(texts[k], site, titles, reader))
+                            at.append((k, f))
+                record, found = model.count(trees, [k for k, _ in at])
+                lines = np.bincount(record, minlength=batch.num_rows)
+                keys = np.bincount(record[found.leaf], minlength=batch.num_rows)
+                first = np.concatenate([[0], np.cumsum(lines)])[record[found.leaf]]
+                flat = [leaf for tree in trees for leaf in tree]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in kept], _lists(lines, np.repeat(np.array([f for _, f in at], np.int8), [len(t) for t in trees]), pa.int8()), _lists(lines, [x.line_no for x in flat], pa.int32()),
+                     _lists(lines, [_encoded(x.shape) for x in flat], pa.string()), _lists(lines, [x.long for x in flat], pa.bool_()), _lists(lines, [x.after_blank for x in flat], pa.bool_()),
+                     _lists(keys, found.key, pa.int64()), _lists(keys, (found.leaf - first).astype(np.int32), pa.int32()), _lists(keys, found.group, pa.int8()), _lists(keys, found.own, pa.float32()), _lists(keys, found.first, pa.bool_())],
+                    names=[*kept, *_NAMES],
+                )
+
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
+    read = dict.fromkeys([*kept, "url", "title", *fields])
+    return materialise(pages.select(*read).mapInArrow(run, f"{kinds}, {LEAVES}"), "page-lines")
+
+
+_NAMES = [column.split(" ")[0] for column in LEAVES.split(", ")]
+
+
+def corpus_lexicon(lines: DataFrame) -> Lexicon:
+    """What all records say of their keys. Keys of one record only, and those under LEAST_SHARE of all, are left out, so
+    at most 1 / LEAST_SHARE rows of three numbers come to the driver."""
+    pairs = lines.select(F.explode(F.filter(F.arrays_zip("key", "key_own", "key_first"), lambda x: x["key_first"])).alias("x"))
+    counted_keys = pairs.groupBy(F.col("x.key").alias("key")).agg(F.sum("x.key_own").alias("own"), F.count("*").alias("n"))
+    total = lines.agg(F.sum(F.aggregate("key_first", F.lit(0), lambda n, x: n + x.cast("int")))).first()[0] or 0
+    found = counted_keys.where(F.col("n") >= max(2.0, LEAST_SHARE * total)).toArrow()
+    return Lexicon(*(found.column(c).to_numpy().astype(t) for c, t in (("key", np.int64), ("own", np.float64), ("n", np.float64))))
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def judged(model: ContentModel, lexicon: Lexicon, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, field, line_no, own) of every visible line of rows of the line table."""
+    lines = np.array([len(x) for x in batch.column("line_no")])
+    keys = np.array([len(x) for x in batch.column("key")])
+    starts = np.concatenate([[0], np.cumsum(lines)])
+    leaf = _numbers(batch, "key_leaf") + np.repeat(starts[:-1], keys)
+    known, low = known_words(lexicon, _numbers(batch, "key_group"), leaf, _numbers(batch, "key"), _numbers(batch, "key_own"), starts[-1])
+    row, field = np.repeat(np.arange(len(lines)), lines), _numbers(batch, "field")
+    tree = list(zip(map(_decoded, batch.column("shape").flatten().to_pylist()), _numbers(batch, "long").tolist(), _numbers(batch, "after_blank").tolist()))
+    cuts = [0, *(np.flatnonzero(np.diff(row * 8 + field)) + 1).tolist(), len(tree)] if tree else [0]
+    flags = low.tolist()
+    odds = model.worded.odds([place(tree[a:b], known[a:b], flags[a:b]) for a, b in zip(cuts, cuts[1:])])
+    return row, field, _numbers(batch, "line_no"), (np.concatenate(odds) if odds else np.zeros(0)) > 0
 
 
 def judged_lines(pages: DataFrame, wanted: bool, id_column: str = "fetch_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, field_name, line_no) of the visible lines that are own text (``wanted``) or are not."""
-    model = trained()
+    lines = line_table(pages, (id_column,), fields)
+    model, lexicon = trained(), lines.sparkSession.sparkContext.broadcast(corpus_lexicon(lines))
+    names = pa.array(fields, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sites = [site_name(u.as_py()) for u in batch.column("url")]
-            titles = [page_titles(u.as_py(), t.as_py()) for u, t in zip(batch.column("url"), batch.column("title"))]
-            for field in fields:
-                for start in range(0, batch.num_rows, SLICE):
-                    values = [(v.as_py() or "", sites[start + k], titles[start + k]) for k, v in enumerate(batch.column(field).slice(start, SLICE))]
-                    at, numbers = [], []
-                    for k, judged in enumerate(classify(model, values)):
-                        chosen = [n for n, own in judged if own is wanted]
-                        at += [start + k] * len(chosen)
-                        numbers += chosen
-                    if at:
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array([field] * len(at), pa.string()), pa.array(numbers, pa.int32())], names=[id_column, "field_name", "line_no"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                row, field, number, own = judged(model, lexicon.value, batch)
+                chosen = own == wanted
+                if chosen.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[chosen], pa.int32())), names.take(pa.array(field[chosen], pa.int32())), pa.array(number[chosen], pa.int32())], names=[id_column, "field_name", "line_no"])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    return pages.select(id_column, "url", "title", *fields).mapInArrow(run, f"`{id_column}` {kind}, field_name string, line_no int")
+    return lines.mapInArrow(run, f"`{id_column}` {kind}, field_name string, line_no int")
 
 
 def main_texts(pages: DataFrame, id_column: str = "fetch_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, fields...) with only the page's own lines of each value, in order; blank lines and those without visible
     text stay beside them."""
-    model = trained()
+    lines = line_table(pages, (id_column, *fields), fields)
+    model, lexicon = trained(), lines.sparkSession.sparkContext.broadcast(corpus_lexicon(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sites = [site_name(u.as_py()) for u in batch.column("url")]
-            titles = [page_titles(u.as_py(), t.as_py()) for u, t in zip(batch.column("url"), batch.column("title"))]
-            columns = []
-            for field in fields:
-                texts = batch.column(field).to_pylist()
-                kept = []
-                for start in range(0, len(texts), SLICE):
-                    part = texts[start : start + SLICE]
-                    judged = classify(model, [(t or "", sites[start + k], titles[start + k]) for k, t in enumerate(part)])
-                    for text, lines in zip(part, judged):
-                        drop = {n for n, own in lines if not own}
-                        kept.append(None if text is None else re.sub(r"\n{3,}", "\n\n", "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in drop)).strip("\n"))
-                columns.append(pa.array(kept, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, *fields])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                drop: dict[tuple[int, int], set[int]] = {}
+                for row, field, number, own in zip(*(x.tolist() for x in judged(model, lexicon.value, batch))):
+                    if not own:
+                        drop.setdefault((row, field), set()).add(number)
+                columns = [[_without(text, drop.get((k, f), ())) for k, text in enumerate(batch.column(name).to_pylist())] for f, name in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], names=[id_column, *fields])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    return pages.select(id_column, "url", "title", *fields).mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"`{f}` string" for f in fields))
+    return lines.mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"`{f}` string" for f in fields))
+
+
+def _without(text: str | None, drop: set[int]) -> str | None:
+    if text is None:
+        return None
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in drop)).strip("\n")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

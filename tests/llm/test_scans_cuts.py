@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
+
 from foliospark.llm import labelled_pages, scans, truncation
-from foliospark.llm.main_content import Exemplars
 
 OCR = "ocr_id long, scan_id long, page_no int, text string, confidence double"
 
@@ -63,12 +64,30 @@ def test_compounds_keep_their_hyphen():
 
 
 def test_endings():
-    known = Exemplars()
-    verdict = lambda text: truncation.ending(text, "", known)[0]
-    whole = ["A sentence.", "# Title\n\nText ends here.", "```\ncode\n```", "$$x$$", "", "   ", "<ul>\n<li>a</li>\n</ul>", "Text.\n\nShare: Mail | Copy link | Print", "Text.\n\nBy Ann Miller · 2 May 2021", "Please enable JavaScript to view this page."]
-    cut = ["The keeper walked to the gate. Nobody expec", "The keeper walked…", "Half a word [...]", "Text goes on\ufffd", "```\ncode", "<ul>\n<li>a</li>", "Text with a [link](https://exam", "One. The keeper walked Read more", "Text <a href=\"/x", "$$\nx +"]
-    assert [verdict(t) for t in whole] == [truncation.WHOLE] * len(whole)
-    assert [verdict(t) for t in cut] == [truncation.CUT] * len(cut)
+    kind = lambda text: truncation.ending(text, "").kind
+    say = lambda text: truncation.ENDING.get(kind(text), 0.0)
+    whole = ["A sentence.", "# Title\n\nText ends here.", "```\ncode\n```", "$$x$$", "", "   ", "<ul>\n<li>a</li>\n</ul>", "Text.\n\nShare this page →", "Text.\n\nBy Ann Miller · 2 May 2021", "Please enable JavaScript to view this page.", "404 Not Found", "Loading…"]
+    cut = ["The keeper walked…", "Half a word [...]", "Text goes on\ufffd", "```\ncode", "<ul>\n<li>a</li>", "Text with a [link](https://exam", "One. The keeper walked Read more", "Text <a href=\"/x", "$$\nx +"]
+    assert all(say(t) < -2 for t in whole) and all(say(t) > 2 for t in cut)
+    assert kind("The keeper walked to the gate. Nobody expec") == "sentence" and kind("Text.\n\nShare: Mail | Copy link | Print") == "text"
+
+
+def test_every_length_speaks_for_or_against_a_cut():
+    rng = np.random.default_rng(4)
+    true = np.exp(rng.normal(5.5, 0.5, 4000)).astype(int) + 1
+    limit = 300
+    kept = np.minimum(true, limit)
+    lengths, n = np.unique(kept, return_counts=True)
+    ends = np.where(lengths == limit, (true > limit).sum(), 0).astype(float)
+    fit = truncation.fit_lengths(lengths, n.astype(float), ends, None)
+    assert abs(fit.mean - 5.5) < 0.05 and abs(fit.spread - 0.5) < 0.05 and list(fit.limits) == [limit]
+    said = dict(zip(lengths.tolist(), truncation.length_evidence(fit, lengths)))
+    assert said[limit] > 3 and said[200] < -1 and said[299] < -1
+    # a source of a few values leans on the fit over all, and knows its limits
+    small = truncation.fit_lengths(np.array([150, 300]), np.array([1.0, 1.0]), np.array([0.0, 1.0]), fit)
+    assert abs(small.mean - 5.5) < 0.1 and truncation.length_evidence(small, np.array([300]))[0] > 3
+    short = truncation.fit_lengths(np.array([20, 25]), np.array([1.0, 30.0]), np.array([0.0, 30.0]), fit)
+    assert 25 in short.limits
 
 
 def test_limits_stand_out(spark):
@@ -76,8 +95,8 @@ def test_limits_stand_out(spark):
     rng = random.Random(8)
     pages, wanted = [], set()
     for k in range(260):
-        text = ""
-        while len(text) < rng.choice((200, 500, 700)):
+        text, least = "", rng.choice((200, 500, 700))
+        while len(text) < least:
             text += rng.choice(labelled_pages.SENTENCES[:6]) + " "
         text = text.strip()
         if k % 3 == 0 and len(text) > 300:
@@ -86,12 +105,13 @@ def test_limits_stand_out(spark):
         pages.append((k, f"https://a.example/{k}", "static", text))
     frame = spark.createDataFrame(pages, "fetch_id long, url string, strategy_used string, content string")
     none = spark.createDataFrame([], "meta_id long, domain string, title string, description string")
-    judged = truncation.endings(frame, none)
-    assert [r["chars"] for r in truncation.limits(judged).where("scope = 'domain'").collect()] == [300]
+    said = {r["chars"]: r["llr"] for r in truncation.lengths(truncation.endings(frame, none)).where("scope = 'domain'").collect()}
+    assert max(said, key=said.get) == 300 and sum(v > 2.5 for v in said.values()) == 1 and min(said.values()) < 0
     found = {r["row_id"] for r in truncation.cut_values(frame, none).where("log_odds > 0").collect()}
     assert len(found & wanted) >= 0.98 * len(wanted) and len(found - wanted) <= 1
 
 
 def test_descriptions_may_be_titles():
-    judge = lambda text, title: truncation._described(text, title, truncation.ending(text, "", Exemplars()))[0]
-    assert judge("How to mend a clock", "How to mend a clock") == truncation.WHOLE and judge("How to mend a cl", "How to mend a clock") == truncation.CUT and judge("How to mend a clock", "How to mend a clock | Harbor Notes") == truncation.WHOLE
+    judge = lambda text, title, site="": truncation._described(text, title, site, truncation.ending(text, site)).kind
+    assert judge("How to mend a clock", "How to mend a clock") == "title" and judge("How to mend a cl", "How to mend a clock") == "title open" and judge("How to mend a clock", "How to mend a clock | Harbor Notes") == "title"
+    assert judge("Old maps | New maps | Harbor Notes", None, "harbornotes.example") == "site" and judge("Old maps, New maps, Harbor Notes", "x", "harbor-notes.example") == "site" and judge("Old maps | New ma", None, "harbornotes.example") == "parts"
