@@ -40,6 +40,8 @@ from .labelled_pages import pages as labelled_pages
 FIELDS = ("content", "static_content", "browser_content")
 #: Characters from which one sentence is a paragraph; two are always one.
 PARAGRAPH = 110
+#: Log odds from which a line is own text: a little more than even, since a line left in harms more than one left out.
+OWN_FROM = 0.25
 #: A key counts when it holds at least this share of all keys of the corpus, so there are at most 1 / LEAST_SHARE of them.
 LEAST_SHARE = 1e-6
 #: How many occurrences the prior weighs against the counts of a key.
@@ -689,7 +691,7 @@ def judged(model: ContentModel, lexicon: Lexicon, batch: pa.RecordBatch) -> tupl
     cuts = [0, *(np.flatnonzero(np.diff(row * 8 + field)) + 1).tolist(), len(tree)] if tree else [0]
     flags = low.tolist()
     odds = model.worded.odds([place(tree[a:b], known[a:b], flags[a:b]) for a, b in zip(cuts, cuts[1:])])
-    return row, field, _numbers(batch, "line_no"), (np.concatenate(odds) if odds else np.zeros(0)) > 0
+    return row, field, _numbers(batch, "line_no"), (np.concatenate(odds) if odds else np.zeros(0)) > OWN_FROM
 
 
 def judged_lines(pages: DataFrame, wanted: bool, id_column: str = "fetch_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:

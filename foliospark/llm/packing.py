@@ -24,8 +24,8 @@ from ..plans.shared import materialise
 from ..sources.tables import table
 from .tokens import token_counts
 
-#: Parts into which the items of one length are split for ranking, so that no length is ranked by one task.
-SALTS = 64
+#: Items of one length that are ranked by one task; a length with more is split into parts.
+RANKED = 100_000
 
 
 @dataclass(frozen=True)
@@ -89,11 +89,11 @@ def pieces(counts: DataFrame, capacities: dict[str, int]) -> DataFrame:
     )
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """Adds rank: 0, 1, ... within (target_name, n_tokens). A length is ranked in SALTS parts, whose counts give each
-    part its first rank, so one length may hold any share of the items."""
+def ranked(items: DataFrame, most: int) -> DataFrame:
+    """Adds rank: 0, 1, ... within (target_name, n_tokens). A length, of which there are ``most`` items at most, is ranked
+    in parts of about RANKED items, whose counts give each part its first rank."""
     part = ["target_name", "n_tokens", "salt"]
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(SALTS)))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(max(1, -(-most // RANKED)))))
     firsts = salted.groupBy(*part).agg(F.count("*").alias("size")).withColumn(
         "first", F.sum("size").over(Window.partitionBy("target_name", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     ).select(*part, F.coalesce("first", F.lit(0)).alias("first"))
@@ -140,7 +140,7 @@ def pack(counts: DataFrame, targets: DataFrame) -> DataFrame:
                 batch.loc[batch.index[rows], "container_id"] = slot
             yield batch[["target_name", "item_id", "piece_no", "token_start", "n_tokens", "container_id"]]
 
-    return ranked(items).mapInPandas(take, result)
+    return ranked(items, max((n for h in histograms.values() for n in h.values()), default=0)).mapInPandas(take, result)
 
 
 def p9_assignments(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -34,6 +36,11 @@ CONFUSIONS = (
     ("cl", "d"), ("b", "h"), ("f", "t"), ("c", "e"), ("ii", "u"), ("ii", "ü"), ("rn", "m"), ("m", "rn"), ("im", "nn"), ("vv", "w"), ("VV", "W"), ("h", "li"), ("lc", "k"), ("l", "I"), ("I", "l"), ("li", "h"), ("ﬁ", "fi"), ("ﬂ", "fl"),
     ("a", "ä"), ("a", "à"), ("a", "â"), ("a", "á"), ("o", "ö"), ("o", "ô"), ("o", "ó"), ("u", "ü"), ("u", "ù"), ("u", "ú"), ("e", "é"), ("e", "è"), ("e", "ê"), ("i", "ï"), ("i", "í"), ("i", "î"), ("n", "ñ"), ("c", "ç"), ("e", "c"), ("h", "b"), ("t", "f"),
 )
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _confusion in CONFUSIONS:
+    _BY_FIRST.setdefault(_confusion[0][0], []).append(_confusion)
+#: Words whose candidates a worker remembers; beyond them the memory is emptied and filled again.
+MEMORY = 200_000
 #: At most this many confusions in one word.
 MOST_EDITS = 3
 #: Share of all words from which a word, or a pair of words, is kept in the model that every executor reads: so it has
@@ -245,10 +252,12 @@ class ScanModel:
         self.lower: dict[str, int] = {}
         for w, n in words.items():
             self.lower[w.lower()] = self.lower.get(w.lower(), 0) + n
+        self.sorted = sorted(self.lower)
+        #: Occurrences of the words before each one of ``sorted``, those with a hyphen left out.
+        self.sums = [0, *accumulate(0 if "-" in w else self.lower[w] for w in self.sorted)]
         self.log_confusion = self._learn()
         self.memory: dict[str, list[tuple[str, float]]] = {}
         self.genuine: dict[str, float] = {}
-        self.begun: dict[str, int] = {}
 
     def _learn(self) -> dict[tuple[str, str], float]:
         """Confusion probabilities: how often each confusion explains a rare word by one much more frequent, per
@@ -263,7 +272,7 @@ class ScanModel:
             if not any(c.isalpha() for c in word):
                 continue
             best = None
-            for made, edits in variants(word, 1):
+            for made, edits in self.variants(word, 1):
                 other = self.words.get(made, 0)
                 if other > max(20 * n, 8) and (best is None or other > best[0]):
                     best = (other, edits)
@@ -285,10 +294,13 @@ class ScanModel:
         """(word, log channel) of what may have been printed; the word itself first."""
         found = self.memory.get(word)
         if found is None:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+                self.genuine.clear()
             own = self.known(word)
             found = [(word, 0.0)]
             noise = 0.0
-            for made, edits in variants(word, MOST_EDITS if own <= self.rare and not word.isdigit() else 1):
+            for made, edits in self.variants(word, MOST_EDITS if own <= self.rare and not word.isdigit() else 1):
                 if self.known(made) >= max(2, LEAST_RATIO * own if own > 2 else 2 * own + 1):
                     channel = sum(self.log_confusion[e] for e in edits)
                     found.append((made, channel))
@@ -300,12 +312,35 @@ class ScanModel:
         return found
 
     def beginning(self, part: str) -> int:
-        """Occurrences of longer words without a hyphen that begin with this part."""
-        found = self.begun.get(part)
-        if found is None:
-            low = part.lower()
-            found = self.begun[part] = sum(n for w, n in self.lower.items() if w.startswith(low) and len(w) > len(low) and "-" not in w)
-        return found
+        """Occurrences of longer words without a hyphen that begin with this part: a stretch of the sorted words."""
+        low = part.lower()
+        start = bisect_left(self.sorted, low)
+        end = bisect_left(self.sorted, low + "\U0010ffff", start)
+        own = 0 if "-" in low else self.lower.get(low, 0)
+        return self.sums[end] - self.sums[start] - own
+
+    def variants(self, word: str, most: int) -> list[tuple[str, tuple[tuple[str, str], ...]]]:
+        """The words of the corpus, in any case, that could have been printed if up to ``most`` confusions of separate
+        places made this word. Only beginnings that some word has are followed, so no word is too long."""
+        found: dict[str, tuple] = {}
+        size, words = len(word), self.sorted
+        stack: list[tuple[int, str, tuple]] = [(0, "", ())]
+        while stack:
+            at, made, edits = stack.pop()
+            if at == size:
+                if edits and made != word and made.lower() in self.lower and (made not in found or len(edits) < len(found[made])):
+                    found[made] = edits
+                continue
+            steps = [(at + 1, word[at], None)]
+            if len(edits) < most:
+                steps += [(at + len(c[0]), c[1], c) for c in _BY_FIRST.get(word[at], ()) if word.startswith(c[0], at)]
+            for to, piece, edit in steps:
+                longer = made + piece
+                low = longer.lower()
+                k = bisect_left(words, low)
+                if k < len(words) and words[k].startswith(low):
+                    stack.append((to, longer, edits if edit is None else (*edits, edit)))
+        return list(found.items())
 
     def transition(self, before: str, word: str) -> float:
         n = self.genuine.get(word)
@@ -342,29 +377,6 @@ def _figures(word: str) -> str:
     return "0" if word and word.replace(".", "").replace(",", "").isdigit() else word
 
 
-def variants(word: str, most: int) -> list[tuple[str, tuple[tuple[str, str], ...]]]:
-    """What could have been printed if up to ``most`` confusions made this word."""
-    out: dict[str, tuple] = {word: ()}
-    edge = {word: ()}
-    for _ in range(most):
-        fresh: dict[str, tuple] = {}
-        for text, edits in edge.items():
-            for confusion in CONFUSIONS:
-                read, true = confusion
-                at = text.find(read)
-                while at >= 0:
-                    made = text[:at] + true + text[at + len(read) :]
-                    if made not in out and made not in fresh:
-                        fresh[made] = (*edits, confusion)
-                    at = text.find(read, at + 1)
-        out |= fresh
-        if len(out) > 4000:
-            break
-        edge = fresh
-    del out[word]
-    return list(out.items())
-
-
 _FIGURE_NOISE = re.compile(r"(?=.*\d)[\dOolISBZGgqbs@|!]+(?:[.,][\dOolISBZGgqbs@|!]+)*$")
 
 
