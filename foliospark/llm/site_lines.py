@@ -1,8 +1,9 @@
 """Lines repeated across the pages of one source.
 
-The state is a table of (source, line_key, url_key), one row for each line of a page's url. A new partition of pages
-becomes a delta: its triples not yet in the state. The delta's counts are added to the per-source line counts, lines
-that cross the threshold are found, and only pages that hold a newly crossed line are rebuilt.
+The state is stored: (source, line_key, url_key), one row for each line of a page's url, with per-source line counts and
+url counts. A new partition of pages becomes a delta: its triples not yet in the state. The delta's counts are added to the
+stored ones, lines that cross the threshold, or fall below it as the source grows, are found, and only pages that hold
+such a line are looked at again. A delta takes effect with one ledger row that names all its parts.
 
 Two lines are the same when their letters are, without case and all other characters. Lines of fewer than
 ``MIN_LETTERS`` letters do not count.
@@ -13,14 +14,18 @@ delivered twice counts once by its url, but each of its rows gets its lines; an
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..functions.web import source_key
-from ..plans.shared import materialise
+from ..plans.shared import file_system, materialise, shared_path
+from ..plans.skew import lookup
+from ..plans.stored import MOST_DELTAS, StoredTable
 from ..sources.tables import table
 
 MIN_LETTERS = 18
@@ -44,8 +49,9 @@ def page_lines(pages: DataFrame, metadata: DataFrame) -> DataFrame:
     """(fetch_id, line_no, source, url_key, line_key) of every counting line. A page's keys are one array, made before the
     join with its sources, so no text is moved and lines are not shuffled by themselves."""
     numbered = F.transform(F.split("content", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), letters_key(x).alias("line_key")))
-    packed = pages.where("content is not null and url is not null").select("fetch_id", "cache_key", F.xxhash64("url").alias("url_key"), F.filter(numbered, lambda x: x["line_key"].isNotNull()).alias("lines"))
-    return page_sources(packed, metadata).select("fetch_id", "source", "url_key", F.inline("lines"))
+    more = [c for c in ("late",) if c in pages.columns]
+    packed = pages.where("content is not null and url is not null").select("fetch_id", "cache_key", *more, F.xxhash64("url").alias("url_key"), F.filter(numbered, lambda x: x["line_key"].isNotNull()).alias("lines"))
+    return page_sources(packed, metadata).select("fetch_id", "source", "url_key", *more, F.inline("lines"))
 
 
 @dataclass
@@ -58,36 +64,90 @@ class LineState:
     totals: DataFrame
 
     def repeated(self) -> DataFrame:
-        """(source, line_key) of the lines past both thresholds."""
-        return self.counts.join(self.totals, "source").where((F.col("n_urls") >= MIN_URLS) & (F.col("n_urls") >= MIN_SHARE * F.col("all_urls"))).select("source", "line_key")
-
-
-def merge_delta(state: LineState | None, lines: DataFrame, urls: DataFrame) -> LineState:
-    """Adds a partition's (source, line_key, url_key) and (source, url_key) to the state; only unseen ones count."""
-    fresh, fresh_urls = lines.select("source", "line_key", "url_key").distinct(), urls.select("source", "url_key").distinct()
-    if state is not None:
-        fresh = materialise(fresh.join(state.seen, ["source", "line_key", "url_key"], "left_anti"), "line-delta")
-        fresh_urls = materialise(fresh_urls.join(state.urls, ["source", "url_key"], "left_anti"), "url-delta")
-    counts = fresh.groupBy("source", "line_key").agg(F.count("*").alias("n_urls"))
-    totals = fresh_urls.groupBy("source").agg(F.count("*").alias("all_urls"))
-    if state is None:
-        return LineState(fresh, fresh_urls, counts, totals)
-    return LineState(
-        state.seen.unionByName(fresh),
-        state.urls.unionByName(fresh_urls),
-        state.counts.unionByName(counts).groupBy("source", "line_key").agg(F.sum("n_urls").alias("n_urls")),
-        state.totals.unionByName(totals).groupBy("source").agg(F.sum("all_urls").alias("all_urls")),
-    )
-
-
-def newly_crossed(before: LineState, after: LineState) -> DataFrame:
-    """(source, line_key) repeated after a delta but not before it."""
-    return after.repeated().join(before.repeated(), ["source", "line_key"], "left_anti")
-
-
-def repeated_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(fetch_id, line_no) of the lines that are among ``repeated``."""
-    return lines.join(repeated, ["source", "line_key"], "left_semi").select("fetch_id", F.col("line_no").cast("int").alias("line_no")).distinct()
+        """(source, line_key, n_urls) of the lines past both thresholds. A source may hold any share of the lines."""
+        enough = self.counts.where(F.col("n_urls") >= MIN_URLS)
+        sizes = enough.groupBy("source").agg(F.count("*").alias("n"))
+        known = materialise(self.totals.join(sizes, "source"), "source-sizes")
+        total = known.agg(F.sum("n")).first()[0] or 0
+        return lookup(enough, known, "source", total, F.lit(True)).where(F.col("n_urls") >= MIN_SHARE * F.col("all_urls")).select("source", "line_key", "n_urls")
+
+
+class LineStore:
+    """A state kept under ``path`` as parts, of which the last ledger row names the live ones."""
+
+    TABLES = ("seen", "urls", "counts", "totals")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ledger = spark, path, StoredTable(spark, f"{path}/ledger")
+
+    def parts(self) -> dict[str, list[str]]:
+        rows = self.ledger.read()
+        return {name: [] for name in self.TABLES} if rows is None else rows.first().asDict()
+
+    def _put(self, df: DataFrame) -> str:
+        path = f"{self.path}/part-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def state(self) -> LineState | None:
+        parts = self.parts()
+        if not parts["seen"]:
+            return None
+        seen, urls, counts, totals = (self.spark.read.parquet(*parts[name]) for name in self.TABLES)
+        if len(parts["counts"]) > 1:
+            counts = counts.groupBy("source", "line_key").agg(F.sum("n_urls").alias("n_urls"))
+            totals = totals.groupBy("source").agg(F.sum("all_urls").alias("all_urls"))
+        return LineState(seen, urls, counts, totals)
+
+    def add(self, lines: DataFrame, urls: DataFrame) -> LineState:
+        """Adds a partition's (source, line_key, url_key) and (source, url_key); only unseen ones count. Beyond MOST_DELTAS
+        the parts of a table become one."""
+        before, parts = self.state(), self.parts()
+        fresh, fresh_urls = lines.select("source", "line_key", "url_key").distinct(), urls.select("source", "url_key").distinct()
+        if before is not None:
+            fresh = fresh.join(before.seen, ["source", "line_key", "url_key"], "left_anti")
+            fresh_urls = fresh_urls.join(before.urls, ["source", "url_key"], "left_anti")
+        made = {"seen": self._put(fresh), "urls": self._put(fresh_urls)}
+        made["counts"] = self._put(self.spark.read.parquet(made["seen"]).groupBy("source", "line_key").agg(F.count("*").alias("n_urls")))
+        made["totals"] = self._put(self.spark.read.parquet(made["urls"]).groupBy("source").agg(F.count("*").alias("all_urls")))
+        self._commit({name: [*parts[name], made[name]] for name in self.TABLES})
+        if len(parts["seen"]) >= MOST_DELTAS:
+            old, whole = self.parts(), self.state()
+            self._commit({name: [self._put(getattr(whole, name))] for name in self.TABLES})
+            for path in (p for names in old.values() for p in names):
+                files, at = file_system(self.spark, path)
+                files.delete(at, True)
+        return self.state()
+
+    def _commit(self, parts: dict[str, list[str]]) -> None:
+        self.ledger.replace(self.spark.createDataFrame([tuple(parts[name] for name in self.TABLES)], ", ".join(f"{name} array<string>" for name in self.TABLES)))
+
+
+def changed(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The (source, line_key) repeated after a delta but not before it, and the other way round."""
+    at = ["source", "line_key"]
+    return after.join(before.select(*at), at, "left_anti"), before.join(after.select(*at), at, "left_anti")
+
+
+def found_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(fetch_id, line_no, source, line_key) of the lines that are among ``repeated``. One line may hold any share."""
+    return lookup(lines.select("fetch_id", F.col("line_no").cast("int").alias("line_no"), "source", "line_key"), repeated.withColumnRenamed("n_urls", "n"), ["source", "line_key"], lines.count(), F.lit(True))
+
+
+def repeated_lines(deliveries: list[tuple[DataFrame, DataFrame]], store: LineStore) -> DataFrame:
+    """(fetch_id, line_no) of the repeated lines of all deliveries, each (lines, urls), by adding one after the other. What an
+    earlier delivery had stays found unless its line lapsed; its pages are looked at again for newly crossed lines only."""
+    found, known, earlier = None, None, []
+    for lines, urls in deliveries:
+        repeated = materialise(store.add(lines, urls).repeated(), "repeated")
+        more = [found_lines(lines, repeated)]
+        if known is not None:
+            crossed, lapsed = changed(known, repeated)
+            crossed = materialise(crossed, "crossed")
+            more += [found.join(lapsed.select("source", "line_key"), ["source", "line_key"], "left_anti"), *(found_lines(x, crossed) for x in earlier)]
+        found = materialise(reduce(lambda a, b: a.unionByName(b), more), "found-lines")
+        known, earlier = repeated, [*earlier, lines]
+    return found.select("fetch_id", "line_no").distinct()
 
 
 def strip_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -98,16 +158,18 @@ def strip_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
     return pages.select("fetch_id", "content").join(drop, "fetch_id").select("fetch_id", F.array_join(kept, "\n").alias("content"))
 
 
-def _first_state(spark: SparkSession, folder: str) -> tuple[DataFrame, LineState]:
+def _deliveries(spark: SparkSession, folder: str) -> list[tuple[DataFrame, DataFrame]]:
+    """The pages as two deliveries, those that came before the middle of the time and those after it."""
     pages, metadata = table(spark, folder, "fetch_cache"), table(spark, folder, "web_metadata")
-    lines = materialise(page_lines(pages.select("fetch_id", "cache_key", "url", "content"), metadata), "lines")
-    urls = page_sources(pages.where("url is not null").select("cache_key", F.xxhash64("url").alias("url_key")), metadata)
-    return lines, merge_delta(None, lines, urls)
+    middle = pages.agg(F.percentile_approx("created_at", 0.5)).first()[0] or 0
+    late = F.coalesce(F.col("created_at") > middle, F.lit(False))
+    lines = materialise(page_lines(pages.select("fetch_id", "cache_key", "url", "content", late.alias("late")), metadata), "lines")
+    urls = page_sources(pages.where("url is not null").select("cache_key", F.xxhash64("url").alias("url_key"), late.alias("late")), metadata)
+    return [(lines.where(F.col("late") == when), urls.where(F.col("late") == when)) for when in (False, True)]
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    lines, state = _first_state(spark, folder)
-    return repeated_lines(lines, state.repeated())
+    return repeated_lines(_deliveries(spark, folder), LineStore(spark, shared_path(spark, "site-lines")))
 
 
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:

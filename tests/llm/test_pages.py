@@ -150,8 +150,8 @@ def test_title_residue(index, title, wanted):
     assert index.title_residue(title) is wanted
 
 
-def test_line_counts_grow_by_deltas(spark):
-    pages = [(k, f"k{k % 9}", f"https://a.example/{k % 7}", "The very same footer of this site\n" + ("Another line that stands here often\n" if k % 2 else "") + f"own {k}") for k in range(20)]
+def test_line_counts_grow_by_deltas(spark, tmp_path):
+    pages = [(k, f"k{k % 9}", f"https://a.example/{k % 7}", "The very same footer of this site\n" + ("Another line that stands here often\n" if k % 2 else "") + ("A line of the first few pages only\n" if k < 4 else "") + f"own {k}") for k in range(20)] + [(20 + k, "k1", f"https://a.example/p{k}", f"own {k}") for k in range(30)]
     schema = "fetch_id long, cache_key string, url string, content string"
     metadata = spark.createDataFrame([(f"k{k}", "a.example") for k in range(9)], "cache_key string, domain string")
 
@@ -159,13 +159,25 @@ def test_line_counts_grow_by_deltas(spark):
         frame = spark.createDataFrame(rows, schema)
         return site_lines.page_lines(frame, metadata), site_lines.page_sources(frame.select("cache_key", F.xxhash64("url").alias("url_key")), metadata)
 
-    whole = site_lines.merge_delta(None, *parts(pages))
-    first = site_lines.merge_delta(None, *parts(pages[:3]))
-    second = site_lines.merge_delta(first, *parts(pages[3:]))
-    again = site_lines.merge_delta(second, *parts(pages[5:9]))
     rows = lambda frame: sorted(map(tuple, frame.collect()))
-    assert rows(whole.repeated()) == rows(second.repeated()) == rows(again.repeated()) and rows(first.repeated()) == []
-    assert rows(site_lines.newly_crossed(first, second)) == rows(whole.repeated()) and rows(site_lines.newly_crossed(second, again)) == []
-    lines, _ = parts(pages)
-    cleaned = {r["fetch_id"]: r["content"] for r in site_lines.strip_lines(spark.createDataFrame(pages, schema), site_lines.repeated_lines(lines, whole.repeated())).collect()}
+    made = lambda name: site_lines.LineStore(spark, f"file://{tmp_path}/{name}")
+    for name, end in (("growing", 20), ("lapsing", 50)):
+        whole = site_lines.repeated_lines([parts(pages[:end])], made(f"{name}-whole"))
+        bits = [parts(pages[a:b]) for a, b in ((0, 3), (3, 12), (8, 12), (12, end))]
+        assert rows(site_lines.repeated_lines(bits, made(f"{name}-bits"))) == rows(whole), name
+    first, second = made("a").add(*parts(pages[:12])).repeated(), made("b").add(*parts(pages[:20])).repeated()
+    crossed, lapsed = site_lines.changed(first, second)
+    assert crossed.count() + first.count() - lapsed.count() == second.count() and second.count() == 3
+    found = site_lines.repeated_lines([parts(pages[:20])], made("c"))
+    cleaned = {r["fetch_id"]: r["content"] for r in site_lines.strip_lines(spark.createDataFrame(pages[:20], schema), found).collect()}
     assert cleaned[0] == "own 0" and len(cleaned) == 20
+
+
+def test_parts_become_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(site_lines, "MOST_DELTAS", 2)
+    store = site_lines.LineStore(spark, f"file://{tmp_path}/lines")
+    lines = lambda k: spark.createDataFrame([("s", bytearray(b"x"), u) for u in range(k)], "source string, line_key binary, url_key long")
+    for k in (3, 5, 5, 9):
+        state = store.add(lines(k), lines(k).drop("line_key"))
+        assert state.counts.first()["n_urls"] == k and state.totals.first()["all_urls"] == k and state.seen.count() == k
+    assert len(store.parts()["seen"]) == 2 and len(list((tmp_path / "lines").glob("part-*"))) == 8
