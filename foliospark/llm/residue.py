@@ -4,8 +4,13 @@ Labelled exemplars are kept in an inverted index from their rarer words to the e
 line, or a sentence of a line) that shares such a word with an exemplar is compared with it by TF-IDF containment: the
 weight of the shared words over the weight of the window's words, and over the exemplar's. Weights come from the
 document frequencies of the whole table. A record is excluded when a window of filler is covered, when a title is, or
-when covered windows of messages make up most of what the page shows. Placeholders are exemplars of their own: a window
-that is the placeholder alone, read outside code, inline code, formulas and quotations.
+when covered windows of messages make up most of what the page shows.
+
+Placeholders are exemplars of the same index. Their words are shapes: the signs that open and close them, with ``name`` for
+a name without blanks, ``phrase`` for words with them, ``gap`` for a blank beside a sign. A window is what stands between
+an opening sign and the next closing one, read outside code, inline code, formulas and quotations; the opening sign
+retrieves the exemplars, and containment decides as for words. Dummy Latin is one exemplar that windows of any of its
+words are compared with.
 
 Defined cases: a null or empty content or title has no residue; placeholders in code, inline code or quotation, wiki
 templates in wiki text and messages beside own text are none; repeated rows are found each; an empty table gives an
@@ -43,6 +48,10 @@ MESSAGES = (
     "Bitte aktivieren Sie JavaScript, um x anzuzeigen.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "JavaScript ist in Ihrem Browser deaktiviert.", "Seite nicht gefunden", "Die angeforderte Adresse x existiert nicht (Fehler 404).", "Die angeforderte Seite wurde nicht gefunden.", "Zugriff verweigert", "Interner Serverfehler", "Dienst vorübergehend nicht verfügbar",
     "Veuillez activer JavaScript pour afficher cette page.", "JavaScript est désactivé dans votre navigateur.", "Erreur 404", "La page x est introuvable.", "Page introuvable", "Accès refusé", "Erreur interne du serveur", "Service momentanément indisponible",
     "Active JavaScript para continuar en x.", "Debe habilitar JavaScript para ver esta página.", "Página no encontrada", "El recurso x no existe. Código 0.", "Acceso denegado", "Error interno del servidor", "Servicio no disponible temporalmente",
+    "Enable JavaScript in your browser to continue.", "Please turn on JavaScript and reload the page.", "This page needs JavaScript to be enabled.", "Your browser does not run scripts; this application requires them.", "Scripts must be active to run this app.", "The requested page could not be found on the server.", "We could not find the page you were looking for.", "The page you are looking for does not exist. Go back to the start page or try the search.", "Error code 0", "Reference 0",
+    "We are down for scheduled maintenance. We will be back in a few minutes.", "The server is temporarily unavailable. Please retry after some time.", "You are sending requests too fast. Please slow down.", "Too many requests", "Your request has been blocked by the security rules. Reference 0", "You are not authorized to access this page on this server.", "You do not have access to x.", "This page has been removed and is no longer available.", "The server encountered an error. An exception was raised in template x.", "Failed to connect to the database server x.", "The gateway did not respond in time.",
+    "Checking if your browser is secure before you access x. Ray 0", "Please wait a few seconds while the browser is checked.", "JavaScript is turned off in your browser. Please switch it on.", "x does not work without JavaScript turned on.",
+    "Bitte schalten Sie JavaScript ein, um fortzufahren.", "Die Seite x existiert nicht.", "Zu viele Anfragen", "Wartungsarbeiten", "Activez JavaScript pour continuer sur x.", "La page demandée n'existe pas.", "Trop de requêtes", "Active JavaScript en su navegador para continuar.", "La página solicitada no existe.", "Demasiadas solicitudes", "Пожалуйста, включите JavaScript, чтобы просмотреть эту страницу.", "Запрошенная страница x не найдена.", "Слишком много запросов",
     "Страница не найдена", "Запрашиваемая страница x не существует. Ошибка 404.", "Доступ запрещён", "Включите JavaScript, чтобы продолжить.", "Внутренняя ошибка сервера", "Сервис временно недоступен",
 )
 #: Labelled exemplars of titles that say only that something failed.
@@ -50,15 +59,19 @@ TITLES = ("Error", "Oops", "Oops!", "Fehler", "Erreur", "Ошибка", "Untitle
 #: Labelled exemplars of filler.
 FILLERS = (
     "This is a placeholder paragraph; the final copy follows later.", "Your text goes here. Replace this paragraph with your own words.", "Sample text. Click here to edit and tell visitors about yourself.", "Add your content here.", "This is dummy text.", "Click here to add text", "Type your paragraph here",
-    "Hier steht später Ihr Text. Dies ist ein Blindtext.", "Hier könnte Ihr Text stehen.", "Texte à venir. Remplacez ce paragraphe.", "Ceci est un texte de remplissage.", "Texto de relleno. Sustituya este párrafo.", "Escriba aquí su texto.", "Здесь будет ваш текст. Замените этот абзац.", "Insert page title here",
+    "Hier steht später Ihr Text. Dies ist ein Blindtext.", "Hier könnte Ihr Text stehen.", "Texte à venir. Remplacez ce paragraphe.", "Ceci est un texte de remplissage.", "Texto de relleno. Sustituya este párrafo.", "Escriba aquí su texto.", "Здесь будет ваш текст. Замените этот абзац.", "Replace this text with your own.", "Placeholder text. The final text follows here.", "This paragraph is a placeholder for the final copy.", "Click to edit this text and tell your visitors something about you.", "Dies ist ein Platzhalter. Ihr Text steht später hier.", "Blindtext", "Le texte définitif est à venir. Remplacez ce texte.", "Aquí va su texto. Sustituya este texto de relleno.", "Текст будет позже. Замените этот текст своим.", "Insert page title here",
 )
 #: The words of the usual dummy Latin.
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+#: Words of dummy Latin from which a window is compared with it: single ones are words of other languages too.
+LATIN_WORDS = 4
 #: Window words covered by an exemplar, by weight, from which a window counts; and exemplar words covered by the window.
 WINDOW_COVER = 0.75
 EXEMPLAR_COVER = 0.5
+#: The same where two exemplars cover a window together.
+PAIR_COVER = 0.85
 #: Share of a page's visible weight in covered windows of messages from which the page is a message.
 PAGE_COVER = 0.6
 #: The same for a whole title.
@@ -67,10 +80,77 @@ TITLE_COVER = 0.9
 LETTERS_A_WORD = 6.0
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_PLACEHOLDERS = re.compile(
-    r"\{\{\s*[\w.\- ]+?\s*\}\}|\$\{[\w.\- ]+\}|(?<![\w%])%[A-Za-z]\w*%(?![\w%])|\{%\s*\w+\s*%\}|#\{[\w.]+\}|(?:(?<=[\s(\"'>,;])|^)\{[A-Za-z][\w.]*\}(?=[\s).,;:!?\"'<]|$)"
-    r"|\[(?:INSERT|Insert|YOUR|Your|Enter|ENTER|Add|ADD)\b[^\[\]\n]{0,60}\](?!\()|<%=?[^%\n]{1,60}%>|@@\w+@@|\bundefined\b(?:\W+\w+){0,2}\W+NaN\b|\[object Object\]|\bTBD:\s*\w+|<<\w+>>|__[A-Z]{3,}__"
+#: Labelled exemplars of placeholders.
+PLACEHOLDERS = (
+    "{{name}}", "{{ name }}", "{{ some name }}", "${name}", "${some name}", "%name%", "{%name%}", "{% name %}", "#{name}", "{name}", "<%name%>", "<%= name %>", "<% some name %>", "@@name@@", "<<name>>", "__NAME__", "TBD: name",
+    "[Insert name]", "[Insert some name]", "[INSERT SOME NAME]", "[Your name]", "[YOUR NAME]", "[Enter name]", "[Enter some name]", "[Add some name]", "[object Object]", "undefined NaN", "undefined name NaN",
 )
+#: Words of an instruction, which are not any word, and words that a program prints for lack of a value.
+INSTRUCTIONS = frozenset(("insert", "your", "enter", "add"))
+PRINTED = frozenset(("object", "undefined", "NaN"))
+#: Characters and words that a window of a placeholder may hold.
+PLACEHOLDER_CHARS, PRINTED_WORDS = 64, 4
+#: Containment of a window of shapes in its exemplar, and of the exemplar in it: nothing else may stand there.
+SHAPE_COVER = 0.999
+
+#: What opens a window and what closes it.
+_OPENERS = {"{{": "}}", "${": "}", "{%": "%}", "#{": "}", "<%": "%>", "@@": "@@", "<<": ">>", "__": "__", "%": "%", "{": "}", "[": "]", "TBD:": "", "undefined": "NaN"}
+_OPENER = re.compile(r"\{\{|\$\{|\{%|#\{|<%=?|@@|<<|(?<!\w)__(?=[A-Z])|(?<![\w%])%(?=[A-Za-z])|(?:(?<=[\s(\"'>,;])|^)\{(?=[A-Za-z])|\[|\bTBD:|\bundefined\b")
+_SHAPE = re.compile(r"\s+|[\w.\-]+|[^\w\s]")
+
+
+def shapes(inner: str, opener: str) -> list[str]:
+    """The shapes of what stands between two signs: names, phrases, blanks beside the signs, and all other signs."""
+    parts = _SHAPE.findall(inner)
+    kinds = ["gap"] if parts and parts[0].isspace() and parts[1:] else []
+    named = [p for p in parts if not p.isspace()]
+    if opener == "[" and named:
+        if named[0] in PRINTED:
+            return [f"printed {p.lower()}" for p in named]
+        first = named[0].lower() if named[0].istitle() or named[0].isupper() else ""
+        if first in INSTRUCTIONS:
+            return ["instruct", "phrase"]
+        return ["other"]
+    if opener == "__":
+        return ["capitals"] if len(named) == 1 and len(inner) > 2 and inner.isalpha() and inner.isupper() else ["other"]
+    loose = opener in ("{{", "${", "<%")
+    if not named or any(not re.match(r"[\w.\-]", p) for p in named):
+        return kinds + (["phrase"] if opener == "<%" and named else ["other"])
+    if len(named) == 1:
+        plain = named[0].replace(".", "").isidentifier() if opener in ("%", "{") else re.fullmatch(r"\w+", named[0]) is not None if opener in ("@@", "<<", "{%", "TBD:") else True
+        return ["name"] if plain and not (kinds and opener in ("%", "{", "@@", "<<", "#{")) else ["other"]
+    return ["phrase"] if loose else ["other"]
+
+
+def shape_windows(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(opening sign, shapes with the signs) of each window of a text that may be a placeholder."""
+    for found in _OPENER.finditer(text):
+        sign = found.group()
+        opener = "<%" if sign == "<%=" else sign
+        closer = _OPENERS[opener]
+        start = found.end()
+        if opener == "TBD:":
+            word = re.match(r"\s*(\w+)", text[start:])
+            if word:
+                yield opener, [opener, "name"]
+            continue
+        if opener == "undefined":
+            near = _WORD_OR_SIGN.findall(text[start : start + PLACEHOLDER_CHARS])
+            if "NaN" in near[:PRINTED_WORDS]:
+                yield opener, [opener, "NaN"]
+            continue
+        end = text.find(closer, start, start + PLACEHOLDER_CHARS)
+        if end < 0 or "\n" in text[start:end]:
+            continue
+        after = text[end + len(closer) : end + len(closer) + 1]
+        if opener == "[" and "[" in text[start:end]:
+            continue
+        if opener == "%" and (after.isalnum() or after in ("%", "_") and after) or opener == "{" and after and not re.match(r"[\s).,;:!?\"'<]", after) or opener == "[" and after == "(":
+            continue
+        yield opener, [opener, *shapes(text[start:end], opener), closer]
+
+
+_WORD_OR_SIGN = re.compile(r"\w+")
 _WIKI_TEMPLATE = re.compile(r"\{\{[^{}\s][^{}]*[^{}\s]\}\}|\{\{\w\}\}")
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|<blockquote\b[^>]*>.*?(?:</blockquote\s*>|$)|\\begin\{quot(?:e|ation)\}.*?(?:\\end\{quot(?:e|ation)\}|$)|``[^`\n]*''")
 _SHAPES = re.compile(r"\{\{|\$\{|%[A-Za-z]\w*%|\{%|\{[A-Za-z]|\[(?:INSERT|Insert|YOUR|Your|Enter|ENTER|Add|ADD)\b|<%|&lt;%|@@|undefined|\[object|TBD:|<<|__[A-Z]")
@@ -107,6 +187,10 @@ class ResidueIndex:
         self.other = sum(self.weights[w] for w in vocabulary()) / len(vocabulary())
         self.exemplars: list[tuple[str, dict[str, int], float]] = []
         self.index: dict[str, list[int]] = {}
+        self.shaped: dict[str, list[dict[str, int]]] = {}
+        for text in PLACEHOLDERS:
+            for opener, window in shape_windows(text):
+                self.shaped.setdefault(opener, []).append(dict(Counter(window)))
         for kind, texts in (("message", MESSAGES), ("filler", FILLERS), ("title", TITLES)):
             for text in texts:
                 bag = dict(Counter(words(text)))
@@ -135,7 +219,7 @@ class ResidueIndex:
         bag = Counter(window)
         weights, other = self.weights, self.other
         total = sum([weights.get(w, other) * n for w, n in bag.items()])
-        best = 0.0
+        best, lead, lead_shared = 0.0, None, 0.0
         for k in chosen:
             _, exemplar, size = self.exemplars[k]
             shared = sum([weights[w] * min(n, exemplar[w]) for w, n in bag.items() if w in exemplar])
@@ -145,6 +229,14 @@ class ResidueIndex:
             if "x" in exemplar:
                 rest -= sum([weights.get(w, other) for w in bag if w not in exemplar][:3])
             best = max(best, shared / rest if rest > 0 else 0.0)
+            if shared > lead_shared:
+                lead, lead_shared = exemplar, shared
+        if best < WINDOW_COVER and lead is not None and total > 0:
+            # what one exemplar lacks another of the same message may have
+            left = {w: n - min(n, lead.get(w, 0)) for w, n in bag.items()}
+            more = max([sum([weights[w] * min(n, self.exemplars[k][1][w]) for w, n in left.items() if n and w in self.exemplars[k][1]]) for k in chosen])
+            if lead_shared + more >= PAIR_COVER * total:
+                best = (lead_shared + more) / total
         return min(best, 1.0), total
 
     def covered(self, window: list[str], kinds: tuple[str, ...]) -> float:
@@ -152,8 +244,8 @@ class ResidueIndex:
         return self.cover(window, chosen)[0] if chosen else 0.0
 
     def filler(self, window: list[str], wanted: bool) -> bool:
-        latin = sum([w in LOREM for w in window])
-        if latin >= 4 and latin >= 0.8 * len(window):
+        latin = [self.weights[w] for w in window if w in LOREM]
+        if len(latin) >= LATIN_WORDS and sum(latin) >= WINDOW_COVER * sum([self.weights.get(w, self.other) for w in window]):
             return True
         return wanted and self.covered(window, ("filler",)) >= WINDOW_COVER
 
@@ -163,12 +255,23 @@ class ResidueIndex:
         text = _QUOTED.sub(" ", INLINE_FORMULA.sub(" ", INLINE_CODE.sub(" ", text)))
         if wiki:
             text = _WIKI_TEMPLATE.sub(" ", text)
-        return bool(_PLACEHOLDERS.search(visible(text.replace("<%", "\ue002").replace("&lt;%", "\ue002")).replace("\ue002", "<%")))
+        return self.shape_covered(visible(text.replace("<%", "\ue002").replace("&lt;%", "\ue002").replace("<<", "\ue003")).replace("\ue002", "<%").replace("\ue003", "<<"))
+
+    def shape_covered(self, text: str) -> bool:
+        """Whether a window of shapes is contained in an exemplar that its opening sign retrieves, and the exemplar in it.
+        Signs weigh alike: which ones a corpus writes often says nothing of what they open."""
+        for opener, window in shape_windows(text):
+            bag = Counter(window)
+            for exemplar in self.shaped.get(opener, ()):
+                shared = sum([min(n, exemplar.get(w, 0)) for w, n in bag.items()])
+                if shared >= SHAPE_COVER * len(window) and shared >= SHAPE_COVER * sum(exemplar.values()):
+                    return True
+        return False
 
     def title_residue(self, title: str | None) -> bool:
         if not title or title.isspace():
             return False
-        if _PLACEHOLDERS.search(title):
+        if _SHAPES.search(title) and self.shape_covered(title):
             return True
         window = words(title)
         return self.filler(window, True) or self.covered(window, ("message", "title", "filler")) >= TITLE_COVER
@@ -179,7 +282,7 @@ class ResidueIndex:
         present = set(words(content))
         messages = self.candidates(present, ("message",))
         fillers = bool(self.candidates(present, ("filler",)))
-        latin = len(present & LOREM) >= 4
+        latin = len(present & LOREM) >= LATIN_WORDS
         shapes = bool(_SHAPES.search(content))
         if not (messages or fillers or latin or shapes):
             return False
@@ -198,7 +301,7 @@ class ResidueIndex:
                 continue
             line = set(words(text))
             trial = [k for k in messages if not line.isdisjoint(self.rare(k))] if messages else []
-            doubt = (latin and len(line & LOREM) >= 4) or (fillers and self.candidates(line, ("filler",)))
+            doubt = (latin and len(line & LOREM) >= LATIN_WORDS) or (fillers and self.candidates(line, ("filler",)))
             if not (trial or doubt):
                 continue
             seen = visible(text)
