@@ -28,12 +28,30 @@ def test_crf_on_held_out_pages():
     ("a\n===\n\ntext\n\nb\n---\n\n$$\nx\n$$", (2, 0, 0, 1)), ("Plain title\n\nJust text; more text.", (0, 0, 0, 0)), ("", (0, 0, 0, 0)), (None, (0, 0, 0, 0)), ("```\nnever closed\n# x", (0, 0, 1, 0)), ("1. a\n2. b\n\nIn 1984. it", (0, 2, 0, 0)),
 ])
 def test_elements(text, wanted):
-    found = markup.ElementReader(markup.trained()).counts(text)
+    found = markup.ElementReader(markup.trained(), markup.trained_inline()).counts(text)
     assert (found["heading"], found["item"], found["code"], found["formula"]) == wanted
 
 
+@pytest.mark.parametrize("text, wanted", [
+    ("costs $5 or $6, and $x + 1$ more", ["$x + 1$"]), ("$a$ and $b$", ["$a$", "$b$"]), ("set $HOME and $PATH, then go", []), (r"\(a < b\) and <math>x</math>", [r"\(a < b\)", "<math>x</math>"]), ("it was $ 5", []), ("", []), ("$", []), ("$$x^2$$ is", ["$$x^2$$"]), ("from $3 to $x^2$", ["$x^2$"]),
+])
+def test_formulas_and_amounts(text, wanted):
+    reader = markup.ElementReader(markup.trained(), markup.trained_inline())
+    assert [text[a:b] for a, b in reader.formulas(text)] == wanted
+
+
+def test_inline_chain_on_held_out_lines():
+    crf = markup.trained_inline()
+    right = total = 0
+    for chain in markup.labelled_lines(400, 93):
+        path = crf.viterbi([crf.evidence(names) for names, _ in chain])
+        right += sum(("other", "formula")[k] == label for k, (_, label) in zip(path, chain))
+        total += len(chain)
+    assert right / total > 0.98
+
+
 def test_clean_text_shows_structure():
-    reader = markup.ElementReader(markup.trained())
+    reader = markup.ElementReader(markup.trained(), markup.trained_inline())
     clean = markup.clean_marked("== Title ==\n\n* '''one''' [[A|two]]\n* three\n\n<syntaxhighlight lang=\"x\">\na < b\n</syntaxhighlight>\n\nText <math>x^2</math> end.", reader)
     assert clean == "# Title\n\n- one two\n- three\n\n```\na < b\n```\n\nText $x^2$ end."
 
