@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import paths, quality, text, urls
+from .functions import paths, quality, stages, text, urls
 from .functions.web import source_key
 from .operators import batch_state, cache_tables, documents, extraction, fetching, html_nodes, images, markdown_blocks, noise, render, reports, retries, sections, text_map, threads
 from .operators import site_pages as site_pages_ops
 from .operators.instants import p4_found
 from .plans.rank import ranked_within
+from .sources.files import matches_globs
 from .sources.sinks import frontmatter
 from .sources.tables import table
 
@@ -767,3 +768,76 @@ def model_choices(spark: SparkSession, folder: str) -> DataFrame:
     draw = F.pmod(F.col("usage_id") * 37, F.lit(1000)) / 1000
     choice = retries.choose_model(draw, F.col("input_tokens") > 3000, F.col("usage_id") % 100, models, {"slate-vision": 20.0, "umber-large": 50.0})
     return table(spark, folder, "item_usage").select("usage_id", choice.alias("model_name"))
+
+
+# around rewriting stages
+
+
+@query("document_contexts", r"""
+with b as (select doc_id, regexp_replace(text, '^\s*---[ \t]*\n(?:(?s:.*?)\n)??---[ \t]*(?:\n|$)', '') as body from documents where text is not null),
+l as (select doc_id, list_filter(string_split_regex(body, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '' and not starts_with(regexp_replace(x, '^\s+|\s+$', '', 'g'), '![')) as lines from b)
+select doc_id, regexp_replace(left(trim(regexp_replace(array_to_string(lines, ' '), '\s+', ' ', 'g')), 200), '^\s+|\s+$', '', 'g') as context from l""")
+def document_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", stages.context_of(F.col("text")).alias("context"))
+
+
+@query("image_references", r"""
+select fetch_id, '![' || replace(replace(replace(title, '\', '\\'), '[', '\['), ']', '\]') || '](' || replace(url_encode(screenshot_path), '%2F', '/') || ')' as reference
+from fetch_cache where title is not null and screenshot_path is not null""")
+def image_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The screenshot of each page as an image with its title."""
+    return table(spark, folder, "fetch_cache").where("title is not null and screenshot_path is not null").select("fetch_id", stages.image_reference(F.col("title"), F.col("screenshot_path")).alias("reference"))
+
+
+@query("prompt_free", r"""
+with a as (select doc_id, n, case n when 0 then coalesce(text, '') when 1 then '## Task 1: x' || chr(10) || '---' || chr(10) || 'a' || chr(10) || '---' || chr(10) || coalesce(text, '') else '请处理以下' || coalesce(replace(text, '-', ''), '') end as answer
+  from documents, (values (0), (1), (2)) v(n)),
+m as (select *, regexp_matches(answer, '## Task [12]:|## 任务 [12]:|【核心原则】|【清理规范】|请处理以下|你是一个专业的') as held,
+  length(answer) - length(replace(answer, '---', '')) >= 6 as cut from a),
+p as (select *, strpos(answer, '---') as one, strpos(substr(answer, strpos(answer, '---') + 3), '---') as two from m)
+select doc_id, cast(n as int) as n, md5(case when not held then answer when cut then regexp_replace(substr(answer, one + two + 5), '^\s+|\s+$', '', 'g') end) as kept from p""")
+def prompt_free(spark: SparkSession, folder: str) -> DataFrame:
+    """What is kept of three answers for each document: the text, instructions with two rules before it, and instructions alone."""
+    whole = F.coalesce("text", F.lit(""))
+    answers = F.array(*[F.struct(F.lit(n).alias("n"), a.alias("answer")) for n, a in enumerate((whole, F.concat(F.lit("## Task 1: x\n---\na\n---\n"), whole), F.concat(F.lit("请处理以下"), F.replace(whole, F.lit("-"), F.lit("")))))])
+    return table(spark, folder, "documents").select("doc_id", F.inline(answers)).select("doc_id", "n", F.md5(stages.without_prompt(F.col("answer"))).alias("kept"))
+
+
+@query("finished_documents", r"""
+select doc_id, md5('---' || chr(10) || 'title: ' || title || chr(10) || '---' || chr(10) || chr(10) || text) as digest from documents where text is not null and title is not null and title <> ''""")
+def finished_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Titled documents behind front matter that came with its own rules and fence."""
+    fields = F.concat(F.lit("```yaml\n---\ntitle: "), "title", F.lit("\n---\n```"))
+    return table(spark, folder, "documents").where("text is not null and title is not null and title <> ''").select("doc_id", F.md5(stages.finished(F.col("text"), fields)).alias("digest"))
+
+
+@query("primary_contents", r"""select fetch_id, md5(coalesce(regexp_replace(content, '^\s+|\s+$', '', 'g'), '')) as digest from fetch_cache""")
+def primary_contents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetch_cache").select("fetch_id", F.md5(stages.primary_content(F.col("static_content"), F.col("browser_content"), F.col("content"))).alias("digest"))
+
+
+@query("service_refusals", r"""
+with v as (select log_id, error_text, unnest(['jina', 'defuddle', 'cloudflare', 'static']) as strategy, cast(nullif(regexp_extract(error_text, '\b([45]\d\d)\b', 1), '') as int) as code from state_log where error_text is not null)
+select log_id, strategy, case strategy
+  when 'jina' then case when lower(error_text) like '%rate limit%' then 'rate limited (free tier: 20 RPM)' when code between 400 and 499 then 'HTTP ' || code || ': ' || error_text end
+  when 'defuddle' then case when lower(error_text) like '%rate limit%' then 'rate limited' when regexp_matches(error_text, 'HTTP 4\d\d') then error_text end
+  when 'cloudflare' then case when lower(error_text) like '%rate limit%' then 'rate limited' when regexp_matches(error_text, '\b(401|402|403|429|451)\b|CF BR API error') then error_text end end as reason from v""")
+def service_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """For each failure that was written down, why a service refused if that strategy had met it."""
+    rows = table(spark, folder, "state_log").where("error_text is not null").select("log_id", "error_text", F.explode(F.array(*map(F.lit, ("jina", "defuddle", "cloudflare", "static")))).alias("strategy"))
+    code = F.regexp_extract("error_text", r"\b([45]\d\d)\b", 1).try_cast("int")
+    return rows.select("log_id", "strategy", stages.service_refusal(F.col("strategy"), F.col("error_text"), code).alias("reason"))
+
+
+@query("cache_skips", r"""
+with p as (select fetch_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') as context from fetch_cache where url is not null)
+select fetch_id, context from p where regexp_matches(context, '^(?:.*/)?[^/]*guide[^/]*$') or regexp_matches(context, '^maple[^/]*/[^/]*/[^/]*$')""")
+def cache_skips(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose path matches a pattern of pages that are never cached."""
+    pages = table(spark, folder, "fetch_cache").where("url is not null").select("fetch_id", F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^[a-z]+://", "").alias("context"))
+    return pages.where(matches_globs(F.col("context"), ["**/*guide*", "maple*/*/*"]))
+
+
+@query("sized_pages", r"""select fetch_id, coalesce(size_bytes <= 4096, true) as allowed from fetch_cache""")
+def sized_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetch_cache").select("fetch_id", stages.within_size(F.col("size_bytes"), 4096).alias("allowed"))
