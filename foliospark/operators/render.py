@@ -22,6 +22,58 @@ _NOTE_TARGET = re.compile(r"#(?:fn|footnote|note|cite_note)[:_-]?([\w.-]+)$")
 _UNSAFE = re.compile(r"^[\s\x00-\x1f]*(?:javascript|vbscript|data(?!:image/))[\s\x00-\x1f]*:", re.IGNORECASE)
 
 
+#: Elements that show something without a text of their own, and that may be empty for good.
+_SHOWN = frozenset(("img", "video", "audio", "svg", "math", "iframe", "hr", "br", "input", "td", "th", "tr", "tbody", "thead", "table", "source", "track", "picture", "script"))
+
+
+def _inside(nodes: list[list], k: int, *tags: str) -> bool:
+    return any(nodes[j][1] in tags for j in range(k + 1, nodes[k][4] + 1))
+
+
+def tidy(nodes: list[list]) -> list[list]:
+    """Links, wrappers and empty elements in one form. A link around a heading becomes the heading's own; links within code,
+    and those of a heading to itself, are their texts; elements around one other element alone, and spans that say
+    nothing of themselves, are transparent; elements that show nothing and rules at either end go."""
+    last = len(nodes) - 1
+    texts = ["".join(t for _, t in n[3]).strip() != "" for n in nodes]
+    children: list[list[int]] = [[] for _ in nodes]
+    for k, node in enumerate(nodes):
+        if node[0] >= 0:
+            children[node[0]].append(k)
+    for k, node in enumerate(nodes):
+        tag, attrs = node[1], node[2]
+        if tag == "a" and _inside(nodes, k, "h1", "h2", "h3", "h4", "h5", "h6"):
+            head = next(j for j in range(k + 1, node[4] + 1) if nodes[j][1] in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            if attrs.get("href"):
+                nodes[head][2]["data-link"] = attrs["href"]
+            node[1] = "div"
+        elif tag == "a" and attrs.get("href", "").startswith("#") and node[0] >= 0 and nodes[node[0]][1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            node[1] = "span"
+        elif tag in ("code", "pre"):
+            for j in range(k + 1, node[4] + 1):
+                if nodes[j][1] == "a":
+                    nodes[j][1] = "span"
+        elif tag in ("section", "article", "main", "header", "center") and not texts[k] and len(children[k]) == 1:
+            node[1] = "div"
+        elif tag == "span" and not attrs:
+            node[1] = "font"
+    shows = [False] * len(nodes)
+    for k in range(last, -1, -1):
+        shows[k] = shows[k] or texts[k] or nodes[k][1] in _SHOWN or nodes[k][1] in ("pre", "code")
+        if shows[k] and nodes[k][0] >= 0:
+            shows[nodes[k][0]] = True
+    for k, node in enumerate(nodes):
+        if not shows[k] and node[0] >= 0:
+            node[1] = "template"
+    for order in (range(len(nodes)), range(last, -1, -1)):
+        for k in order:
+            if nodes[k][1] == "hr":
+                nodes[k][1] = "template"
+            elif texts[k] and nodes[k][1] != "template" or nodes[k][1] in _SHOWN:
+                break
+    return nodes
+
+
 def standardize(nodes: list[list], base: str | None = None, title: str | None = None) -> list[list]:
     """The elements of a page in one form: several first headings one level lower, later headings that repeat the title
     out, addresses absolute, unsafe ones out, permanent-link anchors of headings out, lazy pictures with their best
@@ -93,7 +145,7 @@ def to_markdown(html: str | None, base: str | None = None, title: str | None = N
     as Markdown; null stays null. ``base`` makes addresses absolute; later headings that repeat ``title`` are left out."""
     if html is None:
         return None
-    nodes = standardize(build("<body>" + html), base, title)
+    nodes = tidy(standardize(build("<body>" + html), base, title))
     children: list[list[tuple[int, object]]] = [[(at, t) for at, t in n[3]] for n in nodes]
     roots = []
     for k, node in enumerate(nodes):
@@ -163,6 +215,7 @@ def _blocks(k: int, nodes, children, depth: int) -> list[str]:
         return []
     if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
         text = " ".join(_inline(k, nodes, children).split())
+        text = f"[{text}]({attrs['data-link']})" if text and "data-link" in attrs else text
         return [f"{'#' * int(tag[1])} {text}"] if text else []
     if tag == "pre":
         code = "".join(_flat(k, nodes, children)).strip("\n")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import html_nodes, noise, site_pages, threads
 from foliospark.operators.page_metadata import page_metadata
 from foliospark.operators.render import to_markdown
+from foliospark.plans import shared
 
 PAGE = """<html><head><title>Boats - Harbor Notes</title><meta property="og:site_name" content="Harbor Notes"><meta name="description" content="About boats">
 <link rel="canonical" href="https://h.example/"><script type="application/ld+json">{"@graph":[{"headline":"Boats","author":{"name":"Ann"},"datePublished":"2024-01-02"}]}</script><script type="application/ld+json">{broken</script></head>
@@ -83,3 +84,42 @@ def test_readers_and_threads(spark):
     assert made == {"x": ("one", None), "y": ("two", 0)}
     codes = spark.createDataFrame([("[b]x[/b] [url=https://a.b]y[/url] [list][*]one[*]two[/list]",)], "t string")
     assert codes.select(site_pages.bbcode_html(F.col("t")).alias("h")).first()["h"] == '<strong>x</strong> <a href="https://a.b">y</a> <ul><li>one</li><li>two</li></ul>'
+
+
+_PROSE = "<p>" + "The keeper of the ferry counted the boats twice, and nobody, he said, had seen the other bank before noon. " * 8 + "</p>"
+
+
+NOISE_PAGES = [
+    ("promo", "<div id=x><a href=/sale>Spring sale on all ropes</a></div><h1>T</h1>" + _PROSE), ("hero", "<header id=x><h1>T</h1><time>2 May 2021</time></header>" + _PROSE), ("orphan_contents", "<h1>T</h1><p id=x>Contents</p>" + _PROSE),
+    ("metadata", "<h1>T</h1><p id=x>UTC+2</p>" + _PROSE), ("metadata", "<h1>T</h1>" + _PROSE + "<p id=x>Page of boats</p>"), ("metadata_list", "<ul id=x><li>Harbour</li><li>Two minutes</li></ul><h1>T</h1>" + _PROSE), ("section_breadcrumb", "<h1>T</h1><p id=x><a href=/boats/>Boats</a></p>" + _PROSE),
+    ("trailing_links", "<h1>T</h1>" + _PROSE + "<h3 id=x>Elsewhere</h3><ul><li><a href=https://a.org/>A long way off</a></li><li><a href=https://b.org/>Another one</a></li></ul>"), ("related_posts", "<h1>T</h1>" + _PROSE + "<section id=x><p><a href=/a>One story of ours</a></p><p><a href=/b>Two stories of ours</a></p></section>"),
+    ("related_intro", "<h1>T</h1>" + _PROSE + "<p id=x>For more on ferries, see our pages.</p>" + _PROSE), ("cards", "<h1>T</h1>" + _PROSE + "<div id=x>" + "<div><a href=/a>A story of boats</a> told again by the keeper</div>" * 4 + "</div>" + _PROSE), ("newsletter_list", "<h1>T</h1>" + _PROSE + "<ul id=x><li>Subscribe to letters</li></ul>" + _PROSE),
+    ("contact", "<h1>T</h1>" + _PROSE + "<p id=x>Write to the keeper at keeper@boats.example or call.</p>"), ("scored", "<h1>T</h1>" + _PROSE + "<div id=x>Home Menu Search</div>" + _PROSE), ("noise", "<h1>T</h1><div class=sidebar id=x>words beside it all</div>" + _PROSE),
+]
+RULES = {"promo": noise.promo_banners, "hero": noise.hero_headers, "orphan_contents": noise.orphan_contents, "metadata": noise.metadata_candidates, "metadata_list": noise.metadata_lists, "section_breadcrumb": noise.section_breadcrumbs, "trailing_links": noise.trailing_links, "related_posts": noise.trailing_related, "related_intro": noise.related_intros, "cards": noise.related_cards, "newsletter_list": noise.newsletter_lists, "contact": noise.author_contacts, "scored": noise.scored_blocks, "noise": html_nodes.noise_nodes}
+
+
+def test_noise_rules(spark):
+    """Each page has one block that its rule, and the rules together, take out; prose stays."""
+    pages = [f"<html><head><title>Page of boats</title><link rel=canonical href=https://h.example/boats/ferry></head><body><article>{inside}</article></body></html>" for _, inside in NOISE_PAGES]
+    held = "<body><article class=post><header class=banner>Top</header>" + _PROSE + "<pre><span class=widget>code</span></pre><ol class=footnotes><li>note</li></ol></article></body>"
+    made = shared.materialise(nodes(spark, *pages, held), "pages")
+    roots = {r["page_id"]: r["pre"] for r in made.where("attrs['id'] = 'x'").collect()}
+    placed = shared.materialise(noise.with_page(made), "placed")
+    for name, rule in RULES.items():
+        found = {(r["page_id"], r["pre"]) for r in rule(placed).collect()}
+        assert all((k, roots[k]) in found for k, (wanted, _) in enumerate(NOISE_PAGES) if wanted == name), (name, found)
+    spans = noise.removals(made).collect()
+    assert all(any(r["page_id"] == k and r["pre"] <= root <= r["last"] for r in spans) for k, root in roots.items())
+    prose = [(r["page_id"], r["pre"]) for r in made.where("tag = 'p' and words > 100").collect()]
+    assert len(prose) >= len(pages) and not [(p, r) for p in prose for r in spans if r["page_id"] == p[0] and r["pre"] <= p[1] <= r["last"]]
+    last = len(pages)
+    kept = {r["pre"] for r in noise.protected_nodes(made.where(f"page_id = {last}")).collect()}
+    assert {r["pre"] for r in made.where(f"page_id = {last} and tag in ('article', 'header', 'pre', 'span', 'ol')").collect()} <= kept
+    assert not {r["pre"] for r in spans if r["page_id"] == last and r["rule"] in ("noise", "scored")} & kept
+
+
+def test_markdown_is_tidy():
+    made = to_markdown("<hr><!-- c --><section><div><h1>T</h1></div></section><p></p><ul><li></li><li>one</li></ul><a href='/s'><h3>Card</h3><p>about it</p></a><h2 id=x><a href='#x'>Part</a></h2><p><code>a <a href='/b'>b</a></code> and <span>bare</span><span></span></p><p>end</p><hr>")
+    assert made == "# T\n\n- one\n\n### [Card](/s)\n\nabout it\n\n## Part\n\n`a b` and bare\n\nend"
+    assert to_markdown("<p>a</p><hr><p>b</p>") == "a\n\n---\n\nb" and to_markdown("<hr>") == "" and to_markdown("") == ""
