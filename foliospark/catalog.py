@@ -56,10 +56,26 @@ def url_filenames(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "fetch_cache").select("fetch_id", urls.url_filename(F.col("url")).alias("file_name"))
 
 
-@query("url_redacted", r"""
-select fetch_id, regexp_extract(url, '^([^?#]*)', 1) as safe_url from fetch_cache""")
+#: A token as services hand them out, and the forms in which each address is looked at besides its own: with userinfo, a
+#: secret in the path, query or fragment, and hosts that are not public. {h} is its host, {p} its path.
+_TOKEN = "Qx7Lm2Zp9Rt4Vb8Nc3Ws6Ky"
+_FORMS = (
+    "https://{h}{p}", "https://ann:pw@{h}{p}", "https://{h}/invite/" + _TOKEN + "{p}", "https://{h}{p}?page=2&access_token=abc", "https://{h}{p}#session=1", "https://{h}{p}#part", "ftp://{h}{p}", "HTTPS://{h}:8443{p}?q=1",
+    "http://127.0.0.1{p}", "http://0x7f000001{p}", "http://2130706433{p}", "http://10.1.2.3:80{p}", "http://172.32.0.1{p}", "http://192.168.0.9{p}", "http://[::1]{p}", "http://localhost:3000{p}", "http://printer{p}", "http://{h}.internal{p}", "mailto:ann@{h}", "{p}",
+)
+_FORMS_SQL = "with u as (select distinct regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as p from fetch_cache where url is not null),\nf as (select cast(k as int) as form, replace(replace(t, '{h}', h), '{p}', p) as url from u, (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(_FORMS)) + ") v(k, t))"
+
+
+def _forms(spark: SparkSession, folder: str) -> DataFrame:
+    """(form, url): every address in every form."""
+    parts = table(spark, folder, "fetch_cache").where("url is not null").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("h"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("p")).distinct()
+    return parts.select("h", "p", F.posexplode(F.array(*map(F.lit, _FORMS))).alias("form", "t")).select("form", F.replace(F.replace("t", F.lit("{h}"), F.col("h")), F.lit("{p}"), F.col("p")).alias("url"))
+
+
+@query("url_redacted", _FORMS_SQL + r"""
+select form, url, case when not regexp_matches(url, '^[A-Za-z]+://') then '[URL redacted]' else regexp_replace(regexp_replace(replace(regexp_replace(url, '[?#].*$', ''), '/""" + _TOKEN + r"""', '/[redacted]'), '//[^/@]*@', '//'), '^HTTPS', 'https') end as safe_url from f""")
 def url_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fetch_cache").select("fetch_id", urls.redact_url(F.col("url")).alias("safe_url"))
+    return _forms(spark, folder).select("form", "url", urls.redact_url(F.col("url")).alias("safe_url"))
 
 
 @query("url_remote_reasons", r"""select case when url is null then 'invalid_url' else 'allowed' end as reason, count(*) as pages from fetch_cache group by 1""")
@@ -87,11 +103,11 @@ def query_keys(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy(urls.query_key(F.split_part("pair", F.lit("="), F.lit(1))).alias("query_key")).agg(F.count("*").alias("n"))
 
 
-@query("secret_queries", r"""
-with k as (select fetch_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) as pair from fetch_cache)
-select fetch_id from k group by fetch_id having bool_or(regexp_matches(split_part(pair, '=', 1), '(^|_)(token|secret|password|session|jwt|auth)($|_)') and split_part(pair, '=', 2) <> '')""")
+@query("secret_queries", _FORMS_SQL + r"""
+select form, url from f where regexp_matches(url, '^[A-Za-z]+://[^/]*@|/""" + _TOKEN + r"""|[?&]access_token=|#session=')""")
 def secret_queries(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fetch_cache").where(urls.has_credentials(F.col("url"))).select("fetch_id")
+    """The forms of addresses that hold a secret."""
+    return _forms(spark, folder).where(urls.has_credentials(F.col("url"))).select("form", "url")
 
 
 # fetching
@@ -426,10 +442,14 @@ def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("page_advice", r"""
-with c as (select ocr_id, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as a, length(regexp_replace(text, '[^AEIOUaeiou]', '', 'g')) as v from ocr_results)
-select ocr_id, case when n < 50 then 'scanned' else 'garbled' end as advice from c where n < 50 or (a >= 40 and v * 5 < a)""")
+with t as (select ocr_id, cast(v as int) as form, case v when 0 then text when 1 then left(text, 40) else regexp_replace(text, '[aeiouAEIOU]', 'x', 'g') end as text from ocr_results, (values (0), (1), (2)) f(v)),
+c as (select ocr_id, form, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as a, length(regexp_replace(text, '[^AEIOUaeiou]', '', 'g')) as v, length(regexp_replace(text, '[^一-鿿぀-ヿ가-힯]', '', 'g')) as j from t)
+select ocr_id, form, case when n < 50 then 'scanned' else 'garbled' end as advice from c where n < 50 or (a >= 40 and v * 5 < a and j < a)""")
 def page_advice(spark: SparkSession, folder: str) -> DataFrame:
-    return documents.page_advice(table(spark, folder, "ocr_results"), "ocr_id", "text")
+    """Advice on every page as it is, with its beginning alone, and with its vowels lost."""
+    forms = F.array(F.col("text"), F.substring("text", 1, 40), F.regexp_replace("text", "[aeiouAEIOU]", "x"))
+    pages = table(spark, folder, "ocr_results").select("ocr_id", F.posexplode(forms).alias("form", "text")).withColumn("page", F.struct("ocr_id", "form"))
+    return documents.page_advice(pages, "page", "text").select("page.ocr_id", "page.form", "advice")
 
 
 @query("inline_links", r"""
@@ -575,12 +595,11 @@ def markdown_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return text_map.normalized_markdown(table(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("markdown_round_trips", r"""select doc_id, true as kept from documents where text is not null""")
+@query("markdown_round_trips", r"""select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as digest from documents where text is not null""")
 def markdown_round_trips(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a document is the same, but for its blank lines, after its marks are taken out and put back."""
-    made = text_map.protected_round_trip(table(spark, folder, "documents").where("text is not null"), "doc_id", "text").withColumnRenamed("text", "made")
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    return table(spark, folder, "documents").select("doc_id", "text").join(made, "doc_id").select("doc_id", (bare("text") == bare("made")).alias("kept"))
+    """Every document after its marks are taken out and put back, blanks aside: nothing but blanks may change."""
+    made = text_map.protected_round_trip(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
+    return made.select("doc_id", F.md5(F.regexp_replace("text", r"\s+", "")).alias("digest"))
 
 
 @query("repeated_blocks_dropped")
@@ -639,9 +658,17 @@ def job_timeouts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "ocr_results").select("ocr_id", text.timeout_seconds(F.lit(30), chars, 50.0, F.floor(chars / 4), F.lit(1), 1.5, 10.0, 600.0).alias("seconds"))
 
 
-@query("page_readers", r"""select fetch_id, cast(null as varchar) as reader from fetch_cache where not regexp_matches(url, '//(www\.|old\.|mobile\.)?(github|reddit|x|twitter|youtube)\.com/|//news\.ycombinator\.com/|//youtu\.be/|bilibili\.com/|steampowered')""")
+_READ_FORMS = ("https://{h}{p}", "https://github.com{p}", "https://github.com/ann/boats", "https://www.github.com/ann/boats/issues/12", "https://news.ycombinator.com/item?id=5", "https://news.ycombinator.com{p}", "https://old.reddit.com/r/boats/comments/5/x", "https://x.com/ann/status/77", "https://twitter.com/ann", "https://www.youtube.com/watch?v=abc")
+
+
+@query("page_readers", "with u as (select distinct regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as p from fetch_cache where url is not null),\nf as (select cast(k as int) as form, replace(replace(t, '{h}', h), '{p}', p) as url from u, (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(_READ_FORMS)) + r""") v(k, t))
+select form, url, case when regexp_matches(url, '//(www\.)?github\.com/[^/]+/[^/]+/(issues|pull)/\d+') then 'issue' when regexp_matches(url, '//(www\.)?github\.com/[^/?#]+/[^/?#]+/?([?#]|$)') then 'repository' when regexp_matches(url, '//news\.ycombinator\.com/item') then 'news_thread'
+  when regexp_matches(url, '//(www\.|old\.)?reddit\.com/.*comments/') then 'forum_thread' when regexp_matches(url, '//(www\.|mobile\.)?(x|twitter)\.com/.*/status/\d+') then 'post' when regexp_matches(url, '//(www\.)?youtube\.com/watch') then 'video' end as reader from f""")
 def page_readers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fetch_cache").select("fetch_id", site_pages_ops.reader_of(F.col("url")).alias("reader"))
+    """The reader of every address, and of addresses of known sites."""
+    parts = table(spark, folder, "fetch_cache").where("url is not null").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("h"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("p")).distinct()
+    forms = parts.select("h", "p", F.posexplode(F.array(*map(F.lit, _READ_FORMS))).alias("form", "t")).select("form", F.replace(F.replace("t", F.lit("{h}"), F.col("h")), F.lit("{p}"), F.col("p")).alias("url"))
+    return forms.select("form", "url", site_pages_ops.reader_of(F.col("url")).alias("reader"))
 
 
 @query("noise_report")
