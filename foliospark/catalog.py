@@ -337,16 +337,13 @@ def text_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("document_titles", r"""
-with b as (select doc_id, regexp_replace(text, '^\s*---[ \t]*\n(?:[^-\n][^\n]*\n|-[^-\n][^\n]*\n|\n)*---[ \t]*(?:\n|$)', '') as t from documents where text is not null and fmt in ('html', 'xlsx', 'pptx'))
-select doc_id, nullif(trim(rtrim(regexp_extract(t, '(?m)^#[ \t]+(\S[^\n]*)$', 1), chr(13))), '') as h1 from b""")
+with b as (select doc_id, regexp_replace(text, '^\s*---[ \t]*\n(?:[^-\n][^\n]*\n|-[^-\n][^\n]*\n|\n)*---[ \t]*(?:\n|$)', '') as t from documents where text is not null),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as line_no from b),
+g as (select *, regexp_extract(line, '^(`{3,}|~{3,})', 1) as mark, coalesce(sum(case when regexp_matches(line, '^(`{3,}|~{3,})') then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as before from l)
+select b.doc_id, nullif(trim(rtrim(regexp_extract(arg_min(g.line, g.line_no), '^#[ \t]+(\S[^\n]*)$', 1), chr(13))), '') as h1
+from b left join g on g.doc_id = b.doc_id and g.mark = '' and g.before % 2 = 0 and regexp_matches(g.line, '^#[ \t]+\S') group by b.doc_id""")
 def document_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null and fmt in ('html', 'xlsx', 'pptx')").select("doc_id", text.first_heading(F.col("text"), 1).alias("h1"))
-
-
-@query("all_document_titles")
-def all_document_titles(spark: SparkSession, folder: str) -> DataFrame:
-    """The first level-one heading outside code and front matter of every document with text; the SQL of document_titles
-    can't skip code and keeps to formats without any."""
+    """The first level-one heading outside code and front matter of every document with text."""
     return table(spark, folder, "documents").where("text is not null").select("doc_id", text.first_heading(F.col("text"), 1).alias("h1"))
 
 
@@ -459,7 +456,12 @@ def inline_links(spark: SparkSession, folder: str) -> DataFrame:
     return documents.links(table(spark, folder, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_links"))
 
 
-@query("hash_headings")
+@query("hash_headings", r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null),
+m as (select *, regexp_extract(line, '^(`{3,}|~{3,})', 1) as mark from l),
+g as (select *, coalesce(sum(case when mark <> '' then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as before from m)
+select doc_id, cast(line_no as int) as line_no, cast(length(regexp_extract(line, '^(#+)', 1)) as int) as level, trim(regexp_replace(regexp_extract(line, '^#{1,6}\s+([^\r]*)', 1), '\s+#+\s*$', '')) as heading
+from g where mark = '' and before % 2 = 0 and regexp_matches(line, '^#{1,6}\s+\S')""")
 def hash_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Every hash heading of the documents outside code."""
     return documents.headings(table(spark, folder, "documents"), "doc_id", "text")
@@ -487,6 +489,13 @@ def _comments(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(F.col("doc_id").alias("thread_id"), "pos", F.regexp_count("line", F.lit("> ?")).alias("depth"), F.concat_ws("-", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id"), F.regexp_extract("line", _COMMENTS, 2).alias("author"))
 
 
+_COMMENTS_SQL = r"""
+with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where fmt = 'html' and text is not null),
+c as (select doc_id as thread_id, cast(pos as int) as pos, cast(length(regexp_replace(regexp_extract(line, '^((?:> ?)*)', 1), '[^>]', '', 'g')) as int) as depth, doc_id || '-' || pos as id from l where regexp_matches(line, '^(?:> ?)*\*\*[^*]+\*\* · \d+ min\r?$')),
+b as (select a.thread_id, a.id, a.pos, a.depth, max(o.pos) as at from c a left join c o on o.thread_id = a.thread_id and o.pos < a.pos and o.depth < a.depth group by all),
+p as (select b.thread_id, b.id, b.pos, b.depth, c.id as parent_id from b left join c on c.thread_id = b.thread_id and c.pos = b.at and c.depth = b.depth - 1)"""
+
+
 @query("comment_depths", r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where fmt = 'html' and text is not null)
 select doc_id as thread_id, cast(pos as int) as pos, cast(length(regexp_replace(regexp_extract(line, '^((?:> ?)*)', 1), '[^>]', '', 'g')) as int) as depth from l where regexp_matches(line, '^(?:> ?)*\*\*[^*]+\*\* · \d+ min\r?$')""")
@@ -494,13 +503,17 @@ def comment_depths(spark: SparkSession, folder: str) -> DataFrame:
     return _comments(spark, folder).select("thread_id", "pos", "depth")
 
 
-@query("comment_parents")
+@query("comment_parents", _COMMENTS_SQL + """
+select thread_id, id, pos, depth, parent_id from p""")
 def comment_parents(spark: SparkSession, folder: str) -> DataFrame:
     """The parent of every comment, by depth."""
     return threads.parents_by_depth(_comments(spark, folder))
 
 
-@query("comment_paths")
+@query("comment_paths", _COMMENTS_SQL + """,
+r as (select thread_id, id, 0 as depth, lpad(cast(pos as varchar), 20, '0') as path from p where parent_id is null
+  union all select p.thread_id, p.id, least(r.depth + 1, 12), r.path || '/' || lpad(cast(p.pos as varchar), 20, '0') from p join r on p.thread_id = r.thread_id and p.parent_id = r.id)
+select thread_id, id, cast(depth as int) as depth, path from r""")
 def comment_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every comment in its reply tree."""
     return threads.reply_paths(comment_parents(spark, folder))
@@ -509,27 +522,19 @@ def comment_paths(spark: SparkSession, folder: str) -> DataFrame:
 # HTML
 
 _HTML = "static_content rlike '<(p|h[1-6]|ul|ol|article|div)[ >]'"
-#: Tags within code are text, which the SQL of html_tags and html_outline can't tell; theirs are the pages without code.
-_HTML_WITHOUT_CODE = _HTML + " and static_content not rlike '<pre|```|~~~'"
 
 
 @query("html_tags", r"""
-with h as (select static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]') and not regexp_matches(static_content, '<pre|```|~~~'))
+with h as (select static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]'))
 select tag, sum(length(regexp_extract_all(s, '(?i)<' || tag || '[ >]'))) as n from h, (values ('h1'), ('h2'), ('h3'), ('li'), ('ul'), ('ol'), ('blockquote'), ('nav'), ('aside'), ('footer')) as t(tag) group by tag having sum(length(regexp_extract_all(s, '(?i)<' || tag || '[ >]'))) > 0""")
 def html_tags(spark: SparkSession, folder: str) -> DataFrame:
-    return _tags(table(spark, folder, "fetch_cache").where(_HTML_WITHOUT_CODE))
+    return _tags(table(spark, folder, "fetch_cache").where(_HTML))
 
 
 def _tags(pages: DataFrame) -> DataFrame:
     return html_nodes.tag_counts(html_nodes.parse_nodes(pages, "fetch_id", "static_content")).where(F.col("tag").isin("h1", "h2", "h3", "li", "ul", "ol", "blockquote", "nav", "aside", "footer"))
 
 
-@query("all_html_tags")
-def all_html_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """The tags of html_tags over all HTML pages, those with code too."""
-    return _tags(table(spark, folder, "fetch_cache").where(_HTML))
-
-
 @query("html_main")
 def html_main(spark: SparkSession, folder: str) -> DataFrame:
     """The element taken for the content of each HTML page."""
@@ -651,7 +656,9 @@ def smart_cuts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.char_length(text.smart_cut(F.col("text"), 1000)).alias("size"))
 
 
-@query("job_timeouts")
+@query("job_timeouts", r"""
+with c as (select ocr_id, length(coalesce(text, '')) as n from ocr_results)
+select ocr_id, cast(floor(greatest(30, least((30 + n / 50.0 + (n // 4) / 4.0) * 1.5, 600))) as int) as seconds from c""")
 def job_timeouts(spark: SparkSession, folder: str) -> DataFrame:
     """A time limit for each scanned page by its length."""
     chars = F.char_length(F.coalesce("text", F.lit("")))
@@ -681,10 +688,10 @@ def noise_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("html_outline", r"""
-with h as (select fetch_id, static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]') and not regexp_matches(static_content, '<pre|```|~~~'))
+with h as (select fetch_id, static_content as s from fetch_cache where regexp_matches(static_content, '<(p|h[1-6]|ul|ol|article|div)[ >]'))
 select level, count(*) as headings from (select unnest(regexp_extract_all(s, '(?i)<h([1-6])[ >]', 1)) as level from h) group by level""")
 def html_outline(spark: SparkSession, folder: str) -> DataFrame:
-    return _outline(table(spark, folder, "fetch_cache").where(_HTML_WITHOUT_CODE))
+    return _outline(table(spark, folder, "fetch_cache").where(_HTML))
 
 
 def _outline(pages: DataFrame) -> DataFrame:
@@ -692,12 +699,6 @@ def _outline(pages: DataFrame) -> DataFrame:
     return html_nodes.heading_outline(nodes).groupBy(F.col("level").cast("string").alias("level")).agg(F.count("*").alias("headings"))
 
 
-@query("all_html_outline")
-def all_html_outline(spark: SparkSession, folder: str) -> DataFrame:
-    """The headings of html_outline over all HTML pages, those with code too."""
-    return _outline(table(spark, folder, "fetch_cache").where(_HTML))
-
-
 # paths, extraction and reports
 
 @query("media_types", r"""

@@ -33,8 +33,8 @@ def test_pages_with_code_are_read(spark, tmp_path, name):
 def test_tags_of_pages_with_code_are_counted(spark, tmp_path):
     pages = ["<h2>A</h2><p>x</p>", "<h2>B</h2><ul><li>y</ul><pre>&lt;h2> z</pre>"]
     folder = write_tables(tmp_path, {"fetch_cache": [{"fetch_id": k, "static_content": p} for k, p in enumerate(pages)]})
-    assert {r["tag"]: r["n"] for r in catalog.QUERIES["all_html_tags"](spark, folder).collect()} == {"h2": 2, "li": 1, "ul": 1}
-    assert {r["level"]: r["headings"] for r in catalog.QUERIES["all_html_outline"](spark, folder).collect()} == {"2": 2}
+    assert {r["tag"]: r["n"] for r in catalog.QUERIES["html_tags"](spark, folder).collect()} == {"h2": 2, "li": 1, "ul": 1}
+    assert {r["level"]: r["headings"] for r in catalog.QUERIES["html_outline"](spark, folder).collect()} == {"2": 2}
 
 
 def first_title(text: str) -> str | None:
@@ -60,5 +60,5 @@ def test_documents_of_any_format_have_titles(spark, tmp_path):
     texts = [h + c + b for h in heads for c in codes for b in bodies]
     documents = [{"doc_id": 100 * f + k, "text": t, "fmt": fmt} for f, fmt in enumerate(("md", "ipynb", "html", "txt", None)) for k, t in enumerate(texts)]
     folder = write_tables(tmp_path, {"documents": [*documents, {"doc_id": 9999, "fmt": "md"}]})
-    found = {r["doc_id"]: r["h1"] for r in catalog.QUERIES["all_document_titles"](spark, folder).collect()}
+    found = {r["doc_id"]: r["h1"] for r in catalog.QUERIES["document_titles"](spark, folder).collect()}
     assert found == {d["doc_id"]: first_title(d["text"]) for d in documents}
