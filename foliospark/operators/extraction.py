@@ -41,6 +41,16 @@ def layout_tables(nodes: DataFrame) -> DataFrame:
     return tables.join(sized, ["page_id", "pre"], "left").where(wide | F.col("_sized").isNotNull()).drop("_sized")
 
 
+def table_content(nodes: DataFrame) -> DataFrame:
+    """(page_id, pre, last) of the cell that holds a page laid out by tables: the best of over 50 words, when it has at least
+    half of the page's."""
+    laid = layout_tables(nodes).select("page_id").distinct()
+    pages = nodes.groupBy("page_id").agg(F.max("words").alias("_all"))
+    cells = nodes.where((F.col("tag") == "td") & (F.col("words") > 50)).join(laid, "page_id").join(pages, "page_id").where("words * 2 >= _all")
+    best = cells.groupBy("page_id").agg(F.max(F.struct(html_nodes.content_score().alias("s"), (-F.col("pre")).alias("o"), "pre", "last")).alias("b"))
+    return best.select("page_id", "b.pre", "b.last")
+
+
 def _words_left(nodes: DataFrame, roots: DataFrame, spans: DataFrame) -> DataFrame:
     left = html_nodes.without_subtrees(nodes, roots).join(spans, "page_id").where("pre between _a and _b")
     bare = F.regexp_replace(F.col("own_text"), r"[^\p{L}\p{N}_\s]", " ")

@@ -228,6 +228,13 @@ def main_nodes(nodes: DataFrame) -> DataFrame:
     return chosen.unionByName(scored)
 
 
+def readme_nodes(nodes: DataFrame) -> DataFrame:
+    """(page_id, pre, last) of the read-me text of a repository's page."""
+    box = nodes.where(attribute("id").rlike("(?i)^readme$") | (attribute("data-testid") == "readme")).select("page_id", F.col("pre").alias("_a"), F.col("last").alias("_b"))
+    texts = nodes.where((F.col("tag") == "article") & has_class("markdown-body")).join(box, "page_id", "left").withColumn("_in", F.coalesce(F.col("pre").between(F.col("_a"), F.col("_b")), F.lit(False)))
+    return texts.groupBy("page_id").agg(F.min(F.struct((~F.col("_in")).alias("o"), "pre", "last")).alias("r")).select("page_id", "r.pre", "r.last")
+
+
 def hidden_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes hidden by style, class or attribute; formulas keep theirs."""
     style = F.regexp_replace(F.lower(attribute("style")), r"\s", "")

@@ -52,3 +52,30 @@ def task_hash(options: dict) -> str:
     import json
 
     return hashlib.md5(json.dumps(options, sort_keys=True, default=str).encode()).hexdigest()[:6]  # noqa: S324  a name, no secret
+
+
+JOB = "job_id string, status string, created_at double, finished_at double, items array<struct<name:string,output:string,error:string>>"
+#: States in which a job is over.
+ENDED = ("completed", "failed", "cancelled")
+
+
+def write_jobs(jobs: DataFrame, path: str) -> None:
+    """Adds snapshots of jobs, a JSON text a row; the last one of a job holds."""
+    jobs.select("job_id", F.to_json(F.struct(*jobs.columns)).alias("value"), F.current_timestamp().alias("written_at")).write.mode("append").parquet(path)
+
+
+def read_jobs(snapshots: DataFrame, live: DataFrame) -> DataFrame:
+    """The jobs of written snapshots that are over and not among the live ones. Texts that are no job are left out."""
+    last = snapshots.groupBy("job_id").agg(F.max_by("value", "written_at").alias("value"))
+    jobs = last.select(F.from_json("value", JOB).alias("job")).select("job.*").where("job_id is not null").where(F.col("status").isin(*ENDED))
+    return jobs.join(live.select("job_id").distinct(), "job_id", "left_anti")
+
+
+def recorded_run(items: DataFrame, job: str, started: Column) -> DataFrame:
+    """A run's outcomes (name, output, error) as one job, whose outputs have names of their own."""
+    from .batch_state import free_name
+
+    named = free_name(items.select(F.col("output").alias("name"), F.col("name").alias("item_key"))).withColumnRenamed("item_key", "name")
+    rows = items.drop("output").join(named.withColumnRenamed("output_name", "output"), "name")
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("name", "output", "error"))).alias("items"), F.max(F.col("error").isNotNull()).alias("_bad"))
+    return one.select(F.lit(job).alias("job_id"), F.when(F.col("_bad"), "failed").otherwise("completed").alias("status"), started.cast("double").alias("created_at"), F.unix_timestamp().cast("double").alias("finished_at"), "items")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detect_format
 from ..operators.render import to_markdown
+from . import office
 
 
 def glob_pattern(glob: str) -> str:
@@ -110,6 +111,8 @@ def convert(data: bytes, kind: str) -> tuple[str | None, str | None]:
     try:
         if kind == "eml":
             return mail_markdown(data), None
+        if kind in office.READERS:
+            return office.READERS[kind](data), None
         text = data.decode("utf-8-sig", errors="replace")
         if kind in ("csv", "tsv"):
             return csv_markdown(text, "\t" if kind == "tsv" else ","), None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +35,23 @@ def _latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def latest_states(log: DataFrame) -> DataFrame:
     """The last state of each item of a stream of (item_key, seq, status), emitted whenever rows of it arrive; rows that
-    arrive late or twice never set it back."""
+    arrive late or twice never set it back. One number and one status are kept for each item, for good: an item may come
+    back at any time."""
     return log.select("item_key", "seq", "status").groupBy("item_key").applyInPandasWithState(_latest, "item_key string, seq long, status string", "seq long, status string", "update", GroupStateTimeout.NoTimeout)
 
 
 def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, rpm: int) -> Iterator[pd.DataFrame]:
     open_at = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+    # of a batch's rows only their times are held
+    asked = np.sort(np.concatenate([batch["ts"].to_numpy(np.int64) for batch in batches]), kind="stable")
     admitted = []
-    for second in rows["ts"]:
-        second = int(second)
+    for second in asked.tolist():
         open_at = [t for t in open_at if t > second - SECONDS]
         at = second if len(open_at) < rpm else open_at[-rpm] + SECONDS
         open_at.append(at)
         admitted.append(at)
     state.update((open_at[-rpm:],))
-    yield pd.DataFrame({"client": [key[0]] * len(rows), "asked": rows["ts"].to_numpy(), "admitted": admitted})
+    yield pd.DataFrame({"client": [key[0]] * len(asked), "asked": asked, "admitted": admitted})
 
 
 def admissions(requests: DataFrame, rpm: int) -> DataFrame:

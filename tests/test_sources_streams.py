@@ -31,10 +31,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "m.eml").write_text("From: a@b.c\nSubject: Hi\nContent-Type: text/html\n\n<p>Body <b>x</b></p>")
     (tmp_path / "h.html").write_text("<h1>x</h1>")
     (tmp_path / "bad.ipynb").write_text("{")
-    (tmp_path / "o.docx").write_bytes(b"PK")
+    (tmp_path / "o.doc").write_bytes(b"PK")
+    (tmp_path / "p.docx").write_bytes(b"PK")
     found = {r["path"].rsplit("/", 1)[1]: (r["markdown"], r["error"]) for r in files.convert_files(spark, str(tmp_path)).collect()}
     assert found["t.csv"][0] == "| a | b |\n| --- | --- |\n| 1 | 2 |" and found["n.ipynb"][0] == "# T\n\n```python\nx = 1\n```\n\n```\n1\n```" and found["m.eml"][0] == "# Hi\n\n**From:** a@b.c\n\nBody **x**"
-    assert found["h.html"][0] == "# x" and found["bad.ipynb"][1].startswith("JSONDecodeError") and found["o.docx"][1] == "no reader for docx"
+    assert found["h.html"][0] == "# x" and found["bad.ipynb"][1].startswith("JSONDecodeError") and found["o.doc"][1] == "no reader for doc" and found["p.docx"][1].startswith("BadZipFile")
     assert {r["relative"] for r in files.discover(spark, str(tmp_path), ["*.csv", "*.html"]).collect()} == {"t.csv", "h.html"}
 
 
