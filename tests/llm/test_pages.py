@@ -142,8 +142,10 @@ def test_main_text_keeps_the_page(spark):
     page = "Home | About | Contact\n\nHow to mend an old clock\n\nThe keeper walked to the gate and counted the boats twice before noon. Nobody expected the bridge to hold.\n\n> We use cookies to improve your visit. Accept all | Settings\n\nShare: Mail | Copy link | Print\n© 2024 River Post. All rights reserved."
     body = page.split("\n\n", 2)
     rng = random.Random(3)
-    others = [(k, f"https://river-post.example/{k}", None, "\n\n".join([body[0], labelled_pages._some_title(rng), labelled_pages._prose(rng) + " " + labelled_pages._prose(rng), *body[2].split("\n\n")[2:]]), None, "") for k in range(2, 14)]
-    rows = spark.createDataFrame([(1, "https://river-post.example/x", None, page, None, ""), *others], "fetch_id long, url string, title string, content string, static_content string, browser_content string")
+    # a corpus of a few pages knows little: what their headlines are their records say
+    heads = [labelled_pages._some_title(rng) for _ in range(14)]
+    others = [(k, f"https://river-post.example/{k}", heads[k], "\n\n".join([body[0], heads[k], labelled_pages._prose(rng) + " " + labelled_pages._prose(rng), *body[2].split("\n\n")[2:]]), None, "") for k in range(2, 14)]
+    rows = spark.createDataFrame([(1, "https://river-post.example/x", "How to mend an old clock", page, None, ""), *others], "fetch_id long, url string, title string, content string, static_content string, browser_content string")
     found = main_content.main_texts(rows).where("fetch_id = 1").first()
     assert found["content"] == "How to mend an old clock\n\nThe keeper walked to the gate and counted the boats twice before noon. Nobody expected the bridge to hold.\n\n> We use cookies to improve your visit. Accept all | Settings"
     assert found["static_content"] is None and found["browser_content"] == ""
