@@ -9,7 +9,9 @@ it. Evidence and potentials are trained on labelled pages.
 What the corpus knows: no words of any site are built in. A first tree, without words, judges every line of the corpus by
 marks and places. Over all records it is then counted how often the same line, the same parts of a row, the same first and
 last words were own text by that judgement: a menu line is met in menus and behind the last paragraph, a heading before
-paragraphs. The second tree judges with these counts, a record's own words taken out of them first.
+paragraphs. The second tree judges with these counts, a record's own words taken out of them first. Every key that two
+records have counts, however large the corpus is: records are read in parts of bounded size, totals of keys are brought to
+the parts that have them by shuffles, and each part is judged with the totals of its own keys only.
 
 Defined cases: null, empty and blank values have no lines; lines without visible text are no cases; a message in place
 of a page is own text; repeated rows get their lines each; very long lines are one node; an empty table gives an empty
@@ -21,14 +23,15 @@ from __future__ import annotations
 import gc
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as _hash
 
@@ -42,8 +45,6 @@ FIELDS = ("content", "static_content", "browser_content")
 PARAGRAPH = 110
 #: Log odds from which a line is own text: a little more than even, since a line left in harms more than one left out.
 OWN_FROM = 0.25
-#: A key counts when it holds at least this share of all keys of the corpus, so there are at most 1 / LEAST_SHARE of them.
-LEAST_SHARE = 1e-6
 #: How many occurrences the prior weighs against the counts of a key.
 PRIOR_COUNT = 2.0
 #: The same for first words against their shorter ones.
@@ -287,6 +288,11 @@ def _hint(seen: str, words: list[str]) -> str:
 
 
 
+def prior_of(own: float | None, count: float | None) -> float:
+    """The share of own text among all that the corpus knows."""
+    return float(np.clip(own / count, 0.05, 0.95)) if count else 0.5
+
+
 #: Borders between the classes of a key's log odds, and of the number of other pages that have it.
 BINS = np.array([-3.0, -1.5, -0.5, 0.5, 1.5])
 OFTEN = np.array([1, 3, 10])
@@ -295,10 +301,10 @@ OFTEN = np.array([1, 3, 10])
 class Lexicon:
     """What the corpus knows of keys: in how many records each stands, and in how many of these as own text."""
 
-    def __init__(self, keys: np.ndarray, own: np.ndarray, count: np.ndarray):
+    def __init__(self, keys: np.ndarray, own: np.ndarray, count: np.ndarray, prior: float | None = None):
         order = np.argsort(keys)
         self.keys, self.own, self.count = keys[order], own[order], count[order]
-        self.prior = float(np.clip(own.sum() / max(count.sum(), 1.0), 0.05, 0.95)) if len(keys) else 0.5
+        self.prior = prior_of(own.sum(), count.sum()) if prior is None else prior
 
     def without(self, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(records with the key as own text, records with it), without the record that asks, in which the key was own text
@@ -612,13 +618,16 @@ def _decoded(text: str) -> tuple:
     return kind, mark, tag, size, stop == "1", row, link == "1", hint
 
 
-#: Records judged together; bounds a worker's memory.
+#: Records of a part, which are read and judged together; bounds a worker's memory.
 SLICE = 200
 #: Objects made between a worker's collections of garbage: lines are remembered in many small ones, none in a cycle.
 COLLECT = (100_000, 20, 50)
+#: The lines of a record and their keys, which are numbered within its part. A part's first record bears what its keys are,
+#: and for each in how many of its records it stands and in how many of these as own text.
 LEAVES = (
+    "part bigint, part_key array<bigint>, part_own array<double>, part_n array<int>, "
     "field array<tinyint>, line_no array<int>, shape array<string>, long array<boolean>, after_blank array<boolean>, "
-    "key array<bigint>, key_leaf array<int>, key_group array<tinyint>, key_own array<float>, key_first array<boolean>"
+    "key array<int>, key_leaf array<int>, key_group array<tinyint>, key_own array<float>"
 )
 
 
@@ -634,9 +643,11 @@ def line_table(pages: DataFrame, kept: tuple[str, ...], fields: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.set_threshold(*COLLECT)
         reader = LineReader()
+        part = TaskContext.get().partitionId() << 32
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
+                part += 1
                 trees, at = [], []
                 columns = [batch.column(f).to_pylist() for f in fields]
                 for k, (url, title) in enumerate(zip(batch.column("url").to_pylist(), batch.column("title").to_pylist())):
@@ -650,10 +661,13 @@ def line_table(pages: DataFrame, kept: tuple[str, ...], fields: tuple[str, ...]
                 keys = np.bincount(record[found.leaf], minlength=batch.num_rows)
                 first = np.concatenate([[0], np.cumsum(lines)])[record[found.leaf]]
                 flat = [leaf for tree in trees for leaf in tree]
+                kinds, key = np.unique(found.key, return_inverse=True)
+                once, of_part = key[found.first], np.append(len(kinds), np.zeros(batch.num_rows - 1, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in kept], _lists(lines, np.repeat(np.array([f for _, f in at], np.int8), [len(t) for t in trees]), pa.int8()), _lists(lines, [x.line_no for x in flat], pa.int32()),
+                    [*[batch.column(c) for c in kept], pa.array(np.full(batch.num_rows, part)), _lists(of_part, kinds, pa.int64()), _lists(of_part, np.bincount(once, found.own[found.first], len(kinds)), pa.float64()), _lists(of_part, np.bincount(once, minlength=len(kinds)), pa.int32()),
+                     _lists(lines, np.repeat(np.array([f for _, f in at], np.int8), [len(t) for t in trees]), pa.int8()), _lists(lines, [x.line_no for x in flat], pa.int32()),
                      _lists(lines, [_encoded(x.shape) for x in flat], pa.string()), _lists(lines, [x.long for x in flat], pa.bool_()), _lists(lines, [x.after_blank for x in flat], pa.bool_()),
-                     _lists(keys, found.key, pa.int64()), _lists(keys, (found.leaf - first).astype(np.int32), pa.int32()), _lists(keys, found.group, pa.int8()), _lists(keys, found.own, pa.float32()), _lists(keys, found.first, pa.bool_())],
+                     _lists(keys, key, pa.int32()), _lists(keys, (found.leaf - first).astype(np.int32), pa.int32()), _lists(keys, found.group, pa.int8()), _lists(keys, found.own, pa.float32())],
                     names=[*kept, *_NAMES],
                 )
 
@@ -665,14 +679,15 @@ def line_table(pages: DataFrame, kept: tuple[str, ...], fields: tuple[str, ...]
 _NAMES = [column.split(" ")[0] for column in LEAVES.split(", ")]
 
 
-def corpus_lexicon(lines: DataFrame) -> Lexicon:
-    """What all records say of their keys. Keys of one record only, and those under LEAST_SHARE of all, are left out, so
-    at most 1 / LEAST_SHARE rows of three numbers come to the driver."""
-    pairs = lines.select(F.explode(F.filter(F.arrays_zip("key", "key_own", "key_first"), lambda x: x["key_first"])).alias("x"))
-    counted_keys = pairs.groupBy(F.col("x.key").alias("key")).agg(F.sum("x.key_own").alias("own"), F.count("*").alias("n"))
-    total = lines.agg(F.sum(F.aggregate("key_first", F.lit(0), lambda n, x: n + x.cast("int")))).first()[0] or 0
-    found = counted_keys.where(F.col("n") >= max(2.0, LEAST_SHARE * total)).toArrow()
-    return Lexicon(*(found.column(c).to_numpy().astype(t) for c, t in (("key", np.int64), ("own", np.float64), ("n", np.float64))))
+def corpus_keys(lines: DataFrame) -> tuple[DataFrame, float]:
+    """(part, key, own, n): of every key of every part in how many records of the corpus it stands, and in how many of these
+    as own text, and the prior over all. Only keys of one record are left out, since they say nothing of another. A key has
+    one row for each part that has it, so none is hot."""
+    pairs = lines.where(F.size("part_key") > 0).select("part", F.posexplode(F.arrays_zip("part_key", "part_own", "part_n")).alias("key", "x")).select("part", "key", "x.*")
+    same = Window.partitionBy("part_key")
+    totals = pairs.select("part", "key", "part_own", "part_n", F.sum("part_own").over(same).alias("own"), F.sum("part_n").over(same).alias("n"))
+    known = materialise(totals.where(F.col("n") > 1), "corpus-keys")
+    return known.select("part", "key", "own", "n"), prior_of(*known.agg(F.sum("part_own"), F.sum("part_n")).first())
 
 
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -694,44 +709,47 @@ def judged(model: ContentModel, lexicon: Lexicon, batch: pa.RecordBatch) -> tupl
     return row, field, _numbers(batch, "line_no"), (np.concatenate(odds) if odds else np.zeros(0)) > OWN_FROM
 
 
+def judged_parts(lines: DataFrame, kept: tuple[str, ...], answer: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``answer`` makes of a batch of the line table and of what ``judged`` finds in it: each part of the table meets what
+    the corpus knows of its keys."""
+    known, prior = corpus_keys(lines)
+    model = trained()
+
+    def run(part: pa.Table, keys: pa.Table) -> pa.Table:
+        lexicon = Lexicon(*(keys.column(c).to_numpy().astype(t) for c, t in (("key", np.int64), ("own", np.float64), ("n", np.float64))), prior)
+        return pa.Table.from_batches([answer(batch, *judged(model, lexicon, batch)) for batch in part.combine_chunks().to_batches()])
+
+    read = lines.select(*dict.fromkeys(kept), "part", *(c for c in _NAMES if not c.startswith("part")))
+    return read.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, schema)
+
+
 def judged_lines(pages: DataFrame, wanted: bool, id_column: str = "fetch_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, field_name, line_no) of the visible lines that are own text (``wanted``) or are not."""
-    lines = line_table(pages, (id_column,), fields)
-    model, lexicon = trained(), lines.sparkSession.sparkContext.broadcast(corpus_lexicon(lines))
     names = pa.array(fields, pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
-                row, field, number, own = judged(model, lexicon.value, batch)
-                chosen = own == wanted
-                if chosen.any():
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[chosen], pa.int32())), names.take(pa.array(field[chosen], pa.int32())), pa.array(number[chosen], pa.int32())], names=[id_column, "field_name", "line_no"])
+    def answer(batch: pa.RecordBatch, row: np.ndarray, field: np.ndarray, number: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        chosen = own == wanted
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[chosen], pa.int32())), names.take(pa.array(field[chosen], pa.int32())), pa.array(number[chosen], pa.int32())], names=[id_column, "field_name", "line_no"])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    return lines.mapInArrow(run, f"`{id_column}` {kind}, field_name string, line_no int")
+    return judged_parts(line_table(pages, (id_column,), fields), (id_column,), answer, f"`{id_column}` {kind}, field_name string, line_no int")
 
 
 def main_texts(pages: DataFrame, id_column: str = "fetch_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, fields...) with only the page's own lines of each value, in order; blank lines and those without visible
     text stay beside them."""
-    lines = line_table(pages, (id_column, *fields), fields)
-    model, lexicon = trained(), lines.sparkSession.sparkContext.broadcast(corpus_lexicon(lines))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
-                drop: dict[tuple[int, int], set[int]] = {}
-                for row, field, number, own in zip(*(x.tolist() for x in judged(model, lexicon.value, batch))):
-                    if not own:
-                        drop.setdefault((row, field), set()).add(number)
-                columns = [[_without(text, drop.get((k, f), ())) for k, text in enumerate(batch.column(name).to_pylist())] for f, name in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], names=[id_column, *fields])
+    def answer(batch: pa.RecordBatch, *found: np.ndarray) -> pa.RecordBatch:
+        drop: dict[tuple[int, int], set[int]] = {}
+        for row, field, number, own in zip(*(x.tolist() for x in found)):
+            if not own:
+                drop.setdefault((row, field), set()).add(number)
+        columns = [[_without(text, drop.get((k, f), ())) for k, text in enumerate(batch.column(name).to_pylist())] for f, name in enumerate(fields)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], names=[id_column, *fields])
 
+    kept = (id_column, *fields)
     kind = pages.schema[id_column].dataType.simpleString()
-    return lines.mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"`{f}` string" for f in fields))
+    return judged_parts(line_table(pages, kept, fields), kept, answer, f"`{id_column}` {kind}, " + ", ".join(f"`{f}` string" for f in fields))
 
 
 def _without(text: str | None, drop: set[int]) -> str | None:

@@ -151,6 +151,38 @@ def test_main_text_keeps_the_page(spark):
     assert found["static_content"] is None and found["browser_content"] == ""
 
 
+def test_main_content_counts_every_key(spark, monkeypatch):
+    """Lines are judged by the keys of two records or more, in a corpus of any size and in parts of any size; LEAST_SHARE
+    was the share of all keys under which the former lexicon left a key out."""
+    monkeypatch.setattr(main_content, "LEAST_SHARE", 0.02, raising=False)
+    monkeypatch.setattr(main_content, "SLICE", 7)
+    pages = [(k, f"https://{site.lower().replace(' ', '')}/{k}", title, "\n".join(line for line, _ in lines)) for k, (site, title, lines) in enumerate(labelled_pages.pages(60, 12))]
+    reader = main_content.LineReader()
+    trees = [main_content.leaves(text, main_content.site_name(url), main_content.page_titles(url, title), reader) for _, url, title, text in pages]
+    model = main_content.trained()
+    record, found = model.count(trees, range(len(trees)))
+    keys, where = np.unique(found.key[found.first], return_inverse=True)
+    own, count = np.bincount(where, found.own[found.first]), np.bincount(where).astype(float)
+    wanted = {}
+    for least in (2, max(2, 0.02 * count.sum())):
+        lexicon = main_content.Lexicon(keys[count >= least], own[count >= least], count[count >= least])
+        known, low = main_content.known_words(lexicon, found.group, found.leaf, found.key, found.own, len(record))
+        cuts = np.cumsum([0, *map(len, trees)])
+        odds = model.worded.odds([main_content.place([(x.shape, x.long, x.after_blank) for x in tree], known[a:b], low[a:b]) for tree, a, b in zip(trees, cuts, cuts[1:])])
+        wanted[least] = {(k, x.line_no) for k, (tree, o) in enumerate(zip(trees, odds)) for x, one in zip(tree, o) if one <= main_content.OWN_FROM}
+    frame = spark.createDataFrame(pages, "fetch_id long, url string, title string, content string").repartition(3)
+    judged = {(r["fetch_id"], r["line_no"]) for r in main_content.judged_lines(frame, False, fields=("content",)).collect()}
+    assert judged == wanted[2] != wanted[max(2, 0.02 * count.sum())]
+
+
+def test_main_content_keys_of_a_large_corpus(spark):
+    """A key of two records is known among three million others, where the lexicon once had no room for it."""
+    parts = spark.range(300).select(F.col("id").alias("part"), F.concat(F.array(F.lit(-1) - F.floor(F.col("id") / 2)), F.sequence(F.col("id") * 10_000, F.col("id") * 10_000 + 9_999)).alias("part_key"))
+    lines = parts.select("part", "part_key", F.transform("part_key", lambda _: F.lit(0.25)).alias("part_own"), F.transform("part_key", lambda _: F.lit(1)).alias("part_n"))
+    known, prior = main_content.corpus_keys(lines)
+    assert [tuple(r) for r in known.orderBy("part", "key").collect()] == [(k, 0, 0.5, 2) for k in range(300)] and prior == 0.25
+
+
 @pytest.fixture(scope="module")
 def index():
     return residue.ResidueIndex({w: 3000 for w in ("the", "to", "this", "page", "your", "a", "of", "is", "for")}, 10_000)
