@@ -203,7 +203,7 @@ _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[https?://\S+\s+([^\]]*)\]")
 _REFERENCE = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>|\[\^[^\]\s]+\]|~?\\(?:cite|label|ref|footnote)\w*\{[^{}]*\}")
 _TEX_WRAP = re.compile(r"\\(?:emph|textbf|textit|texttt|underline|textsc)\{([^{}]*)\}|\\href\{[^{}]*\}\{([^{}]*)\}|\\(?:url)\{([^{}]*)\}")
-_EMPHASIS = re.compile(r"'{2,5}|(?<![\w*])\*{1,3}(?=\S)|(?<=\S)\*{1,3}(?![\w*])|(?<![\w])_{1,3}(?=\S)|(?<=\S)_{1,3}(?![\w])|`+")
+_EMPHASIS = re.compile(r"(?=['*_`])(?:'{2,5}|(?<![\w*])\*{1,3}(?=\S)|(?<=\S)\*{1,3}(?![\w*])|(?<![\w])_{1,3}(?=\S)|(?<=\S)_{1,3}(?![\w])|`+)")
 _ACTIVE = re.compile(r"[\[\\<&*_`']")
 
 

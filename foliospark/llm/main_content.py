@@ -67,7 +67,7 @@ _ROW = re.compile(r" [|/·»>] |\S {3,}\S")
 _ROW_SIGNS = (" | ", " / ", " · ", " » ", " > ")
 _QUOTES = frozenset("“„«\"")
 _PARTS = re.compile(r"\s+[|/·»>]\s+|\s{3,}")
-_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE_END = re.compile(r"[.!?]\s+")
 _END = re.compile(r"[.!?…:;][\"”»)\]*_`']*$")
 
 
@@ -87,14 +87,23 @@ def site_name(url: str | None) -> str:
 
 def tokens(text: str, site: str) -> list[str]:
     """Words and signs in lower case; figures are 0, words of the site's name are ``site`` in lines of some length."""
-    text = text.lower()
-    found = _WORD.findall(_FIGURES.sub("0", text) if _FIGURES.search(text) else text)
+    if not text.isascii():
+        found = ["0" if w.isdecimal() else w for w in _WORD.findall(text.lower())]
+    else:
+        text = text.translate(_PLAIN)
+        if "0" in text:
+            text = _ZEROS.sub(" 0 ", text)
+        found = _PLAIN_SIGN.sub(r" \g<0> ", text).split() if "|" in text or "/" in text or ":" in text else text.split()
     if site and len(found) > 2 and not (names := _names(site)).isdisjoint(found):
         return ["site" if w in names else w for w in found]
     return found
 
 
 _FIGURES = re.compile(r"\d+")
+#: ASCII as words are written: in lower case, figures as 0, a blank for what is no part of a word and no sign.
+_PLAIN = "".join([c if c in "|/:" else "0" if c.isdigit() else c.lower() if c.isalpha() else " " for c in map(chr, range(128))])
+_ZEROS = re.compile("0+")
+_PLAIN_SIGN = re.compile("[|/:]")
 
 
 @lru_cache(maxsize=4096)
@@ -112,8 +121,10 @@ def _teaser(seen: str, stop: bool) -> bool:
     """A title, a separator and the first words of another page, perhaps cut or with a figure at the end."""
     if seen[:1] == "←" or seen[-1:] == "→":
         return len(seen) > 8
+    if len(seen) < 40 or not (":" in seen or " – " in seen or " | " in seen):
+        return False
     found = _SEPARATED.match(seen)
-    if not found or len(seen) < 40:
+    if not found:
         return False
     head, rest = found.groups()
     if _END.search(head) or not rest[:1].isupper() and rest[:1] not in "¿«“\"" and not rest[:1].isdigit():
@@ -126,7 +137,12 @@ def _teaser(seen: str, stop: bool) -> bool:
 _MARKS = {f: "item" for f in ("bullet", "numbered", "htmlitem", "wikistars", "wikihash", "texitem")} | {f: "heading" for f in ("hash1", "hash2", "htmlheading", "wikiheading", "texheading", "setext")}
 
 
+_SIGNS = {k: None for k in range(128) if not chr(k).isalnum()}
+
+
 def _same(text: str) -> str:
+    if text.isascii():
+        return text.lower().translate(_SIGNS)
     return "".join([c for c in normalize("NFKD", text.lower()) if c.isalnum()])
 
 
@@ -174,9 +190,10 @@ def _words_of(seen: str, site: str, row: bool) -> tuple[list[str], list[list[str
     """A line's words, and those of its parts: of a row the parts between its signs, of other lines their sentences."""
     if row:
         return tokens(seen, site), [tokens(x, site) for x in _PARTS.split(seen.strip()) if x]
-    if not (". " in seen or "! " in seen or "? " in seen) or not _SENTENCES.search(seen):
+    if not (". " in seen or "! " in seen or "? " in seen):
         return tokens(seen, site), []
-    parts = [tokens(x, site) for x in _SENTENCES.split(seen) if x]
+    cuts = [0, *[m.end() for m in _SENTENCE_END.finditer(seen)], len(seen)]
+    parts = [tokens(seen[a:b], site) for a, b in zip(cuts, cuts[1:]) if a < b]
     return [w for part in parts for w in part], parts
 
 
@@ -185,8 +202,9 @@ def word_keys(words: list[str], parts: list[list[str]], row: bool, long: bool) -
     some = len(words)
     if not some:
         return _NO_KEYS
+    joined = [" ".join(c) for c in parts if c] if len(parts) > 1 else []
     return (
-        (_hash("w" + " ".join(words)),), tuple([_hash("w" + " ".join(c)) for c in parts if c]) if len(parts) > 1 else (),
+        (_hash("w" + " ".join(words if row or not joined else joined)),), tuple([_hash("w" + c) for c in joined]),
         (_hash("p" + " ".join(words[:3])),) if some > 3 else (), (_hash("p" + " ".join(words[:2])),) if some > 2 else (), (_hash("p" + words[0]),) if some > 1 else (),
         (_hash("s" + " ".join(words[-2:])),) if some > 2 and not row and not long else (),
     )
@@ -230,8 +248,8 @@ class LineReader:
         seen = visible(line) if _MARKED.search(line) else line.strip()
         row = len(seen) < 300 and ("   " in seen or any([sign in seen for sign in _ROW_SIGNS])) and _ROW.search(seen) is not None
         words, parts = _words_of(seen, site, row)
-        count = sum(map(str.isalpha, words))
-        stop = bool(_END.search(seen[-16:]))
+        count, distinct = sum(map(str.isalpha, words)), frozenset(words)
+        stop = not seen[-1:].isalnum() and bool(_END.search(seen[-16:]))
         sentence = count >= 6 and len(seen) >= 40 and (stop or count >= 14)
         long = sentence and (len(seen) >= PARAGRAPH or len(parts) > 1)
         linked = ("<a href" in line or "](/" in line) and _RELATIVE_LINK.match(line) is not None
@@ -252,8 +270,8 @@ class LineReader:
         else:
             kind = "text"
         sign = "row" if row else "colon" if not long and ":" in seen[:40] else ""
-        shape = (kind, mark, tag, "sentence" if sentence and not long else _size(count), stop, sign, linked, _hint(seen, words))
-        return shape, long, word_keys(words, parts, row, long), seen if kind in ("text", "bold") and count and not long and len(seen) <= 160 else "", frozenset(words)
+        shape = (kind, mark, tag, "sentence" if sentence and not long else _size(count), stop, sign, linked, _hint(seen, distinct))
+        return shape, long, word_keys(words, parts, row, long), seen if kind in ("text", "bold") and count and not long and len(seen) <= 160 else "", distinct
 
 
 def leaves(text: str, site: str, titles: tuple[str, ...], reader: LineReader) -> list[Leaf]:
@@ -281,7 +299,7 @@ def leaves(text: str, site: str, titles: tuple[str, ...], reader: LineReader) ->
         after_blank = False
     return found
 
-def _hint(seen: str, words: list[str]) -> str:
+def _hint(seen: str, words: frozenset[str]) -> str:
     """A sign that lines around a page's text often bear: a mark of rights, the site's own name, an arrow, an address."""
     return "rights" if "©" in seen else "arrow" if seen[:1] in "←→↑" or seen[-1:] in "←→↑" else "site" if "site" in words else "address" if "@" in seen else "field" if "[" in seen else ""
 
@@ -370,6 +388,8 @@ class Placed(NamedTuple):
 
 
 _CLOSING = frozenset(("code", "display", "formula", "quote", "list", "signature"))
+_NOT_FOLLOWING = frozenset(("teaser", "byline"))
+_NAV_TAGS = frozenset(("nav", "aside", "footer", "div"))
 
 
 def place(tree: Sequence[tuple[tuple, bool, bool]], known: Sequence[tuple], low: Sequence[bool]) -> Placed:
@@ -382,34 +402,41 @@ def place(tree: Sequence[tuple[tuple, bool, bool]], known: Sequence[tuple], low:
     follows, follow = [""] * total, "end"
     for k in range(total - 1, -1, -1):
         follows[k] = follow
-        shape, _, _ = tree[k]
-        kind, mark = shape[0], shape[1]
-        if not low[k] and kind not in ("teaser", "byline"):
-            follow = "long" if body[k] else kind if kind in _CLOSING else mark if mark else "sentence" if shape[3] == "sentence" else "short"
+        if not low[k]:
+            kind, mark, _, size = tree[k][0][:4]
+            if kind not in _NOT_FOLLOWING:
+                follow = "long" if body[k] else kind if kind in _CLOSING else mark if mark else "sentence" if size == "sentence" else "short"
     keys, block, region = [], [], []
-    block_kinds: list[list] = []
-    region_kinds: list[list] = []
-    blocks_in: list[int] = []
-    before = None
+    block_kinds: list[tuple] = []
+    region_kinds: list[tuple] = []
+    alone = "" if final >= 0 and total > 3 else few(total)
+    before = group = lead = None
+    count = start = 0
+    marked = False
     for k, (shape, _, after_blank) in enumerate(tree):
+        kind, mark, tag, size, stop, _, link, _ = shape
         where = "body" if body[k] else "alone" if final < 0 else "top" if k < first else "tail" if k > final else "gap"
-        if before is None or where != before:
-            region_kinds.append([where, 0])
-            blocks_in.append(-1)
-        group = "nav" if shape[2] in ("nav", "aside", "footer", "div") else shape[2] or shape[1]
-        if before is None or where != before or after_blank or block_kinds[-1][0] != group:
+        own = "nav" if tag in _NAV_TAGS else tag or mark
+        if where != before or after_blank or group != own:
+            if count:
+                block_kinds.append((group, few(count), marked, lead, *ends))
+            if where != before:
+                if count:
+                    region_kinds.append((before, few(k - start)))
+                before, start = where, k
             lead = "first" if k == 0 else "body" if body[k - 1] else "around" if low[k - 1] or tree[k - 1][0][0] == "teaser" else "short"
-            block_kinds.append([group, 0, False, lead, "", "", ""])
-            region.append(len(region_kinds) - 1)
-        found = block_kinds[-1]
-        found[1] += 1
-        found[2] |= low[k] or shape[6]
-        found[4], found[5], found[6] = follows[k], shape[0] if not shape[1] else "", shape[3] if shape[4] else "open"
-        region_kinds[-1][1] += 1
-        block.append(len(block_kinds) - 1)
-        keys.append((shape, known[k], low[k], "" if final >= 0 and total > 3 else few(total)))
-        before = where
-    return Placed(keys, block, [(g, few(n), bool(m), *rest) for g, n, m, *rest in block_kinds], region, [(w, few(n)) for w, n in region_kinds])
+            group, count, marked = own, 0, False
+            region.append(len(region_kinds))
+        count += 1
+        if low[k] or link:
+            marked = True
+        ends = follows[k], "" if mark else kind, size if stop else "open"
+        block.append(len(block_kinds))
+        keys.append((shape, known[k], low[k], alone))
+    if count:
+        block_kinds.append((group, few(count), marked, lead, *ends))
+        region_kinds.append((before, few(total - start)))
+    return Placed(keys, block, block_kinds, region, region_kinds)
 
 
 class Evidence:
@@ -490,8 +517,8 @@ class TreeModel:
         self.scale = max(right, key=lambda s: (right[s], -s))
 
     def potentials(self, level: int, kinds: Sequence[tuple]) -> np.ndarray:
-        own, other = self.tables[level]
-        return np.array([own.get(k, other) for k in kinds])
+        at, tables = self.tables[level]
+        return tables[[at.get(k, 0) for k in kinds]]
 
     def odds(self, placed: Sequence[Placed]) -> list[np.ndarray]:
         """Log odds of own text of every line, by messages upward and downward over all trees at once."""
@@ -515,7 +542,7 @@ class TreeModel:
 
 
 def _potentials(counts: Counter) -> tuple[dict, np.ndarray]:
-    """log P(child | parent) by kind, as [parent, child]; and that of kinds that were never seen."""
+    """Where each kind stands, and log P(child | parent) as [kind, parent, child]; first that of kinds that were never seen."""
     def logs(table: np.ndarray) -> np.ndarray:
         return np.log(table / table.sum(1, keepdims=True))
 
@@ -526,7 +553,7 @@ def _potentials(counts: Counter) -> tuple[dict, np.ndarray]:
     share = every / every.sum(1, keepdims=True)
     for (kind, parent, child), n in counts.items():
         tables.setdefault(kind, 4 * share.copy())[parent, child] += n
-    return {kind: logs(t) for kind, t in tables.items()}, logs(every)
+    return {kind: k for k, kind in enumerate(tables, 1)}, np.array([logs(t) for t in (every, *tables.values())])
 
 
 def marginals(score: np.ndarray, levels: Sequence[tuple[np.ndarray, np.ndarray, int]], root: np.ndarray) -> np.ndarray:
@@ -560,11 +587,12 @@ class Counted(NamedTuple):
 
 def counted(lines: Sequence[Leaf], record: np.ndarray, chance: np.ndarray) -> Counted:
     """``record`` of each line, ascending, and its ``chance`` of own text."""
-    flat = [(key, k, g) for k, leaf in enumerate(lines) for g, keys in enumerate(leaf.keys) for key in keys]
-    if not flat:
+    by_group = [keys for leaf in lines for keys in leaf.keys]
+    key = np.array([key for keys in by_group for key in keys], np.uint64).view(np.int64)
+    if not len(key):
         return Counted(*(np.zeros(0, t) for t in (np.int64, np.int32, np.int8, np.float32, bool)))
-    key, leaf, group = (np.array(c, t) for c, t in zip(zip(*flat), (np.uint64, np.int32, np.int8)))
-    key = key.view(np.int64)
+    leaf, group = np.divmod(np.repeat(np.arange(len(by_group), dtype=np.int32), list(map(len, by_group))), len(GROUPS))
+    group = group.astype(np.int8)
     order = np.lexsort((key, record[leaf]))
     new = np.ones(len(key), bool)
     new[1:] = (np.diff(key[order]) != 0) | (np.diff(record[leaf[order]]) != 0)
